@@ -22,6 +22,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import as_bytes, slices
+
 #: Stands for the end of a word inside the automaton (private use, never in a byte-level alphabet).
 END = ""
 #: Printable ASCII without a special token's start: here this pattern cuts as the file's own splitter does, and bytes are their own symbols.
@@ -159,17 +161,6 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), kind))
 
 
-def slices(batches: Iterable[pa.RecordBatch], of: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose column `of` has about so many bytes, so that a worker's memory doesn't follow the batch."""
-    for batch in batches:
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(of)), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """key, ids array<int>: every whole text as the model at `path` (a file on each machine) encodes it.
 
@@ -180,7 +171,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         memo = _memo(path)
         names = memo.model.names()
         for batch in slices(batches, "text"):
-            rows = [np.fromiter(chain.from_iterable(map(memo.__getitem__, (t or b"").split())), np.int32) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            rows = [np.fromiter(chain.from_iterable(map(memo.__getitem__, t.split())), np.int32) for t in as_bytes(batch.column("text"))]
             ids = _lists(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("key"), ids, *([_joined(ids, names)] * decoded)], ["key", "ids", *["decoded"] * decoded])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -23,6 +23,40 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def held_out(n: int, rest: int) -> Column:
+    """Is a row set aside: the crc32 of doc_id as text leaves this rest."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == rest, F.lit(False))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = fit(docs, table(spark, sf_dir, "labels"), ~held_out(4, 2))
+    return score(docs, net).select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audio import read_audio, store
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    files = store(docs)
+    heard = read_audio(files.withColumn("key", F.struct("doc_id", F.octet_length("media").cast("long").alias("bytes"), F.sha2("media", 256).alias("sha"))), key="key")
+    tail = F.expr("substring(payload, octet_length(payload) - 15, 16)")
+    return heard.select(
+        "key.doc_id", F.col("n_samples").alias("n_bytes"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.col("key.bytes").alias("media_bytes"), F.col("key.sha").alias("media_sha256"), "feature", F.crc32("pcm").alias("pcm_crc32"),
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs, ~held_out(5, 0))
+    return identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
@@ -38,8 +72,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_quality": op3_quality,
+    "op4_telephony": op4_telephony,
     "op6_bpe": op6_bpe,
     "op8_mixing": op8_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 EXACT_SQL = r"""
