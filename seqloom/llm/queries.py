@@ -49,6 +49,12 @@ def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngrams import classes_of
+
+    return classes_of(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, identify
 
@@ -64,6 +70,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -75,7 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_telephony": op4_telephony,
     "op6_bpe": op6_bpe,
+    "op7_html": op7_html,
     "op8_mixing": op8_mixing,
+    "op9_ngram_join": op9_ngram_join,
     "op10_language_id": op10_language_id,
 }
 
