@@ -26,6 +26,7 @@ import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WS, WS_CLASS, cut, n_parts
 
@@ -223,3 +224,12 @@ def _regrouped(told: DataFrame, differ: DataFrame, texts: DataFrame) -> DataFram
     redone = again.drop("keep", "size").join(best, "norm")
     both = told.join(bad, "digest", "left_anti").select("key", "keep", "size", "digest").unionByName(redone.select("key", "keep", "size", "digest"))
     return both.select("key", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), (F.col("key") == F.col("keep")).alias("kept"), "digest")
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay, one of each group, with all their columns. Of rows that repeat key and text one stays."""
+    stays = exact_groups(docs, key, text).filter("kept").select(F.coalesce(F.col(key), F.lit(NO_KEY)).alias("_k"), F.col("digest").alias("_d")).distinct()
+    norm = F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), WS_CLASS, "")
+    rows = docs.withColumn("_k", _key(key)).withColumn("_d", F.unhex(F.sha2(norm, 256)))
+    one = Window.partitionBy("_k", "_d").orderBy(F.length(text).desc_nulls_last(), text)
+    return rows.join(stays, ["_k", "_d"], "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_k", "_d", "_n")

@@ -87,3 +87,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     times = F.col("times") + (F.col("hash") < F.col("below")).cast("long")
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
     return out.select(F.col("key").alias(key), "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken, with all its columns. The texts aren't shuffled."""
+    size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    rows = cut(docs.select(F.col(source).alias("source"), size.alias("size"), hash60(F.col(key)).alias("hash")), "mix")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = thresholds(rows, source_targets(sizes, weights, share, most)).select(F.col("source").alias("_s"), F.col("times").alias("_times"), F.col("below").alias("_below"))
+    times = (F.col("_times") + (hash60(F.col(key)) < F.col("_below")).cast("long")).cast("int")
+    out = docs.join(plan, F.col(source).eqNullSafe(F.col("_s"))).withColumn("_times", times).filter("_times > 0")
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
