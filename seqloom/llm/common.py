@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The bytes that every contract here calls white space: space and the five ASCII controls 9 to 13.
 WS = b" \t\n\x0b\x0c\r"
@@ -34,3 +35,16 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Hash buckets of keys in prefiltered(); what is broadcast has at most one row for each.
+BUCKETS = 1 << 20
+
+
+def prefiltered(rows: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """The rows whose key shares a hash bucket with one of keys: few texts move where few are wanted.
+
+    The buckets are broadcast; there are BUCKETS at most, whatever the size of the tables. An exact join must follow.
+    """
+    wanted = keys.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_b")).distinct()
+    return rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).join(F.broadcast(wanted), "_b", "left_semi").drop("_b")

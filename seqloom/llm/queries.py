@@ -63,6 +63,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import without_repeats
+
+    out = without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.coalesce(F.sha2("kept", 256), F.col("sha256")).alias("kept_sha256"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
@@ -86,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_quality": op3_quality,
     "op4_telephony": op4_telephony,
+    "op5_suffix_repeats": op5_suffix_repeats,
     "op6_bpe": op6_bpe,
     "op7_html": op7_html,
     "op8_mixing": op8_mixing,
