@@ -23,6 +23,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import without_lines
+
+    out = without_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.octet_length("kept").cast("long").alias("kept_bytes"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def held_out(n: int, rest: int) -> Column:
     """Is a row set aside: the crc32 of doc_id as text leaves this rest."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == rest, F.lit(False))
@@ -92,6 +99,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op4_telephony": op4_telephony,
     "op5_suffix_repeats": op5_suffix_repeats,
