@@ -1 +1,6 @@
-"""See README.md."""
+"""Queries over the given tables, one or more for each operator."""
+
+from . import streams
+from .catalog import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "streams"]
