@@ -1,6 +1,6 @@
 """Queries over the given tables, one or more for each operator."""
 
-from . import streams
+from . import streams, structure
 from .catalog import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "streams"]
+__all__ = ["QUERIES", "SQL", "streams", "structure"]
