@@ -1,6 +1,6 @@
 """Queries over the given tables, one or more for each operator."""
 
-from . import fields, streams, structure
+from . import fields, motifs, streams, structure
 from .catalog import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "fields", "streams", "structure"]
+__all__ = ["QUERIES", "SQL", "fields", "motifs", "streams", "structure"]
