@@ -88,7 +88,7 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     """Centroids from at most per_lang rows a language, of those where learn holds."""
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key, text).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     totals = rows.groupBy("lang").count().withColumn("cut", F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(1.5 * per_lang) / F.col("count") + F.lit(0.0)) * F.lit(2.0**64))
-    few = rows.join(totals.select("lang", "cut"), "lang").filter(F.col("h") <= F.col("cut"))
+    few = rows.join(F.broadcast(totals.select("lang", "cut")), "lang").filter(F.col("h") <= F.col("cut"))  # a row for each language, all of which the model holds as well
     best = Window.partitionBy("lang").orderBy("h", F.md5("text"))
     few = few.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_lang).select("lang", "rank", "text")
 
