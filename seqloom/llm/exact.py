@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WS, WS_CLASS, cut, n_parts
+from .common import WS, WS_CLASS, cut, n_parts, prefiltered
 
 #: Rows that a memtable holds before it is flushed.
 MEMTABLE = 1 << 17
@@ -200,7 +200,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
     hits = told.filter("size > 1")
     # Byte verification: a group's own size says among how many salts it is dealt.
     texts = docs.select(_key(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    norm = hits.distinct().join(texts, "key").withColumn("norm", F.regexp_replace("text", WS_CLASS, "")).drop("text")
+    norm = hits.distinct().join(prefiltered(texts, hits), "key").withColumn("norm", F.regexp_replace("text", WS_CLASS, "")).drop("text")
     salts = F.ceil(F.col("size") / SALT)
     found = norm.select("key", "digest", "keep", "norm", F.pmod(F.xxhash64("key"), salts).alias("salt"))
     stays = norm.filter("key = keep").select("digest", "keep", F.col("norm").alias("base"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
