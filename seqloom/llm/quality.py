@@ -12,20 +12,18 @@ class to learn from, every score is that class; texts are read whole; repeated r
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .batches import as_bytes, slices
-
 #: Bytes between filter positions, filter positions in a block, blocks in a chunk, blocks between chunks.
 STEP, BLOCK, CHUNK, MOVE = 4, 16, 4, 3
 #: Size of a byte's vector, filters, hidden units.
 EMBED, FILTERS, HIDDEN = 6, 24, 16
+#: Steps that a fit takes at least, however few rows it has.
+LEAST_STEPS = 400
 
 
 def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,6 +104,7 @@ class ConvNet:
         share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
         weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
         m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
+        epochs = max(epochs, -(-LEAST_STEPS * batch // len(texts)))
         t, total = 0, epochs * -(-len(texts) // batch)
         for _ in range(epochs):
             order = r.permutation(len(texts))
@@ -125,8 +124,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     A fit that doesn't tell its own rows apart starts again from another seed, up to `tries` times; the best is kept.
     """
     marks = labels.filter(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("label")).filter(learn)
-    best = Window.partitionBy("label").orderBy(F.xxhash64(key), key)
-    few = marks.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_class).select(key, "label")
+    marks = marks.withColumn("h", F.xxhash64(key))
+    totals = marks.groupBy("label").count().withColumn("cut", F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(1.5 * per_class) / F.col("count")) * F.lit(2.0**64))
+    best = Window.partitionBy("label").orderBy("h", key)
+    few = marks.join(F.broadcast(totals.select("label", "cut")), "label").filter(F.col("h") <= F.col("cut"))  # two rows
+    few = few.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_class).select(key, "label")
     rows = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(few), key)  # 2 * per_class rows at most
     got = rows.select(F.col(key).alias("key"), "text", "label").toPandas().sort_values(["key", "text", "label"])
     if not len(got):
@@ -146,15 +148,24 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
 
 
 def score(docs: DataFrame, net: ConvNet | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs and `score`: the probability of label 1, 0.5 where nothing was learned."""
-    names = docs.columns
-    schema = docs.select("*", F.lit(0.0).alias("score")).schema if "score" not in names else None
-    if schema is None:
-        raise ValueError("docs has a column named score")
+    """All columns of docs and `score`: the probability of label 1, 0.5 where nothing was learned.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 1 << 20, 4096):
-            p = net.scores(as_bytes(batch.column(text))) if net else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*names, "score"])
+    Only the texts go to Python and only scores come back; the other columns stay where they are.
+    """
+    if "score" in docs.columns:
+        raise ValueError("docs has a column named score")
 
-    return docs.mapInArrow(run, schema)
+    def run(column: pd.Series) -> pd.Series:
+        out = np.full(len(column), 0.5)
+        texts = [(t or "").encode() for t in column] if net else []
+        at = 0
+        while at < len(texts):  # about 1 MB at a time
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= 1 << 20):
+                size += len(texts[to])
+                to += 1
+            out[at:to] = net.scores(texts[at:to])
+            at = to
+        return pd.Series(out)
+
+    return docs.withColumn("score", F.pandas_udf(run, "double")(F.col(text).cast("string")))
