@@ -31,7 +31,7 @@ PATTERN = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
 PLAIN = re.compile(rb"[!-;=-~]+")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Distinct chunks whose ids a worker remembers before it starts again.
-MEMO = 400_000
+MEMO = 200_000
 
 
 class PrefixBpe:
@@ -63,7 +63,7 @@ class PrefixBpe:
         self.match.make_automaton()
         self.plain = PATTERN in json.dumps(spec["pre_tokenizer"]) and "Lowercase" in json.dumps(spec["normalizer"])
         self.piece = lru_cache(MEMO)(self.encode_piece)
-        self.fits = lru_cache(1 << 18)(lambda a, b: self._clash(a, b) is None)
+        self.fits = lru_cache(1 << 17)(lambda a, b: self._clash(a, b) is None)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that stand at one edge of a token while it is being built, each with the rank that absorbs it."""
@@ -143,6 +143,11 @@ class _Memo(dict):
     def __init__(self, model: PrefixBpe):
         self.model = model
 
+    def forget(self) -> None:
+        self.clear()
+        self.model.piece.cache_clear()
+        self.model.fits.cache_clear()
+
     def __missing__(self, chunk: bytes) -> list[int]:
         if len(self) >= MEMO:
             self.clear()
@@ -174,6 +179,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             rows = [np.fromiter(chain.from_iterable(map(memo.__getitem__, t.split())), np.int32) for t in as_bytes(batch.column("text"))]
             ids = _lists(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("key"), ids, *([_joined(ids, names)] * decoded)], ["key", "ids", *["decoded"] * decoded])
+        memo.forget()  # a worker that waits for its next task holds the model only
 
     kind = docs.schema[key].dataType.simpleString()
     out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, ids array<int>" + ", decoded string" * decoded)
