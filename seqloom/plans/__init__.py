@@ -1,6 +1,6 @@
 """Queries over the given tables, one or more for each operator."""
 
-from . import fields, models, motifs, streams, structure
+from . import fields, models, more, motifs, streams, structure
 from .catalog import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "fields", "models", "motifs", "streams", "structure"]
+__all__ = ["QUERIES", "SQL", "fields", "models", "more", "motifs", "streams", "structure"]

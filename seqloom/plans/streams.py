@@ -297,10 +297,10 @@ def w15(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("a19_envelope", f"""WITH {WALK}, c AS (SELECT stream, symbol, count(*) AS n FROM walk GROUP BY ALL)
-SELECT symbol, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, min(n) AS min, max(n) AS max FROM c GROUP BY 1""")
+SELECT symbol, round(avg(n), 10) AS mean, round(stddev_pop(n), 9) AS std, min(n) AS min, max(n) AS max FROM c GROUP BY 1""")
 def a19(spark: SparkSession, d: str) -> DataFrame:
     c = walk(spark, d).groupBy("stream", "symbol").count()
-    return c.groupBy("symbol").agg(F.round(F.avg("count"), 6).alias("mean"), F.round(F.stddev_pop("count"), 6).alias("std"), F.min("count").alias("min"), F.max("count").alias("max"))
+    return c.groupBy("symbol").agg(F.round(F.avg("count"), 10).alias("mean"), F.round(F.stddev_pop("count"), 9).alias("std"), F.min("count").alias("min"), F.max("count").alias("max"))
 
 
 @query("w17_window_zscore", f"""WITH {WALK}, c AS (SELECT floor(sec / 86400)::BIGINT AS win, count(*) AS n, count(DISTINCT stream) AS u, avg(value) AS v FROM walk GROUP BY 1),

@@ -139,9 +139,9 @@ def a24(spark: SparkSession, d: str) -> DataFrame:
     return out.na.fill(0)
 
 
-@query("a28_delta_stats", f"""WITH {TR} SELECT family, count(*) AS count, min(dd) AS min, max(dd) AS max, round(avg(dd), 6) AS mean, quantile_cont(dd, 0.5) AS median FROM tr GROUP BY 1""")
+@query("a28_delta_stats", f"""WITH {TR} SELECT family, count(*) AS count, min(dd) AS min, max(dd) AS max, round(avg(dd), 10) AS mean, quantile_cont(dd, 0.5) AS median FROM tr GROUP BY 1""")
 def a28(spark: SparkSession, d: str) -> DataFrame:
-    return moves(spark, d).groupBy("family").agg(F.count("*").alias("count"), F.min("delta").alias("min"), F.max("delta").alias("max"), F.round(F.avg("delta"), 6).alias("mean"), F.percentile("delta", 0.5).alias("median"))
+    return moves(spark, d).groupBy("family").agg(F.count("*").alias("count"), F.min("delta").alias("min"), F.max("delta").alias("max"), F.round(F.avg("delta"), 10).alias("mean"), F.percentile("delta", 0.5).alias("median"))
 
 
 @query("a27_ranking", f"""WITH {HITS}, c AS (SELECT stream, symbol, count(*) AS n FROM hits GROUP BY ALL), r AS (SELECT *, n / sum(n) OVER (PARTITION BY stream) AS rate, row_number() OVER (PARTITION BY stream ORDER BY n DESC, symbol) AS rank FROM c)
