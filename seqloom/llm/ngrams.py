@@ -3,7 +3,8 @@
 1. A fixed-size count sketch of all shingles gives each one a rarity class. A shingle's token is its class before its
    hash, so that sorting tokens puts rare shingles first, in the same order everywhere.
 2. Equal sets are one from here on. Two sets that reach the threshold share a token among their first
-   n - ceil(t * n) + 1; only tokens that two sets have there matter. A set meets another at their first common token.
+   n - ceil(t * n) + 1. One shuffle brings the sets of a token together; those without a partner there of a like size, or
+   whose places leave too few tokens to share, drop out. A set meets another at their first common token.
 3. There the sizes and the counts of tokens in 64 bins bound the overlap from above; sets without a possible partner
    leave. A token of many sets is dealt out in pairs of blocks, so that no task gets it whole.
 4. The sets that are left come to their tokens' tasks and go one by one through a prefix tree: sets share the overlap of
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import as_bytes, slices
-from .common import cut, n_parts
+from .common import cut, n_parts, prefiltered
 from .components import components
 from .shingles import WordHash, shingles
 
@@ -39,6 +40,8 @@ SKETCH, PART = 20, 15
 BINS = 64
 #: Sets of one token that meet in one task.
 SET_BLOCK = 1024
+#: Of a set's shared tokens so many go along, to tell whether two sets have met before.
+FIRST = 16
 NO_KEY = (1 << 63) - 1
 
 
@@ -61,6 +64,7 @@ def sketch(rows: DataFrame, k: int) -> np.ndarray:
                 h = shingles(t, k, words)
                 if len(h):
                     np.add.at(total, (h >> np.uint64(64 - SKETCH)).astype(np.int64), 1)
+        words.clear()
         parts = [p.tobytes() for p in total.reshape(-1, 1 << PART)]
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
@@ -88,7 +92,7 @@ def ordered_set(text: bytes, k: int, words: WordHash, classes: np.ndarray) -> np
 
 
 def set_rows(rows: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """key, n, sig (of the whole set), prefix (tokens), bins (counts of tokens by their last bits, 16-bit)."""
+    """key, n, sig (of the whole set), prefix (tokens), bins (counts of tokens by their last bits, up to 255)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
@@ -99,10 +103,11 @@ def set_rows(rows: DataFrame, k: int, percent: int, classes: np.ndarray) -> Data
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 prefix.append(s[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64))
-                bins.append(np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 65535).astype(np.uint16).tobytes())
+                bins.append(np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
             offsets = np.r_[0, np.cumsum([len(p) for p in prefix])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix)))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists, pa.array(bins, pa.binary())], ["key", "n", "sig", "prefix", "bins"])
+        words.clear()  # a worker that waits for its next task holds no words
 
     return rows.mapInArrow(run, "key long, n long, sig binary, prefix array<long>, bins binary")
 
@@ -124,14 +129,66 @@ def in_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.D
         yield pd.concat(held, ignore_index=True)
 
 
+def _meeting(batches: Iterable[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Postings (token, key, n, pos), sorted by token, with another posting of their token that size and position allow.
+
+    Of a pair that meets at places p and q at most the tokens from there on are shared. A token of more than SET_BLOCK
+    postings passes whole, as its rows come, so that memory doesn't follow it.
+    """
+    held, crowd = None, None
+    for frame in batches:
+        if crowd is not None:
+            more = (frame["token"] == crowd).to_numpy()
+            if more.any():
+                yield frame[more]
+                frame = frame[~more]
+            if len(frame):
+                crowd = None
+        if held is not None:
+            frame, held = pd.concat([held, frame], ignore_index=True), None
+        if not len(frame):
+            continue
+        token = frame["token"].to_numpy()
+        at = int(np.searchsorted(token, token[-1], "left"))
+        yield frame.iloc[_with_partner(frame.iloc[:at], percent)]
+        held = frame.iloc[at:]
+        if len(held) > SET_BLOCK:
+            crowd = token[-1]
+            yield held
+            held = None
+    if held is not None:
+        yield held.iloc[_with_partner(held, percent)]
+
+
+def _with_partner(frame: pd.DataFrame, percent: int) -> np.ndarray:
+    token, n, left = frame["token"].to_numpy(), frame["n"].to_numpy().astype(np.int64), (frame["n"] - frame["pos"]).to_numpy().astype(np.int64)
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(token)])
+    keep = np.zeros(len(token), bool)
+    for g in np.unique(size):
+        starts = first[size == g]
+        if g > SET_BLOCK:
+            keep[(starts[:, None] + np.arange(g)).ravel()] = True
+        elif g > 1:
+            for shift in range(1, g):  # each row with the one so many places on
+                a = (starts[:, None] + np.arange(g - shift)).ravel()
+                b = a + shift
+                need = -(-percent * (n[a] + n[b]) // (100 + percent))
+                ok = (np.minimum(left[a], left[b]) >= need) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+                keep[a[ok]] = True
+                keep[b[ok]] = True
+    return np.flatnonzero(keep)
+
+
 def _possible(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Rows of the groups (token, i, j) with a partner that the bounds allow and whose first common token this is."""
+    """Rows of the groups (token, i, j) with a partner that the bounds allow and that they aren't known to meet earlier."""
     frame = frame.reset_index(drop=True)
     token, bi, bj = (frame[c].to_numpy() for c in ("token", "i", "j"))
     first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
     size = np.diff(np.r_[first, len(frame)])
     n, side = frame["n"].to_numpy(), frame["side"].to_numpy()
-    bins = np.frombuffer(b"".join(frame["bins"]), np.uint16).reshape(-1, BINS)
+    bins = np.frombuffer(b"".join(frame["bins"]), np.uint8).reshape(-1, BINS)
+    full = (bins == 255).any(1)
     keep, sets = np.zeros(len(frame), bool), {}
     toks = frame["tokens"].to_numpy()
 
@@ -154,11 +211,11 @@ def _possible(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
                 a, b = a[fit], b[fit]
                 need = -(-percent * (n[a] + n[b]) // (100 + percent))
                 most = np.minimum(bins[a], bins[b]).sum(1, dtype=np.int64)
-                fit = (most >= need) | (np.maximum(n[a], n[b]) > 65535)
+                fit = (most >= need) | (full[a] & full[b])  # a bin of 255 may hold more
                 for r, s in zip(a[fit].tolist(), b[fit].tolist(), strict=True):
                     if keep[r] and keep[s]:
                         continue
-                    if min(members(r) & members(s)) == token[r]:
+                    if min(members(r) & members(s), default=token[r]) >= token[r]:
                         keep[r] = keep[s] = True
     return frame.loc[keep, ["token", "i", "j", "key"]]
 
@@ -251,10 +308,16 @@ def near_links(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text:
     sets = cut(set_rows(rows, k, percent, classes), "sets")
     reps = sets.filter("n > 0").groupBy("sig").agg(F.min(F.struct("key", "n", "prefix", "bins")).alias("r")).select("r.*")
     reps = cut(reps, "reps")
-    posts = reps.select("key", F.explode("prefix").alias("token"))
-    shared = posts.groupBy("token").count().filter("count > 1")
-    met = posts.join(shared, "token").groupBy("key").agg(F.collect_list(F.struct("token", "count")).alias("met"))
-    met = met.join(reps.select("key", "n", "bins"), "key").select("key", "n", "bins", F.col("met.token").alias("tokens"), F.explode("met").alias("m"))
+    posts = reps.select("key", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    posts = posts.repartition(n_parts(spark), "token").sortWithinPartitions("token")
+
+    def meeting(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _meeting(batches, percent)
+
+    posts = cut(posts.mapInPandas(meeting, "token long, key long, n int, pos int").select("token", "key"), "meetings")
+    counts = posts.groupBy("token").count()
+    met = posts.join(counts, "token").groupBy("key").agg(F.collect_list(F.struct("token", "count")).alias("met"))
+    met = met.join(reps.select("key", "n", "bins"), "key").select("key", "n", "bins", F.slice(F.array_sort("met.token"), 1, FIRST).alias("tokens"), F.explode("met").alias("m"))
     met = met.withColumn("blocks", F.ceil(F.col("m.count") / SET_BLOCK)).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select(F.col("m.token").alias("token"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).cast("int").alias("side"), "key", "n", "bins", "tokens")
@@ -267,13 +330,15 @@ def near_links(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text:
 
     chosen = met.mapInPandas(possible, "token long, i long, j long, key long")
     at = chosen.groupBy("key").agg(F.collect_list(F.struct(*group)).alias("at"))
-    whole = at.join(rows, "key")  # the texts of documents with a possible partner
+    at = cut(at, "possible")
+    whole = at.join(prefiltered(rows, at), "key")  # the texts of documents with a possible partner
 
     def give(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         for batch in slices(batches, "text"):
             s = [ordered_set(t, k, words, classes).tobytes() for t in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("at"), pa.array(s, pa.binary())], ["key", "at", "set"])
+        words.clear()
 
     kind = "array<struct<token:bigint,i:bigint,j:bigint>>"
     placed = whole.select("key", "at", "text").mapInArrow(give, f"key long, at {kind}, set binary").select("key", F.explode("at").alias("g"), "set").select("g.*", "key", "set")
