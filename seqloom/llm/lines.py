@@ -55,7 +55,9 @@ def lines_of(texts: DataFrame) -> DataFrame:
 
 
 def _sig() -> Column:
-    return F.unhex(F.md5(F.array_join(F.array_sort("words"), " ").cast("binary")))
+    """128 bits of a line's set: its words' 64-bit hashes in order, hashed from either end."""
+    h = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
+    return F.concat(F.hex(F.xxhash64(h)), F.lit("-"), F.hex(F.xxhash64(F.reverse(h))))
 
 
 def _bit(x: Column) -> Column:
@@ -110,18 +112,20 @@ def later_matches(texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     """The table of sets, and the ids (x) of those whose first line has an earlier line near to it."""
     classes = _rarity(lines_of(texts))
     sets = cut(sets_of(lines_of(texts), classes, percent), "line-sets")
-    posts = sets.select("id", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
-    tokens = cut(posts.groupBy("token").agg(F.count("*").alias("count"), F.min(F.struct("id", "n", "bits", "pos")).alias("one")).filter("count > 1"), "line-tokens")
-    side = lambda d, s: d.select("token", F.col("id").alias({"a": "x", "b": "y"}[s]), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"b{s}"), F.col("pos").alias(f"p{s}"))
-    crowd = side(tokens.filter(F.col("count") > CROWD).select("token", "one.*"), "b")
-    first = side(posts, "a").join(crowd, "token").filter("x <> y").filter(_can_match(percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    posts = sets.select("id", F.explode("prefix").alias("token"))
+    tokens = cut(posts.groupBy("token").agg(F.count("*").alias("count"), F.min("id").alias("one")).filter("count > 1"), "line-tokens")
+    place = (F.array_position("prefix", F.col("token")) - 1).cast("int")
+    crowd = tokens.filter(F.col("count") > CROWD).join(sets.select(F.col("id").alias("one"), "n", "bits", "prefix"), "one")
+    crowd = crowd.select("token", F.col("one").alias("y"), F.col("n").alias("nb"), F.col("bits").alias("bb"), place.alias("pb"))
+    wide = lambda df, *c: df.select("id", "n", "bits", *c, F.posexplode("prefix").alias("pos", "token"))
+    left = wide(sets).select("token", F.col("id").alias("x"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("pos").alias("pa"))
+    first = left.join(crowd, "token").filter("x <> y").filter(_can_match(percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     done = cut(_verified(first, sets, texts, percent, "crowd"), "line-crowds")
-    met = posts.join(tokens.select("token"), "token")
-    settled = met.join(done.select(F.col("x").alias("id"), F.lit(True).alias("settled")), "id", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    settled = settled.repartition("token")
-    open_ = side(settled.filter(~F.col("settled")), "a")
-    others = settled.select("token", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("pos").alias("pb"), "settled")
-    meet = open_.join(others, (open_["token"] == others["token"]) & (F.col("x") != F.col("y")) & (F.col("settled") | (F.col("x") < F.col("y"))) & _can_match(percent))
+    marked = sets.join(done.select(F.col("x").alias("id"), F.lit(True).alias("settled")), "id", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    met = wide(marked, "settled").join(tokens.select("token"), "token").select("token", "id", "n", "bits", "pos", "settled")
+    a = met.select("token", F.col("id").alias("x"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("pos").alias("pa"), F.col("settled").alias("sa"))
+    b = met.select("token", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("pos").alias("pb"), F.col("settled").alias("sb"))
+    meet = a.join(b, "token").filter(~F.col("sa") & (F.col("x") != F.col("y")) & (F.col("sb") | (F.col("x") < F.col("y"))) & _can_match(percent))
     more = _verified(meet.select("x", "y"), sets, texts, percent, "lines")
     return sets, done.unionByName(more).distinct()
 
