@@ -6,8 +6,9 @@
    n - ceil(t * n) + 1. One shuffle brings the sets of a token together; those without a partner there of a like size, or
    whose places leave too few tokens to share, drop out. A set meets another at their first common token.
 3. There the sizes and the counts of tokens in 64 bins bound the overlap from above; sets without a possible partner
-   leave. A token of many sets is dealt out in pairs of blocks, so that no task gets it whole.
-4. The sets that are left come to their tokens' tasks and go one by one through a prefix tree: sets share the overlap of
+   leave. A token of many sets is dealt out in pairs of blocks, so that no task gets it whole. Tokens at which the very
+   same sets are left are one meeting. There finer bins, whose number follows the set's size, test long sets once more.
+4. The sets that are left come once to each of their meetings and go one by one through a prefix tree: sets share the overlap of
    their common beginning, and a subtree is left as soon as the tokens that remain can't bring the overlap that its
    smallest set needs. Sets that are known to be connected needn't be compared: what comes out are links that connect
    whatever the full join would, not all pairs.
@@ -26,6 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ from .shingles import WordHash, shingles
 SKETCH, PART = 20, 15
 #: Bins of the overlap bound.
 BINS = 64
+#: Of the finer bins of a set's second test, about one for four tokens, there are so many at most.
+FINE = 1 << 12
 #: Sets of one token that meet in one task.
 SET_BLOCK = 1024
 #: Of a set's shared tokens so many go along, to tell whether two sets have met before.
@@ -92,24 +96,26 @@ def ordered_set(text: bytes, k: int, words: WordHash, classes: np.ndarray) -> np
 
 
 def set_rows(rows: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """key, n, sig (of the whole set), prefix (tokens), bins (counts of tokens by their last bits, up to 255)."""
+    """key, n, sig (of the whole set), prefix (tokens), bins (counts of tokens by their last bits, up to 255), fine (more bins of larger sets, else empty)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         for batch in slices(batches, "text"):
-            n, sig, prefix, bins = [], [], [], []
+            n, sig, prefix, bins, fine = [], [], [], [], []
             for t in as_bytes(batch.column("text")):
                 s = ordered_set(t, k, words, classes)
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 prefix.append(s[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64))
                 bins.append(np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+                b = min(FINE, max(BINS, 1 << (len(s) // 4).bit_length() - 1)) if len(s) >= 8 else BINS
+                fine.append(np.minimum(np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b), 255).astype(np.uint8).tobytes() if b > BINS else b"")
             offsets = np.r_[0, np.cumsum([len(p) for p in prefix])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix)))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists, pa.array(bins, pa.binary())], ["key", "n", "sig", "prefix", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists, pa.array(bins, pa.binary()), pa.array(fine, pa.binary())], ["key", "n", "sig", "prefix", "bins", "fine"])
         words.clear()  # a worker that waits for its next task holds no words
 
-    return rows.mapInArrow(run, "key long, n long, sig binary, prefix array<long>, bins binary")
+    return rows.mapInArrow(run, "key long, n long, sig binary, prefix array<long>, bins binary, fine binary")
 
 
 def in_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -181,7 +187,7 @@ def _with_partner(frame: pd.DataFrame, percent: int) -> np.ndarray:
 
 
 def _possible(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Rows of the groups (token, i, j) with a partner that the bounds allow and that they aren't known to meet earlier."""
+    """key, meeting of the rows of the groups (token, i, j) with a partner that the bounds allow and that they aren't known to meet earlier."""
     frame = frame.reset_index(drop=True)
     token, bi, bj = (frame[c].to_numpy() for c in ("token", "i", "j"))
     first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
@@ -217,7 +223,38 @@ def _possible(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
                         continue
                     if min(members(r) & members(s), default=token[r]) >= token[r]:
                         keep[r] = keep[s] = True
-    return frame.loc[keep, ["token", "i", "j", "key"]]
+    return _named(frame[keep], ["token", "i", "j"])
+
+
+def _named(frame: pd.DataFrame, group: list[str]) -> pd.DataFrame:
+    """key, meeting of the rows of each group; a meeting is named by a hash of its keys.
+
+    The same sets at another token are the same meeting. If two names ever agree, two meetings become one, which costs
+    comparisons but no link.
+    """
+    out = frame[[*group, "key"]].sort_values([*group, "key"]).drop_duplicates()
+    at, keys = out[group].to_numpy(), out["key"].to_numpy(np.int64)
+    meetings = [m for m in np.split(keys, np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1) if len(m)]
+    names = [np.uint64(xxhash.xxh3_64_intdigest(m.tobytes())).astype(np.int64) for m in meetings]
+    return pd.DataFrame({"key": keys, "meeting": np.repeat(np.array(names, np.int64), [len(m) for m in meetings])})
+
+
+def _near(n: np.ndarray, fine: list[bytes], percent: int) -> np.ndarray:
+    """Which sets of one meeting have a partner there that the counts in fine bins allow. A full bin allows any."""
+    keep, width = np.zeros(len(n), bool), np.array([len(f) for f in fine])
+    tables = {w: (np.flatnonzero(width == w), np.stack([np.frombuffer(f, np.uint8) for f in fine if len(f) == w])) for w in np.unique(width)}
+    for r in range(len(n)):
+        for w, (rows, counts) in tables.items():
+            fit = (rows > r) & ~(keep[rows] & keep[r]) & (100 * np.minimum(n[rows], n[r]) >= percent * np.maximum(n[rows], n[r]))
+            if not fit.any():
+                continue
+            own, other, b = np.frombuffer(fine[r], np.uint8), counts[fit], min(w, len(fine[r]))
+            full = (own == 255).any() | (other == 255).any(1)
+            most = np.minimum(own.reshape(-1, b).sum(0, dtype=np.int32), other.reshape(len(other), -1, b).sum(1, dtype=np.int32)).sum(1)
+            near = rows[fit][full | (most >= -(-percent * (n[rows[fit]] + n[r]) // (100 + percent)))]
+            keep[near] = True
+            keep[r] |= len(near) > 0
+    return keep
 
 
 class Node:
@@ -306,7 +343,7 @@ def near_links(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text:
     rows = _input(docs, key, text)
     classes = rarity(sketch(rows, k))
     sets = cut(set_rows(rows, k, percent, classes), "sets")
-    reps = sets.filter("n > 0").groupBy("sig").agg(F.min(F.struct("key", "n", "prefix", "bins")).alias("r")).select("r.*")
+    reps = sets.filter("n > 0").groupBy("sig").agg(F.min(F.struct("key", "n", "prefix", "bins", "fine")).alias("r")).select("r.*")
     reps = cut(reps, "reps")
     posts = reps.select("key", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     posts = posts.repartition(n_parts(spark), "token").sortWithinPartitions("token")
@@ -320,7 +357,7 @@ def near_links(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text:
     met = met.join(reps.select("key", "n", "bins"), "key").select("key", "n", "bins", F.slice(F.array_sort("met.token"), 1, FIRST).alias("tokens"), F.explode("met").alias("m"))
     met = met.withColumn("blocks", F.ceil(F.col("m.count") / SET_BLOCK)).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select(F.col("m.token").alias("token"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).cast("int").alias("side"), "key", "n", "bins", "tokens")
+    met = met.select(F.col("m.token").alias("token"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).cast("int").alias("side"), "key", "n", "bins", F.filter("tokens", lambda x: x < F.col("m.token")).alias("tokens"))
     group = ["token", "i", "j"]
     met = met.repartition(n_parts(spark), *group).sortWithinPartitions(*group)
 
@@ -328,8 +365,17 @@ def near_links(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text:
         for frame in in_groups(batches, group):
             yield _possible(frame, percent)
 
-    chosen = met.mapInPandas(possible, "token long, i long, j long, key long")
-    at = chosen.groupBy("key").agg(F.collect_list(F.struct(*group)).alias("at"))
+    chosen = cut(met.mapInPandas(possible, "key long, meeting long").distinct(), "chosen")
+    fine = chosen.join(prefiltered(reps, chosen), "key").select("meeting", "key", "n", F.when(F.octet_length("fine") > 0, F.col("fine")).otherwise(F.col("bins")).alias("fine"))
+    fine = fine.repartition(n_parts(spark), "meeting").sortWithinPartitions("meeting")
+
+    def near(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in in_groups(batches, ["meeting"]):
+            keep = [_near(own["n"].to_numpy(), own["fine"].tolist(), percent) for _, own in frame.groupby("meeting", sort=False)]
+            yield _named(frame[np.concatenate(keep)], ["meeting"])
+
+    chosen = fine.mapInPandas(near, "key long, meeting long")
+    at = chosen.groupBy("key").agg(F.collect_set("meeting").alias("at"))
     at = cut(at, "possible")
     whole = at.join(prefiltered(rows, at), "key")  # the texts of documents with a possible partner
 
@@ -340,14 +386,13 @@ def near_links(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("at"), pa.array(s, pa.binary())], ["key", "at", "set"])
         words.clear()
 
-    kind = "array<struct<token:bigint,i:bigint,j:bigint>>"
-    placed = whole.select("key", "at", "text").mapInArrow(give, f"key long, at {kind}, set binary").select("key", F.explode("at").alias("g"), "set").select("g.*", "key", "set")
-    placed = placed.repartition(n_parts(spark), *group).sortWithinPartitions(*group, F.octet_length("set"))
+    placed = whole.select("key", "at", "text").mapInArrow(give, "key long, at array<long>, set binary").select("key", F.explode("at").alias("meeting"), "set")
+    placed = placed.repartition(n_parts(spark), "meeting").sortWithinPartitions("meeting", F.octet_length("set"))
 
     def join(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in in_groups(batches, group):
+        for frame in in_groups(batches, ["meeting"]):
             out = []
-            for _, own in frame.groupby(group, sort=False):
+            for _, own in frame.groupby("meeting", sort=False):
                 out += tree_links(own["key"].tolist(), [np.frombuffer(x, np.uint64) for x in own["set"]], percent)
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
