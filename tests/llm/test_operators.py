@@ -304,3 +304,28 @@ def test_languages(spark):
     assert [got[k]["lang_pred"] for k in (900, 901, 902)] == ["und"] * 3 and got[903]["rejected"]
     assert all(0 <= x["score"] <= 1 for x in got.values())
     assert langid.fit(df.limit(0), F.lit(True)) is None and {x["lang_pred"] for x in langid.identify(df, None).collect()} == {"und"}
+
+
+def test_fine_bins_keep_every_near_pair():
+    """Sets of different widths, near copies and strangers: no set with a partner is lost, strangers of some size are."""
+    from seqloom.llm.ngrams import _near
+
+    rng = np.random.default_rng(9)
+    sets = []
+    for n in (100, 500, 520, 1020, 2040, 3000):
+        base = rng.integers(0, 1 << 60, n, dtype=np.uint64)
+        sets += [base, np.r_[base[: int(n * 0.92)], rng.integers(0, 1 << 60, n // 30, dtype=np.uint64)], rng.integers(0, 1 << 60, n, dtype=np.uint64)]
+    sets = [np.unique(s) for s in sets]
+
+    def fine(s: np.ndarray) -> bytes:
+        b = max(64, 1 << (len(s) // 4).bit_length() - 1)
+        return np.minimum(np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b), 255).astype(np.uint8).tobytes()
+
+    keep = _near(np.array([len(s) for s in sets]), [fine(s) for s in sets], 80)
+    for i, a in enumerate(sets):
+        if any(100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for j, b in enumerate(sets) if i != j):
+            assert keep[i]
+    assert not keep[-1] and not keep[-4]
+    full = [b"\xff" * 64, b"\xff" * 64]
+    assert _near(np.array([90000, 90000]), full, 90).all()
+    assert not _near(np.array([5]), [bytes(64)], 80).any()
