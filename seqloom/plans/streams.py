@@ -87,6 +87,16 @@ def s4b(spark: SparkSession, d: str) -> DataFrame:
     return short.withColumn("symbol", fnv1a(F.col("token")))
 
 
+@query(
+    "s4c_token_symbols",
+    f"""WITH {TOK}, w AS (SELECT symbol AS w, count(*) AS count FROM tok GROUP BY 1), h AS (SELECT w, count, {_FNV_SQL} AS h FROM w)
+SELECT w AS token, count, (CASE WHEN h >= {1 << 63}::HUGEINT THEN h - {_M}::HUGEINT ELSE h END)::BIGINT AS symbol FROM h""",
+)
+def s4c(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct token of whatever length with its symbol; s4b has the short ones only."""
+    return tokens(spark, d).groupBy(F.col("symbol").alias("token")).count().withColumn("symbol", fnv1a(F.col("token")))
+
+
 @query(
     "w1_adjacent_pairs",
     f"""WITH {TOK}, p AS (SELECT *, lead(symbol) OVER (PARTITION BY doc_id ORDER BY pos) AS "to" FROM tok)
