@@ -74,6 +74,19 @@ def p10(spark: SparkSession, d: str) -> DataFrame:
     return h.join(b, "item_id").select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"), hamming(F.col("s"), F.col("s2")).alias("distance"))
 
 
+@query("p10b_hamming_whole", f"""WITH {SEQ} SELECT a.item_id AS a, b.item_id AS b, CASE WHEN length(a.seq) <> length(b.seq) THEN greatest(length(a.seq), length(b.seq))
+  ELSE coalesce(list_sum([(substr(a.seq, i, 1) <> substr(b.seq, i, 1))::INT FOR i IN range(1, length(a.seq) + 1)]), 0) END::INT AS distance FROM seqs a JOIN seqs b ON b.item_id = a.item_id + 1""")
+def p10b(spark: SparkSession, d: str) -> DataFrame:
+    """Each whole sequence with the next one: short ones and ones of two lengths too."""
+    return neighbour_distances(seqs(spark, d))
+
+
+def neighbour_distances(s: DataFrame) -> DataFrame:
+    """a, b, distance of s(item_id, seq): each sequence with that of the next item_id."""
+    b = s.select((F.col("item_id") - 1).alias("item_id"), F.col("seq").alias("seq2"))
+    return s.join(b, "item_id").select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"), hamming(F.col("seq"), F.col("seq2")).alias("distance"))
+
+
 @query("p14_block_slices", f"WITH {SEQ} SELECT item_id, substr(seq, 1, 18) AS a_sequence, substr(seq, 19, 16) AS spacer, substr(seq, 35, 13) AS b_sequence, CASE WHEN length(seq) < 47 THEN 'short' WHEN contains(substr(seq, 1, 47), 'N') THEN 'has_n' ELSE 'ok' END AS validation FROM seqs")
 def p14(spark: SparkSession, d: str) -> DataFrame:
     v = F.when(F.length("seq") < 47, "short").when(F.contains(F.substring("seq", 1, 47), F.lit("N")), "has_n").otherwise("ok")

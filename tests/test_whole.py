@@ -18,3 +18,13 @@ def test_every_token_gets_its_symbol(spark, sf):
     words = {r.symbol: r.n for r in QUERIES["s4_tokens_stream"](spark, sf).groupBy("symbol").count().withColumnRenamed("count", "n").collect()}
     assert any(len(w.encode()) > 6 for w in words)
     assert got == {w: (n, fnv(w.encode())) for w, n in words.items()}
+
+
+def test_hamming_sees_whole_sequences(spark, sf):
+    from seqloom.plans.motifs import neighbour_distances
+
+    s = ["ACGTACGTACGTA", "ACGTACGTACGTC", "ACG", "ACT", "ACTG", "", ""]
+    got = {r.a: r.distance for r in neighbour_distances(spark.createDataFrame(list(enumerate(s)), "item_id long, seq string")).collect()}
+    assert got == {i: max(len(x), len(y)) if len(x) != len(y) else sum(a != b for a, b in zip(x, y)) for i, (x, y) in enumerate(zip(s, s[1:]))}
+    ids = {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    assert QUERIES["p10b_hamming_whole"](spark, sf).count() == sum(i + 1 in ids for i in ids)
