@@ -23,24 +23,35 @@ def shuffled(df: DataFrame, within: list[str], order: list[str], value: str, rep
     return ranked.drop("_s", value).join(given, ["replicate", *within, "_r"]).drop("_r").withColumnRenamed("_v", value)
 
 
-def seeded_positions(seed: Column, draws: int, n: Column) -> Column:
-    """Array of `draws` positions below n: the generator's outputs 1, 2, ... of a seed, modulo n."""
-    one = lambda j: F.pmod(F.shiftrightunsigned(hash64(add64(mul64(j, GAMMA), seed)), 1), n)
-    return F.transform(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long")), one)
+def seeded_position(seed: Column, draw: Column, n: Column) -> Column:
+    """A position below n: the generator's output number `draw` (from 1) of a seed, modulo n."""
+    return F.pmod(F.shiftrightunsigned(hash64(add64(mul64(draw, GAMMA), seed)), 1), n)
 
 
-def pair_samples(streams: DataFrame, cols: DataFrame, mode: str, draws: int, seed: int, block: int = 16) -> DataFrame:
-    """row, col, j, pos_a, pos_b: positions of the sampled pairs of each cell of a matrix.
+def auto_draws(edges: Column, least: int = 10_000, most: int = 1_000_000) -> Column:
+    """Draws for each cell of a matrix by the smallest count of test edges: 20 or 10 for each edge, then fixed sizes, clamped."""
+    clamp = lambda x, low, high: F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    own = (
+        F.when(edges < 5_000, clamp(edges * 20, 1_000, 50_000)).when(edges < 50_000, clamp(edges * 10, least, 200_000))
+        .when(edges < 500_000, 200_000).when(edges < 5_000_000, 500_000).otherwise(1_000_000)
+    )
+    return clamp(own, least, most).cast("long")
+
+
+def pair_samples(streams: DataFrame, cols: DataFrame, mode: str, seed: int, block: int = 16, run: int = 1000) -> DataFrame:
+    """row, col, j, pos_a, pos_b: positions of the sampled pairs of each cell of a matrix; streams(stream, n, draws).
 
     symbol_shuffle draws both independently; rotation draws one and takes the other a fixed way on; block_boundary takes
-    the end of one block and the start of another. Each mode has its own stream of random numbers.
+    the end of one block and the start of another. Each mode has its own stream of random numbers. Draws are addressed by
+    number, so that runs of them are made in parallel.
     """
     salt = {"symbol_shuffle": 0x51, "rotation": 0x52, "block_boundary": 0x53}[mode]
-    cells = streams.select(F.col("stream").alias("row"), "n").crossJoin(cols.select(F.col("stream").alias("col")))
-    own = F.xxhash64("row", "col").bitwiseXOR(lit64(seed ^ salt))
-    cells = cells.withColumns({"_a": seeded_positions(own, draws, F.col("n")), "_b": seeded_positions(hash64(own), draws, F.col("n"))})
-    out = cells.select("row", "col", "n", F.posexplode(F.arrays_zip("_a", "_b")).alias("j", "p"))
-    a, b, n = F.col("p._a"), F.col("p._b"), F.col("n")
+    cells = streams.select(F.col("stream").alias("row"), "n", "draws").crossJoin(cols.select(F.col("stream").alias("col")))
+    cells = cells.withColumn("own", F.xxhash64("row", "col").bitwiseXOR(lit64(seed ^ salt)))
+    runs = cells.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / run)))).repartition("row", "col", "k")
+    out = runs.withColumn("j", F.explode(F.sequence(F.col("k") * run, F.least(F.col("k") * run + (run - 1), F.col("draws") - 1))))
+    n = F.col("n")
+    a, b = seeded_position(F.col("own"), F.col("j") + 1, n), seeded_position(hash64(F.col("own")), F.col("j") + 1, n)
     if mode == "rotation":
         b = F.pmod(a + F.floor(n / 3) + 1, n)
     elif mode == "block_boundary":

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import governance as G
-from ..operators.resample import gates, pair_samples, shuffled
+from ..operators.grammar import split_point
+from ..operators.resample import auto_draws, gates, pair_samples, shuffled
 from ..operators.simulate import SERIES, genesis, lattice, planted, series, uniform_series
 from ..operators.stats import null_scores
 from ..operators.words import CAUSAL, has, steps
 from .catalog import query, t
 from .fields import rule_table
-from .streams import WALK, matrix, split_pairs, walk
+from .streams import WALK, WORD, matrix, split_pairs, walk
 
 REPLICATES = 40
 
@@ -56,24 +57,40 @@ def n8(spark: SparkSession, d: str) -> DataFrame:
 
 @query("n1_pair_null")
 def n1(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy of each matrix cell's grammar on sampled pairs, by sampling mode."""
-    w = walk(spark, d).withColumn("stream", F.pmod("stream", F.lit(4)))
-    from pyspark.sql.window import Window
-
-    s = w.select("stream", "symbol", (F.row_number().over(Window.partitionBy("stream").orderBy("sec", "event_id")) - 1).cast("long").alias("pos"))
-    from ..operators.sequence import pairs
-
-    n = s.groupBy("stream").agg(F.count("*").alias("n"))
-    known = pairs(s, ["stream"], ["pos"], "symbol").select(F.col("stream").alias("col"), "from", "to").distinct()
+    """Accuracy of each cell of j2's matrix on pairs sampled from the row's test symbols, by sampling mode."""
+    p = split_pairs(spark, d)
+    known = p.filter("train").select(F.col("stream").alias("col"), "from", "to").distinct().withColumn("hit", F.lit(1))
+    symbols, sizes = test_symbols(spark, d)
+    draws = sizes.agg(auto_draws(F.min("edges")).alias("draws"))
+    rows = sizes.crossJoin(F.broadcast(draws))  # one row
     out = None
     for mode in ("symbol_shuffle", "rotation", "block_boundary"):
-        p = pair_samples(n, n, mode, 200, 7)
-        a = s.select(F.col("stream").alias("row"), F.col("pos").alias("pos_a"), F.col("symbol").alias("from"))
-        b = s.select(F.col("stream").alias("row"), F.col("pos").alias("pos_b"), F.col("symbol").alias("to"))
-        got = p.join(a, ["row", "pos_a"]).join(b, ["row", "pos_b"]).join(known.withColumn("hit", F.lit(1)), ["col", "from", "to"], "left")
-        one = got.groupBy("row", "col").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("null_accuracy"), F.count("*").alias("samples")).withColumn("mode", F.lit(mode))
+        one = pair_samples(rows, known.select(F.col("col").alias("stream")).distinct(), mode, 7).select(F.lit(mode).alias("mode"), "row", "col", "pos_a", "pos_b")
         out = one if out is None else out.unionByName(one)
-    return out
+    a = symbols.select(F.col("stream").alias("row"), F.col("at").alias("pos_a"), F.col("symbol").alias("from"))
+    b = symbols.select(F.col("stream").alias("row"), F.col("at").alias("pos_b"), F.col("symbol").alias("to"))
+    drawn = out.join(a, ["row", "pos_a"]).drop("pos_a").join(b, ["row", "pos_b"]).groupBy("mode", "row", "col", "from", "to").agg(F.count("*").alias("c"))
+    got = drawn.join(known, ["col", "from", "to"], "left").groupBy("row", "col", "mode").agg(F.sum(F.when(F.col("hit") == 1, F.col("c")).otherwise(0)).alias("hits"), F.sum("c").alias("samples"))
+    return got.select("row", "col", (F.col("hits") / F.col("samples")).alias("null_accuracy"), "samples", "mode")
+
+
+def test_symbols(spark: SparkSession, d: str, width: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """stream, at, symbol: split_pairs' test symbols of each stream, numbered from 0 by document and place; and stream, n, edges of it.
+
+    Documents are numbered within ranges of identifiers and ranges by their counts, so that no window holds a whole stream's symbols.
+    """
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    docs = t(spark, d, "documents").select(F.col("lang").alias("stream"), "doc_id", F.floor(F.col("doc_id") / width).alias("part"), words.alias("w")).withColumn("n", F.size("w")).filter("n >= 6").withColumn("cut", split_point("n", 0.7))
+    docs = docs.select("stream", "part", "doc_id", (F.col("n") - F.col("cut")).alias("m"), F.slice("w", (F.col("cut") + 1).cast("int"), (F.col("n") - F.col("cut")).cast("int")).alias("w"))
+    from pyspark.sql.window import Window
+
+    before = lambda w: F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = docs.groupBy("stream", "part").agg(F.sum("m").alias("m"), F.sum(F.col("m") - 1).alias("edges"))
+    sizes = parts.groupBy("stream").agg(F.sum("m").alias("n"), F.sum("edges").alias("edges"))
+    starts = parts.select("stream", "part", before(Window.partitionBy("stream").orderBy("part")).alias("start"))
+    placed = docs.withColumn("in_part", before(Window.partitionBy("stream", "part").orderBy("doc_id"))).join(starts, ["stream", "part"])
+    symbols = placed.select("stream", (F.col("start") + F.col("in_part")).alias("first"), F.posexplode("w").alias("i", "symbol"))
+    return symbols.select("stream", (F.col("first") + F.col("i")).alias("at"), "symbol"), sizes
 
 
 @query("j4_observed_null")

@@ -28,3 +28,31 @@ def test_hamming_sees_whole_sequences(spark, sf):
     assert got == {i: max(len(x), len(y)) if len(x) != len(y) else sum(a != b for a, b in zip(x, y)) for i, (x, y) in enumerate(zip(s, s[1:]))}
     ids = {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     assert QUERIES["p10b_hamming_whole"](spark, sf).count() == sum(i + 1 in ids for i in ids)
+
+
+def test_pair_null_draws_from_whole_test_streams(spark, sf):
+    from pyspark.sql import functions as F
+
+    from seqloom.operators.resample import auto_draws
+    from seqloom.plans.models import test_symbols as numbered
+    from seqloom.plans.streams import matrix, split_pairs
+
+    sizes = [1, 400, 600, 5000, 50_000, 500_000, 5_000_000]
+    assert [r.x for r in spark.createDataFrame([(x,) for x in sizes], "e long").select(auto_draws(F.col("e")).alias("x")).collect()] == [10_000, 10_000, 12_000, 50_000, 200_000, 500_000, 1_000_000]
+    symbols, counts = numbered(spark, sf, 7)
+    got = {}
+    for r in symbols.collect():
+        got.setdefault(r.stream, {})[r.at] = r.symbol
+    want, edges = {}, {}
+    last = split_pairs(spark, sf).filter("test").orderBy("stream", "doc_id", "pos").collect()
+    for i, r in enumerate(last):
+        ends = i + 1 == len(last) or (last[i + 1].stream, last[i + 1].doc_id) != (r.stream, r.doc_id)
+        want.setdefault(r.stream, []).extend([r["from"], r.to] if ends else [r["from"]])
+        edges[r.stream] = edges.get(r.stream, 0) + 1
+    assert {s: [x[k] for k in range(len(x))] for s, x in got.items()} == want
+    assert {r.stream: (r.n, r.edges) for r in counts.collect()} == {s: (len(x), edges[s]) for s, x in want.items()}
+    null = QUERIES["n1_pair_null"](spark, sf).collect()
+    cells = {(r.row, r.col) for r in matrix(spark, sf).collect()}
+    assert {(r.row, r.col, r.mode) for r in null} == {(*c, m) for c in cells for m in ("symbol_shuffle", "rotation", "block_boundary")}
+    e = min(edges.values())
+    assert {r.samples for r in null} == {max(10_000, min(20 * e, 50_000) if e < 5000 else min(10 * e, 200_000))}
