@@ -108,6 +108,15 @@ def x4(spark: SparkSession, d: str) -> DataFrame:
     return seqs(spark, d).select("item_id", F.regexp_count("seq", F.lit("AC[ACGT]{4,8}GT")).cast("long").alias("hits"))
 
 
+SKELETON = "(?=AC[ACGT]{4,8}GT)"  # looks ahead, so that each start counts, in an earlier match too
+
+
+@query("x4b_skeleton_starts", f"""WITH {SEQ} SELECT item_id, len([i FOR i IN range(1, length(seq) + 1) IF regexp_matches(substr(seq, i, 12), '^AC[ACGT]{{4,8}}GT')])::BIGINT AS hits FROM seqs""")
+def x4b(spark: SparkSession, d: str) -> DataFrame:
+    """Every place where a skeleton starts; x4 goes on behind each match."""
+    return seqs(spark, d).select("item_id", F.regexp_count("seq", F.lit(SKELETON)).cast("long").alias("hits"))
+
+
 @query("p25_expected_counts", f"""WITH {SEQ}, n AS (SELECT sum(length(seq) - length(replace(seq, 'A', ''))) AS a, sum(length(seq) - length(replace(seq, 'C', ''))) AS c, sum(length(seq) - length(replace(seq, 'G', ''))) AS g, sum(length(seq) - length(replace(seq, 'T', ''))) AS t FROM seqs),
 {KM[len(SEQ) + 2:]}, m AS (SELECT kmer, count(*) AS n FROM km GROUP BY 1 ORDER BY n DESC, kmer LIMIT 8),
 x AS (SELECT kmer, m.n, a / (a + c + g + t) AS pa, c / (a + c + g + t) AS pc, g / (a + c + g + t) AS pg, t / (a + c + g + t) AS pt, a + c + g + t AS total FROM m, n)
@@ -215,8 +224,8 @@ def n6(spark: SparkSession, d: str) -> DataFrame:
     r = s.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(10)))).withColumn("place", F.explode(F.sequence(F.lit(1), F.length("seq"))))
     base = F.when(u("place", F.lit(1)) < F.col("gc"), F.when(u("place", F.lit(2)) < 0.5, "G").otherwise("C")).otherwise(F.when(u("place", F.lit(2)) < 0.5, "A").otherwise("T"))
     drawn = r.select("item_id", "replicate", "place", base.alias("b")).groupBy("item_id", "replicate").agg(F.sort_array(F.collect_list(F.struct("place", "b"))).alias("x"))
-    null = drawn.select("item_id", F.regexp_count(F.array_join(F.transform("x", lambda p: p["b"]), ""), F.lit("AC[ACGT]{4,8}GT")).alias("h")).groupBy("item_id").agg(F.avg("h").alias("null_mean"), F.stddev_pop("h").alias("null_sd"))
-    return s.select("item_id", F.regexp_count("seq", F.lit("AC[ACGT]{4,8}GT")).alias("observed")).join(null, "item_id")
+    null = drawn.select("item_id", F.regexp_count(F.array_join(F.transform("x", lambda p: p["b"]), ""), F.lit(SKELETON)).alias("h")).groupBy("item_id").agg(F.avg("h").alias("null_mean"), F.stddev_pop("h").alias("null_sd"))
+    return s.select("item_id", F.regexp_count("seq", F.lit(SKELETON)).alias("observed")).join(null, "item_id")
 
 
 @query("n9_control_table", "SELECT * FROM (VALUES ('window_shuffle', true), ('slot_shuffle', true), ('gc_matched', false)) v(control, required)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from seqloom.functions.u64 import FNV_OFFSET, FNV_PRIME, signed
 from seqloom.plans import QUERIES
 
@@ -56,3 +58,15 @@ def test_pair_null_draws_from_whole_test_streams(spark, sf):
     assert {(r.row, r.col, r.mode) for r in null} == {(*c, m) for c in cells for m in ("symbol_shuffle", "rotation", "block_boundary")}
     e = min(edges.values())
     assert {r.samples for r in null} == {max(10_000, min(20 * e, 50_000) if e < 5000 else min(10 * e, 200_000))}
+
+
+def test_every_skeleton_start_counts(spark, tmp_path):
+    texts = ["abab" + "abcd" * 20, "ab" * 6 + "cd" * 6, "none", ""]  # a, b, c, d stand for A, C, G, T
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    from seqloom.plans.motifs import BASES, LETTERS
+
+    seqs = [t.translate(str.maketrans(LETTERS, BASES)) for t in texts]
+    want = {i: sum(bool(re.match("AC[ACGT]{4,8}GT", s[p:])) for p in range(len(s))) for i, s in enumerate(seqs)}
+    assert {r.item_id: r.hits for r in QUERIES["x4b_skeleton_starts"](spark, str(tmp_path)).collect()} == want
+    assert {r.item_id: r.observed for r in QUERIES["n6_gc_matched"](spark, str(tmp_path)).collect()} == {i: n for i, n in want.items() if seqs[i]}
+    assert any(n > len(re.findall("AC[ACGT]{4,8}GT", seqs[i])) for i, n in want.items())
