@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +26,32 @@ def _accuracy(tr: DataFrame) -> DataFrame:
     return c.groupBy("replicate").agg((F.sum("top") / F.sum("n")).alias("value")).withColumn("metric", F.lit("weighted_top1"))
 
 
-def null_test(spark: SparkSession, d: str, within: list[str]) -> DataFrame:
+def _determinism(tr: DataFrame) -> DataFrame:
+    """replicate, metric, value: _accuracy and the mean entropy (bits) of the next state over the states."""
+    from pyspark.sql.window import Window
+
+    c = tr.groupBy("replicate", "from", "to").count()
+    p = F.col("count") / F.sum("count").over(Window.partitionBy("replicate", "from"))
+    g = c.withColumn("_h", -p * F.log2(p)).groupBy("replicate", "from").agg(F.max("count").alias("top"), F.sum("count").alias("n"), F.sum("_h").alias("h"))
+    both = g.groupBy("replicate").agg((F.sum("top") / F.sum("n")).alias("weighted_top1"), F.avg("h").alias("mean_entropy"))
+    return both.unpivot("replicate", ["weighted_top1", "mean_entropy"], "metric", "value")
+
+
+def state_scores(w: DataFrame, within: list[str], metrics: Callable[[DataFrame], DataFrame] = _accuracy, low: tuple[str, ...] = ()) -> DataFrame:
+    """Scores of the metrics of w(stream, pos, symbol) against symbols shuffled within groups."""
     from ..operators.sequence import pairs
 
-    w = walk(spark, d).select("stream", "pos", "symbol", F.lit("all").alias("everything"), F.floor(F.col("sec") / 86400).alias("win"), F.floor(F.pmod(F.col("sec"), F.lit(86400)) / 6171.5).alias("slot"))
-    observed = _accuracy(pairs(w.withColumn("replicate", F.lit(0)), ["stream"], ["pos"], "symbol"))
+    observed = metrics(pairs(w.withColumn("replicate", F.lit(0)), ["stream"], ["pos"], "symbol"))
     null = shuffled(w, within, ["stream", "pos"], "symbol", REPLICATES)
-    return null_scores(_accuracy(pairs(null, ["replicate", "stream"], ["pos"], "symbol")), observed)
+    return null_scores(metrics(pairs(null, ["replicate", "stream"], ["pos"], "symbol")), observed, low=low)
+
+
+def states(spark: SparkSession, d: str) -> DataFrame:
+    return walk(spark, d).select("stream", "pos", "symbol", F.lit("all").alias("everything"), F.floor(F.col("sec") / 86400).alias("win"), F.floor(F.pmod(F.col("sec"), F.lit(86400)) / 6171.5).alias("slot"))
+
+
+def null_test(spark: SparkSession, d: str, within: list[str]) -> DataFrame:
+    return state_scores(states(spark, d), within)
 
 
 @query("n2_state_shuffle")
@@ -51,7 +72,11 @@ def n4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a32_n8_gates")
 def n8(spark: SparkSession, d: str) -> DataFrame:
-    scores = null_test(spark, d, ["stream"])
+    return evidence_gates(states(spark, d))
+
+
+def evidence_gates(w: DataFrame) -> DataFrame:
+    scores = state_scores(w, ["stream"], _determinism, ("mean_entropy",))
     return gates(scores, [("weighted_top1", 10.0, 0.05, "high"), ("mean_entropy", -3.0, 0.05, "low")])
 
 

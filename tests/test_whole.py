@@ -70,3 +70,13 @@ def test_every_skeleton_start_counts(spark, tmp_path):
     assert {r.item_id: r.hits for r in QUERIES["x4b_skeleton_starts"](spark, str(tmp_path)).collect()} == want
     assert {r.item_id: r.observed for r in QUERIES["n6_gc_matched"](spark, str(tmp_path)).collect()} == {i: n for i, n in want.items() if seqs[i]}
     assert any(n > len(re.findall("AC[ACGT]{4,8}GT", seqs[i])) for i, n in want.items())
+
+
+def test_entropy_gate_has_a_status(spark, sf):
+    from seqloom.plans.models import evidence_gates
+
+    cycle = spark.range(600).selectExpr("id % 3 AS stream", "id div 3 AS pos", "CAST(id div 3 % 4 AS string) AS symbol")
+    assert {r.metric: r.status for r in evidence_gates(cycle).collect()} == {"weighted_top1": "pass", "mean_entropy": "pass"}
+    noise = cycle.selectExpr("stream", "pos", "CAST(pmod(xxhash64(stream, pos), 4) AS string) AS symbol")
+    assert {r.metric: r.status for r in evidence_gates(noise).collect()} == {"weighted_top1": "fail", "mean_entropy": "fail"}
+    assert "missing" not in {r.status for r in QUERIES["a32_n8_gates"](spark, sf).collect()}
