@@ -30,21 +30,54 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it again: later steps neither recompute it nor lose it with an executor."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables from cut() that no later step reads."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Hash buckets of keys in prefiltered(); what is broadcast has at most one row for each.
+#: Hash buckets of keys in prefiltered() and marked(); what is broadcast has at most one row for each.
 BUCKETS = 1 << 20
 
 
-def prefiltered(rows: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
-    """The rows whose key shares a hash bucket with one of keys: few texts move where few are wanted.
+def marked(rows: DataFrame, keys: DataFrame, on: list[str], name: str) -> DataFrame:
+    """rows and a boolean: may its columns `on` be among keys? False is certain.
 
     The buckets are broadcast; there are BUCKETS at most, whatever the size of the tables. An exact join must follow.
     """
-    wanted = keys.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_b")).distinct()
-    return rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).join(F.broadcast(wanted), "_b", "left_semi").drop("_b")
+    bucket = f"bucket_{uuid.uuid4().hex}"
+    of = F.pmod(F.xxhash64(*on), F.lit(BUCKETS)).alias(bucket)
+    wanted = keys.select(of).distinct().withColumn(name, F.lit(True))
+    found = rows.withColumn(bucket, F.pmod(F.xxhash64(*on), F.lit(BUCKETS))).join(F.broadcast(wanted), bucket, "left")
+    return found.withColumn(name, F.coalesce(name, F.lit(False))).drop(bucket)
+
+
+def prefiltered(rows: DataFrame, keys: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """The rows whose key shares a hash bucket with one of keys: few texts move where few are wanted; see marked()."""
+    on, bucket = on or ["key"], f"bucket_{uuid.uuid4().hex}"
+    wanted = keys.select(F.pmod(F.xxhash64(*on), F.lit(BUCKETS)).alias(bucket)).distinct()
+    return rows.withColumn(bucket, F.pmod(F.xxhash64(*on), F.lit(BUCKETS))).join(F.broadcast(wanted), bucket, "left_semi").drop(bucket)
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], heavy: DataFrame) -> DataFrame:
+    """rows joined with keyed, where keys of `heavy` may have any share of rows.
+
+    Rows of these keys are dealt over all shuffle partitions, and what keyed has for them is copied to each; so heavy
+    keys should have far more rows than there are partitions.
+    """
+    flag, salt, n = f"heavy_{uuid.uuid4().hex}", f"salt_{uuid.uuid4().hex}", n_parts(rows.sparkSession)
+    dealt = F.when(F.col(flag), F.pmod(F.xxhash64(*rows.columns), F.lit(n)).cast("int")).otherwise(F.lit(0))
+    left = marked(rows, heavy, on, flag).withColumn(salt, dealt)
+    right = marked(keyed, heavy, on, flag).withColumn(salt, F.explode(F.when(F.col(flag), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
+    return left.drop(flag).join(right.drop(flag), [*on, salt]).drop(salt)
