@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,13 +27,10 @@ from pyspark.sql import functions as F
 
 from .batches import slices
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|noscript|template|svg|iframe|textarea|select|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is never article text.
+RAW = frozenset("script style title noscript template svg iframe textarea select object math".split())
+NAME = re.compile(r"/?([a-zA-Z][^\s>/]*)")
+ATTRS = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i img input ins kbd label mark meter output picture progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +40,9 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SECTION = frozenset("article aside body div footer form header main nav section table td ul ol dl figure dialog details".split())
 
+#: Nearest ancestors that describe a block.
+DEPTH = 64
+
 
 @dataclass
 class Block:
@@ -54,10 +55,50 @@ def _words(attrs: str) -> tuple[str, ...]:
     return tuple(w for m in NAMES.finditer(attrs) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if len(w) > 1)
 
 
+@lru_cache(maxsize=None)
+def _closing(name: str) -> re.Pattern[str]:
+    return re.compile(rf"</{name}\s*>", re.I)
+
+
+def tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """start, end, closing, name and attributes of each tag; an empty name is what leaves no trace: comments, raw elements.
+
+    No character is looked at more than a few times: once a quote is found open to the end of the page, this and later
+    tags end at the next >, whatever their quotes; and a tag without any > takes the rest of the page with it.
+    """
+    n, loose = len(html), False
+    i = html.find("<")
+    while i >= 0:
+        m = NAME.match(html, i + 1)
+        if m:
+            name, closing = m[1].lower(), html[i + 1] == "/"
+            whole = None if loose else ATTRS.match(html, m.end())
+            loose = whole is None
+            end = whole.end() if whole else html.find(">", m.end()) + 1
+            if not end:
+                yield i, n, False, "", ""
+                return
+            if name in RAW and not closing:
+                last = _closing(name).search(html, end)
+                end = last.end() if last else n
+                yield i, end, False, "", ""
+            else:
+                yield i, end, closing, name, html[m.end() : end - 1]
+        elif html.startswith(("!", "?", "/"), i + 1):
+            mark = "-->" if html.startswith("!--", i + 1) else ">"
+            end = html.find(mark, i + (4 if len(mark) > 1 else 1))
+            end = end + len(mark) if end >= 0 else n
+            yield i, end, False, "", ""
+        else:
+            end = i + 1
+        i = html.find("<", end)
+
+
 def blocks(html: str) -> list[Block]:
     """The leaf blocks in page order: text without markup, one space for white space, and what it stands in."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    open_: Counter[str] = Counter()
     parts: list[str] = []
     linked = links = at = 0
 
@@ -66,35 +107,37 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(stack), linked))
+                out.append(Block(text, tuple(stack[-DEPTH:]), linked))
             parts.clear()
         linked = 0
 
     def close(names: tuple[str, ...], within: frozenset[str] = frozenset()) -> None:
+        if not any(open_[x] for x in names):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
+                open_.subtract(x for x, _ in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in within:
                 return
 
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            parts.append(html[at : m.start()])
+    for start, end, closing, tag, attrs in tags(html):
+        if start > at:
+            parts.append(html[at:start])
             if links:
-                linked += m.start() - at
-        at = m.end()
-        if m[3] is None:
+                linked += start - at
+        at = end
+        if not tag:
             continue
-        tag = m[3].lower()
         if tag in INLINE:
             if tag == "a":
-                links = 0 if m[2] else 1
+                links = 0 if closing else 1
             elif tag == "br":
                 parts.append(" ")
             continue
         flush()
-        if m[2]:
+        if closing:
             close((tag,))
         else:
             if tag in ENDS_P:
@@ -102,13 +145,11 @@ def blocks(html: str) -> list[Block]:
             if tag in CLOSES:
                 close(CLOSES[tag], SECTION - {"td"})
             if tag not in VOID:
-                stack.append((tag, _words(m[4]) if m[4] else ()))
+                stack.append((tag, _words(attrs) if attrs else ()))
+                open_[tag] += 1
             if tag in SECTION:
                 links = 0
-    if at < len(html):
-        rest = html[at:]
-        cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)  # a tag that the end of the page cuts off
-        parts.append(rest[: cut.start()] if cut else rest)
+    parts.append(html[at:])
     flush()
     return out
 
