@@ -78,23 +78,31 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return open_.select("source", "source_size", "target", "times", F.col("at").alias("below"))
 
 
+def _times(most: float, size: Column, digest: Column) -> Column:
+    """How often a document is taken. One without words costs nothing and would come with any threshold, so `most` bounds it."""
+    times = F.col("times") + (digest < F.col("below")).cast("long")
+    return F.when(size == 0, F.least(times, F.floor(F.lit(most)).cast("long"))).otherwise(times)
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per row of docs: key, source, size, source_size, target, taken (words, repeats counted) and times."""
-    size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), hash60(F.col(key)).alias("hash")), "mix")
+    rows = cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), _size(text).alias("size"), hash60(F.col(key)).alias("hash")), "mix")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = thresholds(rows, source_targets(sizes, weights, share, most)).withColumnRenamed("source", "s")
-    times = F.col("times") + (F.col("hash") < F.col("below")).cast("long")
+    times = _times(most, F.col("size"), F.col("hash"))
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
     return out.select(F.col("key").alias(key), "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
 
 
+def _size(text: str) -> Column:
+    return F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with all its columns. The texts aren't shuffled."""
-    size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = cut(docs.select(F.col(source).alias("source"), size.alias("size"), hash60(F.col(key)).alias("hash")), "mix")
+    docs = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), _size(text).alias("size"), hash60(F.col(key)).alias("hash"))
+    rows = cut(docs.drop("row"), "mix")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = thresholds(rows, source_targets(sizes, weights, share, most)).select(F.col("source").alias("_s"), F.col("times").alias("_times"), F.col("below").alias("_below"))
-    times = (F.col("_times") + (hash60(F.col(key)) < F.col("_below")).cast("long")).cast("int")
-    out = docs.join(plan, F.col(source).eqNullSafe(F.col("_s"))).withColumn("_times", times).filter("_times > 0")
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    plan = thresholds(rows, source_targets(sizes, weights, share, most)).select(F.col("source").alias("s"), "times", "below")
+    out = docs.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("row", _times(most, F.col("size"), F.col("hash")).cast("int").alias("n")).filter("n > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
