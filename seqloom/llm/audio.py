@@ -170,20 +170,21 @@ def read_audio(files: DataFrame, key: str = "doc_id", media: str = "media", to_r
                 sizes = np.array([len(d) for d in data])
                 ends = np.cumsum(sizes)
                 per = 1 + 2 * (BLOCK - 4)
-                whole = (ends % BLOCK == 0).all()
-                blocks = adpcm_decode(raw.reshape(-1, BLOCK)) if whole else None
+                whole = sizes % BLOCK == 0  # each file by itself
+                blocks = adpcm_decode(np.frombuffer(b"".join(d for d, w in zip(data, whole, strict=True) if w), np.uint8).reshape(-1, BLOCK))
+                upto = np.cumsum(np.where(whole, sizes // BLOCK, 0))
                 if law == ADPCM:
                     pcm, lengths = blocks.ravel(), sizes // BLOCK * per
                 else:
                     pcm, lengths = tables[law][raw], sizes
                 starts = np.cumsum(lengths) - lengths
                 slow = resample(pcm, starts, lengths, RATE, to_rate)
-                for i, d, s, a, b in zip(own, data, slow, ends - sizes, ends, strict=True):
+                for i, d, s, a, b, w, z in zip(own, data, slow, ends - sizes, ends, whole, upto, strict=True):
                     feature = [_told(f"pcm{to_rate}", s)]
                     if law != ADPCM:
                         feature.append(_told("other", tables[ALAW + MULAW - law][raw[a:b]]))
-                    if whole:
-                        feature.append(_told("adpcm", blocks[a // BLOCK : b // BLOCK].ravel()))
+                    if w:
+                        feature.append(_told("adpcm", blocks[z - len(d) // BLOCK : z].ravel()))
                     fact = rows[i].get(b"fact")
                     count = struct.unpack_from("<I", fact)[0] if fact is not None and len(fact) >= 4 else len(d)
                     out[i] = (count, bytes(d), s.astype("<i2").tobytes(), "; ".join(feature))
