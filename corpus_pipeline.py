@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.bpe import encode
-from seqloom.llm.common import shared_dir, table
+from seqloom.llm.common import cut, marked, shared_dir, table
 from seqloom.llm.exact import deduplicated
 from seqloom.llm.mixing import mixed_documents
 from seqloom.llm.ngrams import classes_of
@@ -27,7 +27,8 @@ KEEP_SCORE = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     net = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), ~held_out(4, 2))
-    return score(docs, net).filter(F.col("score") >= KEEP_SCORE).drop("score")
+    name = f"score_{uuid.uuid4().hex}"  # docs may have any columns
+    return score(docs, net, name=name).filter(F.col(name) >= KEEP_SCORE).drop(name)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +39,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shingles of five words, similarity 0.8; the smallest doc_id of each group stays, rows that share it together."""
     ship(spark)
-    stays = classes_of(docs, k=5, percent=80).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    classes = classes_of(docs, k=5, percent=80).select(F.col("doc_id").alias("key"), (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("goes"))
+    gone = cut(classes.filter("goes").select("key").distinct(), "near-copies")
+    # Rows that certainly stay, by their key's hash bucket, aren't shuffled.
+    rows = marked(docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key")), gone, ["key"], "maybe")
+    left = rows.filter("maybe").alias("r").join(gone.alias("g"), F.col("r.key").eqNullSafe(F.col("g.key")), "left_anti")
+    return rows.filter("not maybe").select("row").unionByName(left.select("row")).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

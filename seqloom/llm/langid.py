@@ -4,7 +4,8 @@ Texts become TF-IDF vectors of hashed byte n-grams of unit length. Each language
 its own training vectors by cosine; a text gets the language of the centroid nearest by cosine, and is rejected if it
 is farther from it than nearly all training texts of that centroid are.
 
-The fit sees at most `per_lang` rows of each language, chosen by a hash of the key; vectors are made in tasks.
+The fit sees at most `per_lang` rows of each language and about `in_all` of all languages (16 KB each), chosen by a hash of
+the key; vectors are made in tasks.
 
 Defined results: a null text or one without a letter is `und` with score 0; rows whose lang is null teach nothing; with
 nothing to learn from, every text is `und`; texts are read whole; repeated rows and further columns change nothing.
@@ -84,13 +85,14 @@ def clustered(v: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.nd
     return points, (v @ points.T).argmax(1)
 
 
-def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 300, clusters: int = 4, tail: float = 0.01) -> Centroids | None:
+def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 300, in_all: int = 20_000, clusters: int = 4, tail: float = 0.01) -> Centroids | None:
     """Centroids from at most per_lang rows a language, of those where learn holds."""
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key, text).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     totals = rows.groupBy("lang").count().withColumn("cut", F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(1.5 * per_lang) / F.col("count") + F.lit(0.0)) * F.lit(2.0**64))
-    few = rows.join(F.broadcast(totals.select("lang", "cut")), "lang").filter(F.col("h") <= F.col("cut"))  # a row for each language, all of which the model holds as well
+    totals = totals.withColumn("most", F.greatest(F.lit(1), F.least(F.lit(per_lang), F.floor(F.lit(in_all) / F.count("*").over(Window.partitionBy())))))  # one row for each language
+    few = rows.join(F.broadcast(totals.select("lang", "cut", "most")), "lang").filter(F.col("h") <= F.col("cut"))  # a row for each language, all of which the model holds as well
     best = Window.partitionBy("lang").orderBy("h", F.md5("text"))
-    few = few.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_lang).select("lang", "rank", "text")
+    few = few.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= F.col("most")).select("lang", "rank", "text")
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20, 256):

@@ -4,10 +4,12 @@ Each byte has a learned vector. Learned filters of 8 bytes run over the whole te
 chunks of 256 bytes, one every 192, keep each filter's maximum. A hidden layer sees each chunk; the mean and the maximum
 of its outputs over all chunks give one probability.
 
-The fit sees at most `per_class` labelled rows of each class, chosen by a hash of the key, and runs with a fixed seed.
+The fit sees at most `per_class` labelled rows of each class, chosen by a hash of the key, none of them above `most_bytes`
+(so the driver holds a bounded sample), and runs with a fixed seed. Scores are of whole texts.
 
 Defined results: null and empty texts are scored as a text of padding; rows without a label teach nothing; with only one
-class to learn from, every score is that class; texts are read whole; repeated rows and further columns change nothing.
+class to learn from, every score is that class; a key with several labels has the smallest, one with several texts teaches
+the one with the smallest hash; texts are read whole; repeated rows and further columns change nothing.
 """
 
 from __future__ import annotations
@@ -118,7 +120,7 @@ class ConvNet:
                     self.w[k] = (self.w[k] - now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1200, epochs: int = 6, tries: int = 3) -> ConvNet | None:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1200, most_bytes: int = 1 << 17, epochs: int = 6, tries: int = 3) -> ConvNet | None:
     """A network from at most per_class rows of each class, of the labelled rows where learn holds.
 
     A fit that doesn't tell its own rows apart starts again from another seed, up to `tries` times; the best is kept.
@@ -128,9 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     totals = marks.groupBy("label").count().withColumn("cut", F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(1.5 * per_class) / F.col("count")) * F.lit(2.0**64))
     best = Window.partitionBy("label").orderBy("h", key)
     few = marks.join(F.broadcast(totals.select("label", "cut")), "label").filter(F.col("h") <= F.col("cut"))  # two rows
-    few = few.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_class).select(key, "label")
-    rows = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(few), key)  # 2 * per_class rows at most
-    got = rows.select(F.col(key).alias("key"), "text", "label").toPandas().sort_values(["key", "text", "label"])
+    few = few.groupBy(key, "h").agg(F.min("label").alias("label")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_class).select(key, "label")
+    rows = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).filter(F.octet_length("text") <= most_bytes)
+    rows = rows.join(F.broadcast(few), key).groupBy(F.col(key).alias("key"), "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # 2 * per_class keys at most
+    got = rows.toPandas().sort_values("key")
     if not len(got):
         return None
     texts, y = [t.encode() for t in got["text"]], got["label"].to_numpy().astype(np.float32)
@@ -147,13 +150,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     return found
 
 
-def score(docs: DataFrame, net: ConvNet | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs and `score`: the probability of label 1, 0.5 where nothing was learned.
+def score(docs: DataFrame, net: ConvNet | None, key: str = "doc_id", text: str = "text", name: str = "score") -> DataFrame:
+    """All columns of docs and `name`: the probability of label 1, 0.5 where nothing was learned.
 
     Only the texts go to Python and only scores come back; the other columns stay where they are.
     """
-    if "score" in docs.columns:
-        raise ValueError("docs has a column named score")
+    if name in docs.columns:
+        raise ValueError(f"docs has a column named {name}; give another name")
 
     def run(column: pd.Series) -> pd.Series:
         out = np.full(len(column), 0.5)
@@ -168,4 +171,4 @@ def score(docs: DataFrame, net: ConvNet | None, key: str = "doc_id", text: str =
             at = to
         return pd.Series(out)
 
-    return docs.withColumn("score", F.pandas_udf(run, "double")(F.col(text).cast("string")))
+    return docs.withColumn(name, F.pandas_udf(run, "double")(F.col(text).cast("string")))
