@@ -329,3 +329,201 @@ def test_fine_bins_keep_every_near_pair():
     full = [b"\xff" * 64, b"\xff" * 64]
     assert _near(np.array([90000, 90000]), full, 90).all()
     assert not _near(np.array([5]), [bytes(64)], 80).any()
+
+
+def test_exact_repeated_keys_and_collisions(spark):
+    """Keys and null keys that repeat, under a digest of one byte: no row is multiplied, and groups are those of the bytes."""
+    docs = random_docs(11, 60) + random_docs(12, 60) + [(None, f"n {i % 7}") for i in range(30)] + [(3, "a b"), (3, "a  b"), (3, "c")]
+    got = exact.exact_groups(table(spark, docs), digest=lambda b: hashlib.sha256(b).digest()[:1], memtable=16).collect()
+    big = 1 << 62
+    groups: dict[str, list] = {}
+    for d, t in docs:
+        groups.setdefault("".join(t.split()), []).append((-len(t), big if d is None else d))
+    best = {g: min(own)[1] for g, own in groups.items()}
+    want = sorted((big if d is None else d, best["".join(t.split())], len(groups["".join(t.split())])) for d, t in docs)
+    assert sorted((big if r["doc_id"] is None else r["doc_id"], big if r["keep_id"] is None else r["keep_id"], r["group_size"]) for r in got) == want
+
+
+def test_runs_of_many_batches():
+    """A memtable that comes in several frames is one run, with the filter that it was flushed with."""
+    r = np.random.default_rng(3)
+    d = exact.as_bytes(np.array([bytes(x) for x in r.integers(0, 256, (500, 8), dtype=np.uint8)], "V8"))
+    a, b = exact.Run.flush(d[:300], np.ones(300, int), np.arange(300)), exact.Run.flush(d[200:], np.full(300, 2), np.arange(200, 500))
+    both = a.merge(b)
+    assert len(both.digests) == 500 and both.rows.sum() == 600 and (np.diff(both.digests.argsort()) == 1).all()
+    assert exact.claimed(both.digests, both.filter, both.n_bits).all()
+
+
+CLASH = ["row", "key", "digest", "kept", "times", "maybe", "n", "size", "hash", "s", "below", "_k", "_n", "_s", "_times", "_id", "score", "t", "text_", "bucket", "goes"]
+
+
+def clashing(spark, rows):
+    return table(spark, rows).drop("key").select("*", *(F.lit(i).alias(c) for i, c in enumerate(CLASH)))
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    cp = pytest.importorskip("corpus_pipeline")
+    df = clashing(spark, [*random_docs(4, 80), *ODD]).cache()
+    for name, stage in cp.STAGES[:4]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns, name
+        rows = out.collect()
+        assert all(r[c] == i for r in rows for i, c in enumerate(CLASH)), name
+    with pytest.raises(ValueError):
+        quality.score(df, None)
+
+
+def test_mixing_takes_empty_documents_no_oftener(spark):
+    docs = [(i, "", "a") for i in range(40)] + [(100 + i, "w " * 10, "a") for i in range(20)] + [(200 + i, "w " * 50, "b") for i in range(20)]
+    out = mixing.mix(table(spark, docs)).collect()
+    assert max(x["times"] for x in out) <= 2
+    got = [r["doc_id"] for r in mixing.mixed_documents(table(spark, docs)).collect()]
+    assert max(map(got.count, set(got))) <= 2 and len(got) == sum(x["times"] for x in out)
+
+
+def test_audio_feature_is_of_each_file(spark):
+    """A file's feature doesn't follow what else its batch holds; all columns as from a plain reading."""
+    raw = [bytes(range(192)), b"12345", bytes(384), b"\xff" * 192, b""]
+    one = {}
+    for k, x in enumerate(raw):
+        files = spark.createDataFrame([(k, bytearray(audio.wav(x, audio.MULAW, len(x))))], "doc_id long, media binary")
+        one[k] = audio.read_audio(files).first()
+    files = spark.createDataFrame([(k, bytearray(audio.wav(x, audio.MULAW, len(x)))) for k, x in enumerate(raw)], "doc_id long, media binary").coalesce(1)
+    for r in audio.read_audio(files).collect():
+        assert r == one[r["doc_id"]]
+        x = raw[r["doc_id"]]
+        assert ("adpcm" in r["feature"]) == (len(x) % 192 == 0)
+        pcm = audio.mulaw_table()[np.frombuffer(x, np.uint8)].astype(np.int64)
+        slow = np.frombuffer(r["pcm"], "<i2").astype(np.int64)
+        assert len(slow) == 2 * len(x)
+        if len(x):
+            rms, peak = (float((slow**2).sum()) / len(slow)) ** 0.5, int(np.abs(slow).max())
+            crossings = sum((p < 0) != (q < 0) for p, q in zip(slow[1:], slow[:-1], strict=True))
+            assert r["feature"].startswith(f"pcm16000 rms={rms:.2f} peak={peak} zc={crossings}; other ")
+            # Even samples stand where the stored ones do; the filter's integer taps move them little.
+            assert np.abs(slow[::2] - pcm).max() <= 2 + np.abs(pcm).max() // 500
+
+
+def test_html_scanner():
+    got = lambda h: [b.text for b in html.blocks(h)]
+    assert got("<p title='a>b'>x</p><script>if (a<b) '</p>'</SCRIPT >y<!-- a > b -->z") == ["x", "yz"]
+    assert got('a < b <p>c</p><p class="open>d <b>e</b></p><p>f') == ["a < b", "c", "d e", "f"]
+    assert got("x<p") == ["x"] and got("<style>p{}") == [] and got("<?xml?>a<!doctype html>b</ >c") == ["abc"]
+    import time
+
+    for part in ('<a b="', "<div>x", "<script", "<li>a<x>", "</p><q a='", "<!--", "<p><i>"):
+        began = time.time()
+        html.blocks(part * 50_000)
+        assert time.time() - began < 5, part
+
+
+def test_html_styles_not_learned(spark):
+    """Pages of frames whose class names none of the made training pages has: tags and text have to tell."""
+    r = random.Random(5)
+    para = lambda: " ".join("".join(r.choice("aeiourstln") for _ in range(r.randint(2, 8))) for _ in range(r.randint(25, 60))).capitalize() + "."
+    pages, want = [], {}
+    for k in range(60):
+        body = [para() for _ in range(r.randint(3, 6))]
+        links = "".join(f'<li><a href="/{i}">{w}</a></li>' for i, w in enumerate(("Zuhause", "Neues", "Kontakt")))
+        inner = "".join(f"<p>{b}</p>" for b in body)
+        pages.append((k, "u", f'<html><body><nav class="q{k}"><ul>{links}</ul></nav><main class="z{k}"><article>{inner}</article></main><footer class="y{k}"><p>© {k} Q</p></footer></body></html>'))
+        want[k] = "\n".join(body)
+    got = {x["page_id"]: x["text"] for x in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert np.mean([got[k] == want[k] for k in want]) > 0.85
+
+
+def test_network_as_plain_loops():
+    """The whole network, one text, filter position and chunk at a time."""
+    net = quality.ConvNet(3)
+    w, size = net.w, quality.STEP * quality.BLOCK
+
+    def plain(text: bytes) -> float:
+        n = (len(text) + quality.STEP + size - 1) // size
+        raw = text + b"\0" * (n * size - len(text))
+        vec = w["embed"][list(raw)]
+        filters = np.zeros((n * quality.BLOCK, quality.FILTERS))
+        for p in range(n * quality.BLOCK - 1):
+            near = vec[p * quality.STEP : (p + 1) * quality.STEP].ravel()
+            after = vec[(p + 1) * quality.STEP : (p + 2) * quality.STEP].ravel()
+            filters[p] = np.maximum(near @ w["near"] + after @ w["next"] + w["bias"], 0)
+        hidden = []
+        for at in range(0, max(1, n - 1), quality.MOVE):
+            blocks = [min(at + i, n - 1) for i in range(quality.CHUNK)]
+            pooled = np.max([filters[b * quality.BLOCK : (b + 1) * quality.BLOCK].max(0) for b in blocks], axis=0)
+            hidden.append(np.maximum(pooled @ w["hidden"] + w["hidden_bias"], 0))
+        z = float(np.r_[np.mean(hidden, 0), np.max(hidden, 0)] @ w["out"] + w["out_bias"][0])
+        return 1 / (1 + np.exp(-z))
+
+    r = random.Random(1)
+    texts = [bytes(r.randrange(256) for _ in range(r.choice((0, 1, 59, 60, 61, 64, 255, 256, 700, 3000)))) for _ in range(40)]
+    assert np.allclose(net.scores(texts), [plain(t) for t in texts], atol=1e-5)
+
+
+def test_vectors_as_plain_counts():
+    """Counts, weights and the nearest centroid, one n-gram at a time."""
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcdé ÄX") for _ in range(r.randint(0, 60))).encode() for _ in range(30)] + [b"", b"a", b"ab"]
+
+    def plain(t: bytes) -> np.ndarray:
+        out = np.zeros(langid.DIM, np.int64)
+        t = t.lower()
+        for g in langid.GRAMS:
+            for i in range(len(t) - g + 1):
+                code = 0
+                for c in t[i : i + g]:
+                    code = (code * 257 + c) & 0xFFFFFFFF
+                out[(code * (2654435761 + 2 * (g - 1)) & 0xFFFFFFFF) >> 20] += 1
+        return out
+
+    raw = np.stack([plain(t) for t in texts])
+    assert (langid.counts(texts) == raw).all()
+    idf = np.random.default_rng(1).uniform(1, 3, langid.DIM).astype(np.float32)
+    points = langid.weighted(raw[:5] + 1, idf)
+    model = langid.Centroids(["x", "y"], np.array([0, 1, 0, 1, 1]), points, np.full(5, 0.2), idf)
+    names, score, far = model.nearest(texts)
+    for k, t in enumerate(raw):
+        v = [np.log1p(float(c)) * float(f) for c, f in zip(t, idf, strict=True)]
+        length = sum(x * x for x in v) ** 0.5 or 1.0
+        cosine = [sum(x * float(y) for x, y in zip(v, p, strict=True)) / length for p in points]
+        best = int(np.argmax(cosine))
+        assert score[k] == pytest.approx(cosine[best], abs=1e-5) and far[k] == (score[k] < 0.2)
+        assert sorted(cosine)[-1] - sorted(cosine)[-2] < 1e-6 or names[k] == model.langs[model.of[best]]
+
+
+def test_languages_repeated_rows_and_long_texts(spark):
+    rows = [(1, "the thing and other", "en"), (2, "der die das und schon", "de"), (5, "den dem ein eine", "de"), (6, "they them then this", "en")]
+    df = spark.createDataFrame([*rows, *rows, (3, "the thing and other " * 30000, None), (4, None, None)], "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(True), in_all=4)
+    got = langid.identify(df, model).collect()
+    assert len(got) == 10 and {x["lang_pred"] for x in got if x["doc_id"] == 3} == {"en"} and {x["lang_pred"] for x in got if x["doc_id"] == 4} == {"und"}
+    assert langid.identify(df.limit(0), model).count() == 0
+
+
+def test_long_texts(spark):
+    """A text of a million bytes in each operator that has no other such test."""
+    long = "\n".join(f"word{i} and some words that follow number {i % 977}" for i in range(20000))
+    df = table(spark, [(1, long), (2, long.replace("word7 ", "word8 ")), (3, "short")])
+    out = {r["doc_id"]: r for r in lines.without_lines(df).collect()}
+    # Of the changed line's eight words seven are in the lines of word7 and of word8, 7 of 9 in all: it stays.
+    assert out[3]["n_removed"] == 0 and out[2]["n_removed"] == 19999 and out[1]["n_lines"] == 20000
+    page = "<body><article>" + "".join(f"<p>{x}.</p>" for x in long.split("\n")) + "</article></body>"
+    pages = spark.createDataFrame([(1, "u", page), (1, "u", page)], "page_id long, url string, html string")
+    assert {r["text"].count("\n") for r in html.extract(pages).collect()} == {19999}
+
+
+def test_repeats_over_pieces(spark, monkeypatch):
+    """Texts longer than a piece: the same result wherever the pieces end."""
+    r = random.Random(2)
+    a = "".join(r.choice("abcd") for _ in range(3000))
+    docs = [(1, a + "x" * 50 + a[500:2500]), (2, "y" * 777 + a[1000:1900]), (3, a[:399]), (4, "ab" * 900)]
+    monkeypatch.setattr(repeats, "PIECE", 512)
+    rows = repeats.anchor_rows(repeats._input(table(spark, docs), "doc_id", "text"), 400).collect()
+    whole = {1: len(docs[0][1]), 2: len(docs[1][1]), 4: 1800}
+    for d, n in whole.items():
+        starts = sorted(s for x in rows if x["key"] == d for s in range(x["lo"], x["hi"] + 1))
+        assert starts == list(range(n - 399))
+    got = {}
+    for x in repeats.without_repeats(table(spark, docs)).collect():
+        sp = x["spans"] or []
+        got[x["doc_id"]] = (x["n_bytes"], sum(s["end"] - s["start"] for s in sp), len(sp), x["sha256"] if x["kept"] is None else hashlib.sha256(x["kept"]).hexdigest())
+    assert got == brute.repeats(docs, 400)
