@@ -13,6 +13,7 @@ EPS, EXP_LIMIT, HARD = 1e-12, 60.0, 1e100
 SCALES = (1.70, 0.45, 0.006, 0.035, 0.55)
 OFFSET_3 = 0.985
 VARIANT_SALT = 0x4B444E415F564152
+COARSE_SALT = 0x4B444E415F4B4558
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -83,6 +84,34 @@ def variant_id(raw: Column, dom: Column, lock: Column, score: Column, k: list[Co
     return h
 
 
+def coarse_variant(raw: Column, dom: Column, lock: Column, score: Column, k: list[Column]) -> Column:
+    """XOR of the hashes of coarsely quantised field values; 1 in place of 0."""
+    q = lambda x: hash64(F.floor(x).cast("long"))
+    h = lit64(COARSE_SALT).bitwiseXOR(hash64(raw.cast("long") + 0x11)).bitwiseXOR(hash64(F.shiftleft(dom.cast("long"), 8) + 0x22))
+    parts = [lock * 32.0, F.log1p(F.abs(score)) * 16.0, F.log1p(F.abs(k[0])) * 8.0, k[1] * 16.0, k[2] * 16.0, k[3] * 24.0, k[4] * 16.0]
+    for x in parts:
+        h = h.bitwiseXOR(q(x))
+    return F.when(h == 0, F.lit(1).cast("long")).otherwise(h)
+
+
+# operators' numbers and effects' codes by name and short name.
+EFFECTS = {
+    "unknown": 0, "stable_attractor": 1, "attractor": 1, "envelope_form": 2, "envelope": 2, "phase_offset": 3, "phase": 3, "compression_gate": 4, "compression": 4,
+    "cascade_band": 5, "cascade": 5, "null_membrane_jump": 6, "null": 6, "membrane": 6, "raw_dom_mismatch_zone": 7, "mismatch": 7, "transition_bridge": 8, "transition": 8,
+}
+
+
+def effect_code(name: Column) -> Column:
+    """An effect's code from its name, short name or digit, in any case; null for anything else."""
+    names = F.create_map(*[F.lit(x) for pair in EFFECTS.items() for x in pair])
+    return F.coalesce(F.when(name.rlike("^[0-8]$"), name.try_cast("int")), F.try_element_at(names, F.lower(name)))
+
+
+def operator_number(name: Column) -> Column:
+    """1 to 5 from `K1` to `K5` in either case, or the digit alone; null for anything else."""
+    return F.when(name.rlike("^[Kk]?[1-5]$"), F.right(name, F.lit(1)).cast("int"))
+
+
 def project(symbol: Column, x_min: float, x_max: float, source_min: float | None = None, source_max: float | None = None) -> Column:
     """A symbol's place in [x_min, x_max]: by its hash, or in proportion to [source_min, source_max]."""
     from .u64 import unit

@@ -67,7 +67,7 @@ def policy_error(rules: Column, result: Column, risk: Column, confirmed: Column)
             .when((r["kind"] == "requires_confirmation_if_risk_at_least") & (risk_rank(risk) >= at_least(r)) & ~confirmed, F.lit("policy requires confirmation for this risk level"))
         )
 
-    claim = lambda r: F.when((r["kind"] == "forbidden_claim_contains") & F.coalesce(F.contains(F.get_json_object(result, "$.human_summary"), r["contains"]), F.lit(False)), F.lit("response contains a forbidden claim"))
+    claim = lambda r: F.when((r["kind"] == "forbidden_claim_contains") & F.coalesce(F.contains(F.call_function("get_json_object", result, F.concat(F.lit("$."), r["path"])), r["contains"]), F.lit(False)), F.lit("response contains a forbidden claim"))
     found = F.filter(F.transform(rules, lambda r: F.coalesce(broken(r), claim(r))), lambda e: e.isNotNull())
     return F.when(high, F.lit("high or critical risk requires confirmation")).otherwise(F.get(found, F.lit(0)))
 
@@ -155,6 +155,24 @@ def document_state(df: DataFrame, text: str, **named: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(n) for n, c in named.items()], F.col(text).alias("document")))
 
 
+def synthesized(result: Column) -> Column:
+    """A response body that proposes the one known action in another shape, as the command that the contract asks for.
+
+    Null for any other response: nothing else is mended. Scalars may stand in one-element arrays.
+    """
+    path = lambda p: F.get_json_object(result, f"$.machine_result.{p}")
+    scalar = lambda p, other="": F.coalesce(F.nullif(F.coalesce(path(f"{p}[0]"), path(p)), F.lit("")), F.lit(other))
+    target = F.when(path("target").isNotNull(), scalar("target")).otherwise(scalar("args.target"))
+    action = F.when(path("command").isNotNull(), scalar("command")).otherwise(scalar("action"))
+    summary = F.coalesce(F.nullif(F.get_json_object(result, "$.human_summary"), F.lit("")), F.lit("Create a safe sandbox markdown export request."))
+    args = F.struct(scalar("args.mode", "markdown").alias("mode"), scalar("args.theme", "plain").alias("theme"))
+    body = F.struct(
+        F.lit(RESPONSE).alias("schema"), F.lit("command").alias("type"), summary.alias("human_summary"), F.lit("low").alias("risk"), F.lit(False).alias("requires_confirmation"), F.lit(True).alias("uses_only_provided_context"),
+        F.struct(F.lit("emit_ui_command").alias("command"), F.lit(TARGETS[0]).alias("target"), args.alias("args")).alias("machine_result"),
+    )
+    return F.when((action == "emit_ui_command") & (target == TARGETS[0]), F.to_json(body))
+
+
 def repaired(response: Column) -> Column:
     """Near misses of the contract mended: curly quotes, Python's literals, and commas before a closing bracket."""
     x = F.translate(response, "“”‘’", "\"\"''")

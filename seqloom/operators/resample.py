@@ -9,18 +9,29 @@ from pyspark.sql.window import Window
 from ..functions.u64 import GAMMA, add64, hash64, lit64, mul64
 
 
-def shuffled(df: DataFrame, within: list[str], order: list[str], value: str, replicates: int, seed: int = 1) -> DataFrame:
+def shuffled(df: DataFrame, within: list[str], order: list[str], value: str, replicates: int, seed: int = 1, dealt: bool = False) -> DataFrame:
     """df once for each replicate, with `value` permuted within its groups.
 
-    A row's place among its group by order gets the value of the row that has this place by a hash of seed, replicate
-    and order: two ranks and one join, in parallel over replicates and groups.
+    The row that is k-th of its group by one hash of replicate and order gets the value of the row that is k-th by
+    another: two ranks and one join, in parallel over replicates and groups. Where groups are few and large, `dealt`
+    ranks rows within the 256 parts that their hashes' first letters make, and adds what the parts before hold; parts
+    are counted first, so no group is one task.
     """
+    group = ["replicate", *within]
     reps = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    by = Window.partitionBy("replicate", *within)
-    key = F.xxhash64(F.lit(seed), "replicate", *order)
-    ranked = reps.withColumns({"_r": F.row_number().over(by.orderBy(*order)), "_s": F.row_number().over(by.orderBy(key, *order))})
-    given = ranked.select("replicate", *within, F.col("_s").alias("_r"), F.col(value).alias("_v"))
-    return ranked.drop("_s", value).join(given, ["replicate", *within, "_r"]).drop("_r").withColumnRenamed("_v", value)
+
+    def ranked(name: str, cols: list[str]) -> DataFrame:
+        own = reps.withColumn("_h", F.md5(F.concat_ws("|", F.lit(name), F.lit(seed), "replicate", *order))).select(*cols, *[c for c in group if c not in cols], "_h")
+        if not dealt:
+            return own.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("_h"))).drop("_h")
+        own = own.withColumn("_p", F.left("_h", F.lit(2)))
+        parts = own.groupBy(*group, "_p").agg(F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        own = own.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_p").orderBy("_h")))
+        return own.join(parts.select(*group, "_p", before.alias("_b")), [*group, "_p"]).withColumn("_r", F.col("_r") + F.col("_b")).drop("_b", "_p", "_h")
+
+    left = ranked("place", [c for c in reps.columns if c != value])
+    return left.join(ranked("value", [value]), [*group, "_r"]).drop("_r")
 
 
 def seeded_position(seed: Column, draw: Column, n: Column) -> Column:

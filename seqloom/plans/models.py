@@ -15,7 +15,7 @@ from ..operators.stats import null_scores
 from ..operators.words import CAUSAL, has, steps
 from .catalog import query, t
 from .fields import rule_table
-from .streams import WALK, WORD, matrix, split_pairs, walk
+from .streams import _MATRIX, WALK, coupling_of, documents, pair_counts, walk
 
 REPLICATES = 40
 
@@ -37,37 +37,54 @@ def _determinism(tr: DataFrame) -> DataFrame:
     return both.unpivot("replicate", ["weighted_top1", "mean_entropy"], "metric", "value")
 
 
-def state_scores(w: DataFrame, within: list[str], metrics: Callable[[DataFrame], DataFrame] = _accuracy, low: tuple[str, ...] = ()) -> DataFrame:
+def state_scores(w: DataFrame, within: list[str], metrics: Callable[[DataFrame], DataFrame] = _accuracy, low: tuple[str, ...] = (), dealt: bool = False, replicates: int = REPLICATES) -> DataFrame:
     """Scores of the metrics of w(stream, pos, symbol) against symbols shuffled within groups."""
     from ..operators.sequence import pairs
 
     observed = metrics(pairs(w.withColumn("replicate", F.lit(0)), ["stream"], ["pos"], "symbol"))
-    null = shuffled(w, within, ["stream", "pos"], "symbol", REPLICATES)
+    null = shuffled(w, within, ["stream", "pos"], "symbol", replicates, dealt=dealt)
     return null_scores(metrics(pairs(null, ["replicate", "stream"], ["pos"], "symbol")), observed, low=low)
 
 
 def states(spark: SparkSession, d: str) -> DataFrame:
-    return walk(spark, d).select("stream", "pos", "symbol", F.lit("all").alias("everything"), F.floor(F.col("sec") / 86400).alias("win"), F.floor(F.pmod(F.col("sec"), F.lit(86400)) / 6171.5).alias("slot"))
+    return walk(spark, d).select("stream", "pos", "symbol", F.lit("all").alias("everything"), F.floor(F.col("sec") / 86400).alias("win"), F.floor(F.pmod(F.col("sec"), F.lit(86400)) / 6171.5).alias("slot"), F.floor(F.pmod(F.col("sec"), F.lit(86400)) / 3600).alias("family"))
 
 
-def null_test(spark: SparkSession, d: str, within: list[str]) -> DataFrame:
-    return state_scores(states(spark, d), within)
+SCORED = ["observed", "null_mean", "null_sd", "z", "p"]
 
 
-@query("n2_state_shuffle")
+def null_test(spark: SparkSession, d: str, within: list[str], dealt: bool = False, replicates: int = REPLICATES) -> DataFrame:
+    return state_scores(states(spark, d), within, dealt=dealt, replicates=replicates).withColumns({c: F.round(c, 6) for c in SCORED})
+
+
+def null_sql(within: str, replicates: int = REPLICATES) -> str:
+    """The same draws: row k of a group by one md5 gets the value of row k by another."""
+    rank = lambda name: f"row_number() OVER (PARTITION BY replicate, {within} ORDER BY md5('{name}|1|' || replicate || '|' || stream || '|' || pos)) AS r"
+    acc = lambda t, name: f"""{name}p AS (SELECT replicate, symbol AS f, lead(symbol) OVER (PARTITION BY replicate, stream ORDER BY pos) AS t FROM {t}),
+{name}c AS (SELECT replicate, f, t, count(*) AS n FROM {name}p WHERE t IS NOT NULL GROUP BY ALL), {name}g AS (SELECT replicate, f, max(n) AS top, sum(n) AS n FROM {name}c GROUP BY ALL),
+{name} AS (SELECT replicate, sum(top) / sum(n) AS value FROM {name}g GROUP BY 1)"""
+    return f"""WITH {WALK}, w AS (SELECT stream, pos, symbol, floor(sec / 86400)::BIGINT AS win, floor((sec % 86400) / 6171.5::DOUBLE)::BIGINT AS slot, floor((sec % 86400) / 3600)::BIGINT AS family FROM walk),
+reps AS (SELECT w.*, replicate FROM w, range({replicates}) x(replicate)), ra AS (SELECT *, {rank('place')} FROM reps), rb AS (SELECT replicate, {within}, symbol, {rank('value')} FROM reps),
+nl AS (SELECT ra.replicate, ra.stream, ra.pos, rb.symbol FROM ra JOIN rb USING (replicate, {within}, r)), ob AS (SELECT 0 AS replicate, stream, pos, symbol FROM w),
+{acc('nl', 'nv')}, {acc('ob', 'ov')},
+s AS (SELECT o.value AS observed, avg(n.value) AS m, stddev_pop(n.value) AS sd, sum((n.value >= o.value)::INT) AS ge, count(*) AS iterations FROM nv n, ov o GROUP BY o.value)
+SELECT 'weighted_top1' AS metric, round(observed, 6) AS observed, round(m, 6) AS null_mean, round(sd, 6) AS null_sd, round((observed - m) / sd, 6) AS z, round((ge + 1) / (iterations + 1), 6) AS p, iterations FROM s"""
+
+
+@query("n2_state_shuffle", null_sql("stream"))
 def n2(spark: SparkSession, d: str) -> DataFrame:
     """States permuted within each user, who keeps their frequencies."""
     return null_test(spark, d, ["stream"])
 
 
-@query("n3_window_shuffle")
+@query("n3_window_shuffle", null_sql("win"))
 def n3(spark: SparkSession, d: str) -> DataFrame:
-    return null_test(spark, d, ["win"])
+    return null_test(spark, d, ["win"], dealt=True)
 
 
-@query("n4_slot_shuffle")
+@query("n4_slot_shuffle", null_sql("slot"))
 def n4(spark: SparkSession, d: str) -> DataFrame:
-    return null_test(spark, d, ["slot"])
+    return null_test(spark, d, ["slot"], dealt=True)
 
 
 @query("a32_n8_gates")
@@ -83,8 +100,7 @@ def evidence_gates(w: DataFrame) -> DataFrame:
 @query("n1_pair_null")
 def n1(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy of each cell of j2's matrix on pairs sampled from the row's test symbols, by sampling mode."""
-    p = split_pairs(spark, d)
-    known = p.filter("train").select(F.col("stream").alias("col"), "from", "to").distinct().withColumn("hit", F.lit(1))
+    known = pair_counts(spark, d).filter("tr > 0").select(F.col("stream").alias("col"), "from", "to").withColumn("hit", F.lit(1))
     symbols, sizes = test_symbols(spark, d)
     draws = sizes.agg(auto_draws(F.min("edges")).alias("draws"))
     rows = sizes.crossJoin(F.broadcast(draws))  # one row
@@ -100,12 +116,11 @@ def n1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def test_symbols(spark: SparkSession, d: str, width: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """stream, at, symbol: split_pairs' test symbols of each stream, numbered from 0 by document and place; and stream, n, edges of it.
+    """stream, at, symbol: pair_counts' test symbols of each stream, numbered from 0 by document and place; and stream, n, edges of it.
 
     Documents are numbered within ranges of identifiers and ranges by their counts, so that no window holds a whole stream's symbols.
     """
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    docs = t(spark, d, "documents").select(F.col("lang").alias("stream"), "doc_id", F.floor(F.col("doc_id") / width).alias("part"), words.alias("w")).withColumn("n", F.size("w")).filter("n >= 6").withColumn("cut", split_point("n", 0.7))
+    docs = documents(spark, d).withColumn("part", F.floor(F.col("doc_id") / width)).filter("n >= 6").withColumn("cut", split_point("n", 0.7))
     docs = docs.select("stream", "part", "doc_id", (F.col("n") - F.col("cut")).alias("m"), F.slice("w", (F.col("cut") + 1).cast("int"), (F.col("n") - F.col("cut")).cast("int")).alias("w"))
     from pyspark.sql.window import Window
 
@@ -118,19 +133,26 @@ def test_symbols(spark: SparkSession, d: str, width: int = 1000) -> tuple[DataFr
     return symbols.select("stream", (F.col("first") + F.col("i")).alias("at"), "symbol"), sizes
 
 
-@query("j4_observed_null")
+@query(
+    "j4_observed_null",
+    f"""WITH {_MATRIX}, a AS (SELECT stream, symbol, sum(c) AS a FROM te GROUP BY ALL), b AS (SELECT stream, nxt, sum(c) AS b FROM te GROUP BY ALL),
+y AS MATERIALIZED (SELECT a.stream AS "row", tr.stream AS col, tr.nxt, sum(a.a)::BIGINT AS a FROM tr JOIN a ON a.symbol = tr.symbol GROUP BY ALL),
+z AS (SELECT y."row", y.col, sum(y.a * b.b::BIGINT)::DOUBLE AS e FROM y JOIN b ON b.nxt = y.nxt AND b.stream = y."row" GROUP BY ALL)
+SELECT m."row", m.col, round(hits / test_transitions, 9) AS kgram_accuracy, round(e / (1.0::DOUBLE * test_transitions * test_transitions), 9) AS null_accuracy,
+  round(hits / test_transitions - coalesce(e / (1.0::DOUBLE * test_transitions * test_transitions), 0), 9) AS lift FROM m LEFT JOIN z ON z."row" = m."row" AND z.col = m.col""",
+)
 def j4(spark: SparkSession, d: str) -> DataFrame:
     """The observed matrix beside its null by cell: here the accuracy expected of pairs drawn from symbol frequencies."""
-    p = split_pairs(spark, d)
-    edges = p.groupBy("stream", "from", "to").agg(F.sum(F.col("train").cast("int")).alias("tr"), F.sum(F.col("test").cast("int")).alias("c"))
-    left = edges.groupBy("stream", F.col("from").alias("s")).agg(F.sum("c").alias("a"))
-    right = edges.groupBy("stream", F.col("to").alias("s")).agg(F.sum("c").alias("b"))
-    total = edges.groupBy(F.col("stream").alias("row")).agg(F.sum("c").alias("n"))
+    edges = pair_counts(spark, d)
+    left = edges.groupBy("stream", F.col("from").alias("s")).agg(F.sum("count").alias("a")).filter("a > 0")
+    right = edges.groupBy("stream", F.col("to").alias("s")).agg(F.sum("count").alias("b")).filter("b > 0")
+    total = edges.groupBy(F.col("stream").alias("row")).agg(F.sum("count").alias("n"))
     known = edges.filter("tr > 0").select(F.col("stream").alias("col"), "from", "to")
     x = known.join(left.select(F.col("stream").alias("row"), F.col("s").alias("from"), "a"), "from").join(right.select(F.col("stream").alias("row"), F.col("s").alias("to"), "b"), ["row", "to"])
-    null = x.groupBy("row", "col").agg(F.sum(F.col("a") * F.col("b")).alias("e")).join(total, "row").select("row", "col", (F.col("e") / (F.col("n") * F.col("n"))).alias("null_accuracy"))
-    m = matrix(spark, d).select("row", "col", "kgram_accuracy")
-    return m.join(null, ["row", "col"], "left").withColumn("lift", F.col("kgram_accuracy") - F.coalesce("null_accuracy", F.lit(0.0)))
+    null = x.groupBy("row", "col").agg(F.sum(F.col("a") * F.col("b")).alias("e")).join(total, "row").select("row", "col", (F.col("e") / (F.col("n").cast("double") * F.col("n"))).alias("null_accuracy"))
+    m = coupling_of(edges).select("row", "col", "kgram_accuracy")
+    out = m.join(null, ["row", "col"], "left").withColumn("lift", F.col("kgram_accuracy") - F.coalesce("null_accuracy", F.lit(0.0)))
+    return out.withColumns({c: F.round(c, 9) for c in ("kgram_accuracy", "null_accuracy", "lift")})
 
 
 @query("n7_pass_rule", f"""WITH {WALK}, c AS (SELECT stream % 2 AS side, symbol, count(*) AS n FROM walk GROUP BY ALL), a AS (SELECT side, max(n) / sum(n) AS v FROM c GROUP BY 1)
@@ -187,8 +209,8 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "conversations")
     k = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(12))
     actions = F.lit('[{"name":"export","args":{"target":["report"],"mode":["pdf","html"]}},{"name":"open","args":{}}]')
-    rules = F.lit('[{"kind":"forbidden_command","name":"open"},{"kind":"forbidden_claim_contains","path":"human_summary","contains":"guarantee"},{"kind":"requires_confirmation_if_risk_at_least","risk":"medium"}]')
-    envelope = G.envelope_text(F.lit("app"), F.substring("text", 1, 20), F.to_json(F.struct("role")), actions, rules)
+    rules = F.lit('[{"kind":"forbidden_command","name":"open"},{"kind":"forbidden_claim_contains","path":"human_summary","contains":"guarantee"},{"kind":"forbidden_claim_contains","path":"machine_result.args.note","contains":"secretly"},{"kind":"requires_confirmation_if_risk_at_least","risk":"medium"}]')
+    envelope = G.envelope_text(F.lit("app"), F.col("text"), F.to_json(F.struct("role")), actions, rules)
     body = F.to_json(F.struct(
         F.when(k == 1, "OTHER").otherwise(G.RESPONSE).alias("schema"), F.when(k == 2, "shout").when(k >= 6, "command").otherwise("answer").alias("type"), F.when(k == 3, "").when(k == 8, "we guarantee").otherwise("done").alias("human_summary"),
         F.when(k == 4, "high").when(k == 9, "medium").otherwise("low").alias("risk"), F.when(k == 11, F.lit(True)).otherwise(F.lit(False)).alias("requires_confirmation"), (k != 5).alias("uses_only_provided_context"),

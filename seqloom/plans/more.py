@@ -7,12 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.field import project, variant_id
-from ..operators.resample import shuffled
 from ..operators.sequence import along, pairs, rank_within
-from ..operators.stats import null_scores
 from .catalog import query, t
 from .fields import FIELD, GRID, field, grid
-from .models import _accuracy
+from .models import null_sql, null_test
 from .motifs import KM, SEQ, km, seqs
 from .streams import WALK, walk
 from .structure import CLUSTERED, clustered
@@ -208,24 +206,37 @@ def t9(spark: SparkSession, d: str) -> DataFrame:
     return top.unionByName(s.orderBy("m", "stream").limit(5).select(F.lit("bottom").alias("side"), "stream", "m"))
 
 
-@query("n5_family_shuffle")
+@query("n5_family_shuffle", null_sql("family", 20))
 def n5(spark: SparkSession, d: str) -> DataFrame:
-    """The next state permuted among transitions of one symbol's followers' hour of day: the condition is kept, the order isn't."""
-    w = walk(spark, d).select("stream", "pos", "symbol", F.floor(F.pmod(F.col("sec"), F.lit(86400)) / 3600).alias("family"))
-    observed = _accuracy(pairs(w.withColumn("replicate", F.lit(0)), ["stream"], ["pos"], "symbol"))
-    return null_scores(_accuracy(pairs(shuffled(w, ["family"], ["stream", "pos"], "symbol", 20), ["replicate", "stream"], ["pos"], "symbol")), observed)
+    """States permuted among those of one hour of the day: the condition is kept, the order isn't."""
+    return null_test(spark, d, ["family"], dealt=True, replicates=20)
 
 
-@query("n6_gc_matched")
+_U = "('0x' || substr(md5(item_id || '|' || rep || '|' || place || '|{0}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+_START = "len([i FOR i IN range(1, length({0}) + 1) IF regexp_matches(substr({0}, i, 12), '^AC[ACGT]{{{{4,8}}}}GT')])::BIGINT"
+
+
+@query(
+    "n6_gc_matched",
+    f"""WITH {SEQ}, s AS (SELECT item_id, seq, length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq)::DOUBLE AS gc FROM seqs WHERE length(seq) > 0),
+x AS (SELECT item_id, gc, rep, unnest(range(1, length(seq) + 1)) AS place FROM s, range(1, 11) r(rep)),
+b AS (SELECT item_id, rep, place, CASE WHEN {_U.format(1)} < gc THEN CASE WHEN {_U.format(2)} < 0.5 THEN 'G' ELSE 'C' END ELSE CASE WHEN {_U.format(2)} < 0.5 THEN 'A' ELSE 'T' END END AS b FROM x),
+d AS (SELECT item_id, rep, string_agg(b, '' ORDER BY place) AS seq FROM b GROUP BY ALL), h AS (SELECT item_id, {_START.format('seq').replace('{{', '{').replace('}}', '}')} AS h FROM d),
+n AS (SELECT item_id, round(avg(h), 9) AS null_mean, round(stddev_pop(h), 6) AS null_sd FROM h GROUP BY 1)
+SELECT item_id, {_START.format('seq').replace('{{', '{').replace('}}', '}')} AS observed, null_mean, null_sd FROM s JOIN n USING (item_id)""",
+)
 def n6(spark: SparkSession, d: str) -> DataFrame:
-    """Motif hits in sequences of the same length and GC share, drawn base by base from hashes, beside the observed hits."""
+    """Motif hits in sequences of the same length and GC share, drawn base by base from hashes, beside the observed hits.
+
+    A sequence's draws are made and counted within its row.
+    """
     s = seqs(spark, d).filter("length(seq) > 0").withColumn("gc", F.length(F.regexp_replace("seq", "[^GC]", "")) / F.length("seq"))
-    u = lambda *c: (F.xxhash64("item_id", "replicate", *c) / F.lit(2.0**64) + 0.5)
-    r = s.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(10)))).withColumn("place", F.explode(F.sequence(F.lit(1), F.length("seq"))))
-    base = F.when(u("place", F.lit(1)) < F.col("gc"), F.when(u("place", F.lit(2)) < 0.5, "G").otherwise("C")).otherwise(F.when(u("place", F.lit(2)) < 0.5, "A").otherwise("T"))
-    drawn = r.select("item_id", "replicate", "place", base.alias("b")).groupBy("item_id", "replicate").agg(F.sort_array(F.collect_list(F.struct("place", "b"))).alias("x"))
-    null = drawn.select("item_id", F.regexp_count(F.array_join(F.transform("x", lambda p: p["b"]), ""), F.lit(SKELETON)).alias("h")).groupBy("item_id").agg(F.avg("h").alias("null_mean"), F.stddev_pop("h").alias("null_sd"))
-    return s.select("item_id", F.regexp_count("seq", F.lit(SKELETON)).alias("observed")).join(null, "item_id")
+    u = lambda rep, place, k: F.conv(F.left(F.md5(F.concat_ws("|", "item_id", rep, place, F.lit(k))), F.lit(8)), 16, 10).cast("long") / F.lit(2.0**32)
+    base = lambda rep, p: F.when(u(rep, p, 1) < F.col("gc"), F.when(u(rep, p, 2) < 0.5, "G").otherwise("C")).otherwise(F.when(u(rep, p, 2) < 0.5, "A").otherwise("T"))
+    drawn = s.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.length("seq")), lambda p: base(F.col("rep"), p)), "")
+    h = drawn.select("item_id", F.regexp_count("seq", F.lit(SKELETON)).cast("long").alias("observed"), F.regexp_count(text, F.lit(SKELETON)).alias("h"))
+    return h.groupBy("item_id", "observed").agg(F.round(F.avg("h"), 9).alias("null_mean"), F.round(F.stddev_pop("h"), 6).alias("null_sd"))
 
 
 @query("n9_control_table", "SELECT * FROM (VALUES ('window_shuffle', true), ('slot_shuffle', true), ('gc_matched', false)) v(control, required)")

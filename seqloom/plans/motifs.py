@@ -120,13 +120,14 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
 
 _HAM = f"list_sum([(substr(a.kmer, i, 1) <> substr(%s, i, 1))::INT FOR i IN range(1, {K + 1})])"
 _RC = "reverse(translate(b.kmer, 'ACGT', 'TGCA'))"
-FAM = f"""{KM}, top AS (SELECT kmer, count(*) AS count FROM km GROUP BY 1 HAVING count(*) >= 8),
+FAM = f"""{KM}, top AS (SELECT kmer, count(*) AS count FROM km GROUP BY 1),
 lk AS (SELECT a.kmer AS a, b.kmer AS b, {_HAM % 'b.kmer'}::INT AS distance, false AS rc FROM top a, top b WHERE a.kmer < b.kmer AND {_HAM % 'b.kmer'} <= 1
   UNION ALL SELECT a.kmer, b.kmer, {_HAM % _RC}::INT, true FROM top a, top b WHERE a.kmer < b.kmer AND {_HAM % _RC} <= 1)"""
 
 
 def top(spark: SparkSession, d: str) -> DataFrame:
-    return km(spark, d).groupBy("kmer").count().filter("count >= 8")
+    """Every distinct k-mer with its count."""
+    return km(spark, d).groupBy("kmer").count()
 
 
 @query("j8_hamming_links", f"WITH {FAM} SELECT * FROM lk")
@@ -134,21 +135,54 @@ def j8(spark: SparkSession, d: str) -> DataFrame:
     return hamming_pairs(top(spark, d), K, 1)
 
 
-@query("x7_motif_families", f"""WITH RECURSIVE {FAM}, e AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), reach AS (SELECT kmer AS v, kmer AS r FROM top UNION SELECT reach.v, e.b FROM reach JOIN e ON e.a = reach.r) SELECT v AS kmer, min(r) AS component FROM reach GROUP BY 1""")
+# Smallest labels spread one link in each of twenty rounds; no two of these k-mers of one family are farther apart.
+FAMILY = f"""{FAM}, e AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk),
+sp AS (SELECT kmer AS v, kmer AS l, 0 AS round FROM top UNION ALL
+  SELECT v, min(l), round + 1 FROM (SELECT v, l, round FROM sp UNION ALL SELECT e.a, sp.l, sp.round FROM sp JOIN e ON e.b = sp.v) s WHERE round < 20 GROUP BY v, round),
+fam AS (SELECT v AS kmer, l AS component FROM sp WHERE round = 20)"""
+
+
+@query("x7_motif_families", f"WITH RECURSIVE {FAMILY} SELECT kmer, component FROM fam")
 def x7(spark: SparkSession, d: str) -> DataFrame:
     m = top(spark, d)
     return components(hamming_pairs(m, K, 1), m, "kmer")
 
 
-@query("a12_family_stats")
-def a12(spark: SparkSession, d: str) -> DataFrame:
-    """Families with their consensus, its support and their weights."""
+def families(spark: SparkSession, d: str) -> DataFrame:
+    """component, size, total_count, top_member, consensus, support of the families of k-mers."""
     m = top(spark, d)
     fam = components(hamming_pairs(m, K, 1), m, "kmer").join(m, "kmer")
     g = fam.groupBy("component").agg(F.count("*").alias("size"), F.sum("count").alias("total_count"), F.max_by("kmer", F.struct("count", "kmer")).alias("top_member"))
     return g.join(consensus(fam, ["component"], "kmer", "count"), "component").withColumn("support", F.round("support", 9))
 
 
+FAMILIES = f"""{FAMILY}, fm AS (SELECT component, kmer, count FROM fam JOIN top USING (kmer)),
+fl AS (SELECT component, i AS p, substr(kmer, i::INT, 1) AS c, sum(count) AS w FROM fm, (SELECT unnest(range(1, {K + 1})) AS i) GROUP BY ALL),
+fr AS (SELECT *, w / sum(w) OVER (PARTITION BY component, p) AS share, row_number() OVER (PARTITION BY component, p ORDER BY w DESC, c) AS r FROM fl),
+fc AS (SELECT component, string_agg(c, '' ORDER BY p) AS consensus, round(avg(share), 9) AS support FROM fr WHERE r = 1 GROUP BY 1),
+fs AS (SELECT component, count(*) AS size, sum(count)::BIGINT AS total_count, (max((lpad(count::VARCHAR, 12, '0') || kmer)))[13:] AS top_member FROM fm GROUP BY 1),
+families AS (SELECT * FROM fs JOIN fc USING (component))"""
+
+
+@query("a12_family_stats", f"WITH RECURSIVE {FAMILIES} SELECT * FROM families")
+def a12(spark: SparkSession, d: str) -> DataFrame:
+    """Families with their consensus, its support and their weights."""
+    return families(spark, d)
+
+
+@query("t5_family_ranking", f"WITH RECURSIVE {FAMILIES} SELECT component, size, total_count, row_number() OVER (ORDER BY total_count DESC, component)::INT AS rank FROM families ORDER BY rank LIMIT 20")
+def t5(spark: SparkSession, d: str) -> DataFrame:
+    """The heaviest families in order; the rank's window sees twenty rows."""
+    best = families(spark, d).orderBy(F.col("total_count").desc(), "component").limit(20)
+    return best.select("component", "size", "total_count", F.row_number().over(Window.orderBy(F.col("total_count").desc(), "component")).alias("rank"))
+
+
+@query("t8_family_signature", f"WITH RECURSIVE {FAMILIES} SELECT consensus AS kmer, total_count AS weight, component AS family, support FROM families ORDER BY total_count DESC, component LIMIT 8")
+def t8(spark: SparkSession, d: str) -> DataFrame:
+    """The heaviest families' consensus strings as a weighted signature."""
+    return families(spark, d).orderBy(F.col("total_count").desc(), "component").limit(8).select(F.col("consensus").alias("kmer"), F.col("total_count").alias("weight"), F.col("component").alias("family"), "support")
+
+
 @query("a13_consensus", f"""WITH {KM}, c AS (SELECT item_id, i AS p, substr(kmer, i::INT, 1) AS c, count(*) AS n FROM km, (SELECT unnest(range(1, {K + 1})) AS i) GROUP BY ALL),
 r AS (SELECT *, n / sum(n) OVER (PARTITION BY item_id, p) AS share, row_number() OVER (PARTITION BY item_id, p ORDER BY n DESC, c) AS r FROM c) SELECT item_id, string_agg(c, '' ORDER BY p) AS consensus, round(avg(share), 9) AS support FROM r WHERE r = 1 GROUP BY 1""")
 def a13(spark: SparkSession, d: str) -> DataFrame:

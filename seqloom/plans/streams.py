@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,15 +10,31 @@ from ..functions.u64 import fnv1a
 from ..operators.grammar import baseline, coupling, edges, split_point, successors
 from ..operators.sequence import along, ngrams, pairs, run_lengths, sliding
 from ..operators.stats import entropy, mode_of, mutual_information, safe_ratio, top_mass
+from ..session import checkpointed
 from .catalog import query, t
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def words() -> Column:
+    return F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+
+
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     """stream (lang), doc_id, pos, symbol: the lower-cased words of all documents."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    return t(spark, d, "documents").select(F.col("lang").alias("stream"), "doc_id", F.posexplode(words).alias("pos", "symbol"))
+    return t(spark, d, "documents").select(F.col("lang").alias("stream"), "doc_id", F.posexplode(words()).alias("pos", "symbol"))
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """stream, doc_id, w (words), n: a document's words are one row, so its pairs need no shuffle and no window."""
+    return t(spark, d, "documents").select(F.col("lang").alias("stream"), "doc_id", words().alias("w")).withColumn("n", F.size("w"))
+
+
+def word_pairs(docs: DataFrame) -> DataFrame:
+    """pos, from, to of each document's neighbours, with its other columns."""
+    both = F.arrays_zip(F.slice("w", F.lit(1), F.col("n") - 1).alias("from"), F.slice("w", F.lit(2), F.col("n") - 1).alias("to"))
+    other = [c for c in docs.columns if c not in ("w", "n")]
+    return docs.filter("n > 1").select(*other, F.posexplode(both).alias("pos", "p")).select(*other, "pos", F.col("p.from").alias("from"), F.col("p.to").alias("to"))
 
 
 TOK = rf"""tok AS (SELECT lang AS stream, doc_id, unnest(range(len(w))) AS pos, unnest(w) AS symbol
@@ -64,7 +80,13 @@ def s2(spark: SparkSession, d: str) -> DataFrame:
     return bytes_stream(t(spark, d, "benchmark").select("item_id", F.encode("text", "utf-8").alias("content")), ["item_id"], "content")
 
 
-@query("s3_byte_windows")
+_S3 = """SELECT item_id, s::BIGINT AS pos, substr(hex(encode(text)), (2 * s + 1)::INT, 16) AS w FROM (SELECT item_id, text, unnest(range(0, octet_length(encode(text)) - 7, 4)) AS s FROM benchmark)"""
+_M = 1 << 64
+_S3_FNV = f"""list_reduce(list_prepend({1469598103934665603}::HUGEINT, [('0x' || h)::HUGEINT FOR h IN regexp_extract_all(w, '..')]),
+  lambda a, b: ((xor(a::UBIGINT, b::UBIGINT))::HUGEINT * 1099511628211 % {_M})::HUGEINT)"""
+
+
+@query("s3_byte_windows", f"WITH x AS ({_S3}), h AS (SELECT item_id, pos, {_S3_FNV} AS h FROM x) SELECT item_id, pos, (CASE WHEN h >= {1 << 63}::HUGEINT THEN h - {_M}::HUGEINT ELSE h END)::BIGINT AS symbol FROM h")
 def s3(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.streams import byte_windows
 
@@ -103,8 +125,10 @@ def s4c(spark: SparkSession, d: str) -> DataFrame:
 SELECT stream, doc_id, count(*) AS transitions, count(DISTINCT (symbol, "to")) AS kinds FROM p WHERE "to" IS NOT NULL GROUP BY 1, 2""",
 )
 def w1(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs(tokens(spark, d), ["doc_id"], ["pos"], "symbol")
-    return p.groupBy("stream", "doc_id", "from", "to").count().groupBy("stream", "doc_id").agg(F.sum("count").alias("transitions"), F.count("*").alias("kinds"))
+    """Each document's pairs and their kinds, within its row."""
+    docs = documents(spark, d).filter("n > 1")
+    joined = F.zip_with(F.slice("w", F.lit(1), F.col("n") - 1), F.slice("w", F.lit(2), F.col("n") - 1), lambda a, b: F.concat(a, F.lit(" "), b))  # no word holds a space
+    return docs.select("stream", "doc_id", (F.col("n") - 1).cast("long").alias("transitions"), F.size(F.array_distinct(joined)).cast("long").alias("kinds"))
 
 
 @query(
@@ -162,13 +186,14 @@ def a6(spark: SparkSession, d: str) -> DataFrame:
     return successors(edges(pairs(walk(spark, d), ["stream"], ["pos"], "symbol"), ["stream"], "pos"), ["stream"])
 
 
-def split_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """stream, doc_id, pos, from, to, train: pairs of each document, its first 70 % of symbols for training."""
-    tok = tokens(spark, d)
-    w = Window.partitionBy("doc_id")
-    tok = tok.withColumn("n", F.count("*").over(w)).filter("n >= 6").withColumn("cut", split_point("n", 0.7))
-    p = pairs(tok, ["doc_id"], ["pos"], "symbol")
-    return p.withColumn("train", F.col("pos") + 1 < F.col("cut")).withColumn("test", F.col("pos") >= F.col("cut"))
+def pair_counts(spark: SparkSession, d: str) -> DataFrame:
+    """stream, from, to, tr, count: how often each pair occurs in training and in test, written once.
+
+    The first 70 % of a document's symbols train. Only counts by stream and pair are shuffled.
+    """
+    docs = documents(spark, d).filter("n >= 6").withColumn("cut", split_point("n", 0.7))
+    p = word_pairs(docs)
+    return checkpointed(p.groupBy("stream", "from", "to").agg(F.count_if(F.col("pos") + 1 < F.col("cut")).alias("tr"), F.count_if(F.col("pos") >= F.col("cut")).alias("count")))
 
 
 SPLIT = f"""{TOK}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM tok),
@@ -183,11 +208,8 @@ te AS (SELECT stream, symbol, nxt, count(*) AS c FROM sp WHERE nxt IS NOT NULL A
 FROM te LEFT JOIN tr USING (stream, symbol, nxt) GROUP BY 1""",
 )
 def j1(spark: SparkSession, d: str) -> DataFrame:
-    p = split_pairs(spark, d)
-    train = p.filter("train").select("stream", "from", "to").distinct().withColumn("known", F.lit(True))
-    test = p.filter("test").groupBy("stream", "from", "to").count()
-    out = test.join(train, ["stream", "from", "to"], "left")
-    return out.groupBy("stream").agg(F.sum("count").alias("test_transitions"), F.sum(F.when(F.col("known"), F.col("count")).otherwise(0)).alias("in_grammar"))
+    test = pair_counts(spark, d).filter("count > 0")
+    return test.groupBy("stream").agg(F.sum("count").alias("test_transitions"), F.sum(F.when(F.col("tr") > 0, F.col("count")).otherwise(0)).alias("in_grammar"))
 
 
 _MATRIX = f"""{SPLIT}, r AS (SELECT stream AS "row", sum(c) AS n FROM te GROUP BY 1), k AS (SELECT DISTINCT stream AS col FROM tr),
@@ -206,8 +228,10 @@ def j2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matrix(spark: SparkSession, d: str) -> DataFrame:
-    p = split_pairs(spark, d)
-    counted = p.groupBy("stream", "from", "to").agg(F.sum(F.col("train").cast("int")).alias("tr"), F.sum(F.col("test").cast("int")).alias("count"))
+    return coupling_of(pair_counts(spark, d))
+
+
+def coupling_of(counted: DataFrame) -> DataFrame:
     return coupling(counted.filter("tr > 0").select("stream", "from", "to"), counted.filter("count > 0").select("stream", "from", "to", "count"))
 
 
@@ -220,8 +244,7 @@ x AS (SELECT te.stream, sum(te.c) AS n, sum(CASE WHEN tr.c IS NULL THEN 0 ELSE t
 SELECT stream, baseline_symbol, round(bh / n, 9) AS baseline_accuracy, round(hit / n, 9) AS kgram_accuracy, round(hit / n - bh / n, 9) AS lift, round((n - hit) / n, 9) AS surprise_rate FROM x""",
 )
 def a15(spark: SparkSession, d: str) -> DataFrame:
-    p = split_pairs(spark, d)
-    counted = p.groupBy("stream", "from", "to").agg(F.sum(F.col("train").cast("int")).alias("tr"), F.sum(F.col("test").cast("int")).alias("count"))
+    counted = pair_counts(spark, d)
     test = counted.filter("count > 0")
     # Targets of training pairs are the training symbols from the second on.
     symbols = counted.filter("tr > 0").groupBy("stream", F.col("to").alias("symbol")).agg(F.sum("tr").alias("count"))
@@ -300,8 +323,7 @@ def w14(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, count(*) AS grams, count(DISTINCT gram) AS unique_grams FROM g WHERE gram IS NOT NULL AND pos % 2 = 0 GROUP BY 1""")
 def w15(spark: SparkSession, d: str) -> DataFrame:
     """Every second 3-gram of each document, within the row: no shuffle until the counts."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    docs = t(spark, d, "documents").select("doc_id", words.alias("w")).filter(F.size("w") >= 3)
+    docs = documents(spark, d).filter("n >= 3")
     g = F.transform(F.sequence(F.lit(0), F.size("w") - 3, F.lit(2)), lambda i: F.array_join(F.slice("w", i + 1, F.lit(3)), " "))
     return docs.select("doc_id", g.alias("g")).select("doc_id", F.size("g").cast("long").alias("grams"), F.size(F.array_distinct("g")).cast("long").alias("unique_grams"))
 
@@ -318,7 +340,8 @@ b AS (SELECT avg(n) AS mn, stddev_pop(n) AS sn, avg(u) AS mu, stddev_pop(u) AS s
 SELECT win, round((greatest(0, (n - mn) / sn) + greatest(0, (u - mu) / su) + greatest(0, (v - mv) / sv)) / 3, 6) AS score FROM c, b""")
 def w17(spark: SparkSession, d: str) -> DataFrame:
     """Mean of one-sided z-scores of each day's figures against all days; the baseline is one row."""
-    c = walk(spark, d).groupBy(F.floor(F.col("sec") / 86400).alias("win")).agg(F.count("*").alias("n"), F.count_distinct("stream").alias("u"), F.avg("value").alias("v")).cache()
+    c = walk(spark, d).groupBy(F.floor(F.col("sec") / 86400).alias("win")).agg(F.count("*").alias("n"), F.count_distinct("stream").alias("u"), F.avg("value").alias("v"))
+    c = checkpointed(c)  # one row for each day
     b = c.agg(*[f(x).alias(f"{n}{x}") for x in "nuv" for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     z = sum((F.greatest(F.lit(0.0), (F.col(x) - F.col(f"m{x}")) / F.col(f"s{x}")) for x in "uv"), F.greatest(F.lit(0.0), (F.col("n") - F.col("mn")) / F.col("sn")))
     return c.crossJoin(F.broadcast(b)).select("win", F.round(z / 3, 6).alias("score"))
@@ -327,7 +350,7 @@ def w17(spark: SparkSession, d: str) -> DataFrame:
 @query("t3_top_edges", f"""WITH {TOK}, p AS (SELECT symbol, lead(symbol) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM tok)
 SELECT symbol AS "from", nxt AS "to", count(*) AS count FROM p WHERE nxt IS NOT NULL GROUP BY ALL ORDER BY count DESC, symbol, nxt LIMIT 50""")
 def t3(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(pairs(tokens(spark, d), ["doc_id"], ["pos"], "symbol"), [])
+    e = edges(word_pairs(documents(spark, d).select("w", "n")), [])
     return e.orderBy(F.col("count").desc(), "from", "to").limit(50)
 
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import shared_dir
+
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def append_csv(df: DataFrame, path: str) -> None:

@@ -43,6 +43,59 @@ def conllu_tokens(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter((F.size("c") == len(names)) & F.col("c")[0].rlike(r"^\d+$")).select("path", "sentence", "pos", *[F.col("c")[k].alias(n) for k, n in enumerate(names)])
 
 
+FIELDS = {
+    "form": [("form", True)], "lemma": [("lemma", True)], "upos": [("upos", False)], "feats": [("feats", False)], "deprel": [("deprel", False)],
+    "upos_feats": [("upos", False), ("feats", False)], "upos_deprel": [("upos", False), ("deprel", False)], "lemma_upos": [("lemma", True), ("upos", False)],
+}
+
+
+def fold32(x: Column) -> Column:
+    """Both halves of 64 bits XORed; 1 in place of 0."""
+    y = x.bitwiseXOR(F.shiftrightunsigned(x, 32)).bitwiseAND(F.lit((1 << 32) - 1))
+    return F.when(y == 0, F.lit(1).cast("long")).otherwise(y)
+
+
+def treebank_symbols(tokens: DataFrame, field: str = "upos", window: int = 1, stride: int = 1, boundary: bool = False, bits: int = 32) -> DataFrame:
+    """path, sentence, pos, symbol of conllu_tokens: hashes of a key of each token, or of `window` of them in a row.
+
+    Every stride-th window of a sentence counts, from its first. Keys that are empty or `_` leave the sequence; with
+    boundary a symbol of all ones (pos null) ends each sentence. bits 32 folds the hashes. Forms and lemmas are
+    lower-cased. A sentence is one group, so windows are made within its row.
+    """
+    key = F.concat_ws("|", *[F.lower(c) if low else F.col(c) for c, low in FIELDS[field]])
+    canonical = (lambda h: fold32(h)) if bits == 32 else (lambda h: F.when(h == 0, F.lit(1).cast("long")).otherwise(h))
+    keyed = tokens.select("path", "sentence", "pos", key.alias("key")).filter("key <> '' AND key <> '_'")
+    known = keyed.select("key").distinct().withColumn("symbol", canonical(fnv1a(F.col("key"))))  # each key is hashed once
+    rows = keyed.join(known, "key").groupBy("path", "sentence").agg(F.sort_array(F.collect_list(F.struct("pos", "symbol"))).alias("x"))
+    rows = rows.select("path", "sentence", F.transform("x", lambda p: p["symbol"]).alias("s"))
+    starts = F.when(F.size("s") >= window, F.sequence(F.lit(1), F.size("s") - (window - 1), F.lit(stride)))
+    out = rows.select("path", "sentence", "s", F.posexplode(starts).alias("pos", "at"))
+    if window == 1:
+        out = out.select("path", "sentence", F.col("pos").cast("long").alias("pos"), F.get("s", F.col("at") - 1).alias("symbol"))
+    else:
+        # The bytes of each symbol, the lowest first.
+        text = F.array_join(F.transform(F.slice("s", F.col("at"), F.lit(window)), lambda v: F.concat(*[F.substring(F.lpad(F.hex(v), 16, "0"), 15 - 2 * k, 2) for k in range(8)])), "")
+        out = out.select("path", "sentence", F.col("pos").cast("long").alias("pos"), canonical(fnv1a(F.unhex(text))).alias("symbol"))
+    if boundary:
+        ends = tokens.select("path", "sentence").distinct().select("path", "sentence", F.lit(None).cast("long").alias("pos"), F.lit(-1).cast("long").alias("symbol"))
+        out = out.unionByName(ends)
+    return out
+
+
+#: Bases of a chunk of a long sequence.
+CHUNK = 1 << 16
+
+
+def chunked(df: DataFrame, keys: list[str], seq: str, chunk: int = CHUNK, overlap: int = 0) -> DataFrame:
+    """keys, start, piece (binary): a column of one-byte letters cut at fixed lengths, each piece with the next `overlap` letters.
+
+    Pieces of binary are copied out at once; a string would be scanned from its start for each.
+    """
+    n = F.octet_length(seq)
+    cut = df.filter(n > 0).select(*keys, F.col(seq).cast("binary").alias("_b"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(chunk))).alias("start"))
+    return cut.select(*keys, F.col("start").cast("long").alias("start"), F.substring(F.col("_b"), F.col("start") + 1, F.lit(chunk + overlap)).alias("piece"))
+
+
 def fasta_chunks(spark: SparkSession, path: str) -> DataFrame:
     """chrom, seq of sequence files: records divided by their headers, line ends dropped, upper case."""
     rows = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
@@ -50,11 +103,31 @@ def fasta_chunks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(head.alias("chrom"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")).alias("seq"))
 
 
-def kmers(df: DataFrame, keys: list[str], seq: str, k: int) -> DataFrame:
-    """keys, pos, kmer, symbol (two bits a base: A 0, C 1, G 2, T 3) of every k-mer of plain bases, k up to 31."""
-    n = F.length(seq)
-    out = df.withColumn("_s", F.explode(F.when(n >= k, F.sequence(F.lit(1), n - k + 1)))).select(*keys, (F.col("_s") - 1).cast("long").alias("pos"), F.substring(F.col(seq), F.col("_s"), F.lit(k)).alias("kmer"))
-    return out.filter(F.col("kmer").rlike("^[ACGT]+$")).withColumn("symbol", kmer_key(F.col("kmer")))
+def fasta_kmers(spark: SparkSession, path: str, k: int, chunk: int = CHUNK) -> DataFrame:
+    """chrom, pos, kmer, symbol of sequence files: a chromosome's pieces are dealt out, so its k-mers are many tasks' work."""
+    pieces = chunked(fasta_chunks(spark, path).withColumn("seq", plain("seq")), ["chrom"], "seq", chunk, k - 1).repartition("chrom", "start")
+    return _kmers_of(pieces, ["chrom"], k, chunk)
+
+
+def plain(seq: str) -> Column:
+    """One byte for each letter: what isn't a base is N."""
+    return F.regexp_replace(F.col(seq), "[^ACGT]", "N")
+
+
+def kmers(df: DataFrame, keys: list[str], seq: str, k: int, chunk: int = CHUNK) -> DataFrame:
+    """keys, pos, kmer, symbol (two bits a base: A 0, C 1, G 2, T 3) of every k-mer of plain bases, k up to 31.
+
+    The time is in proportion to the sequence's length.
+    """
+    return _kmers_of(chunked(df.select(*keys, plain(seq).alias("_seq")), keys, "_seq", chunk, k - 1), keys, k, chunk)
+
+
+def _kmers_of(pieces: DataFrame, keys: list[str], k: int, chunk: int) -> DataFrame:
+    n = F.octet_length("piece")
+    starts = F.when(n >= k, F.sequence(F.lit(1), F.least(n - k + 1, F.lit(chunk))))
+    out = pieces.select(*keys, "start", "piece", F.explode(starts).alias("_s"))
+    out = out.select(*keys, (F.col("start") + F.col("_s") - 1).alias("pos"), F.substring(F.col("piece"), F.col("_s"), F.lit(k)).cast("string").alias("kmer"))
+    return out.filter(~F.contains("kmer", F.lit("N"))).withColumn("symbol", kmer_key(F.col("kmer")))
 
 
 def kmer_key(kmer: Column) -> Column:
@@ -66,3 +139,49 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).select(F.split("value", "\t").alias("c")).filter(F.size("c") >= 3)
     out = rows.select(F.col("c")[0].alias("chrom"), F.expr("try_cast(c[1] AS BIGINT)").alias("start"), F.expr("try_cast(c[2] AS BIGINT)").alias("end"), F.get("c", F.lit(3)).alias("name"))
     return out.filter(F.col("start").isNotNull() & (F.col("end") > F.col("start")))
+
+
+def repeat_annotations(spark: SparkSession, path: str, chrom: str | None = None) -> DataFrame:
+    """chrom, start, end, name, score, strand, class, family, repeat of annotation dumps (tab-separated, also gzipped).
+
+    Columns stand at the places that the public repeat-masker tables have; short and commented lines are left out.
+    """
+    c = spark.read.text(path).filter(~F.startswith("value", F.lit("#"))).select(F.split("value", "\t").alias("c")).filter(F.size("c") >= 13)
+    at = lambda k: F.col("c")[k]
+    out = c.select(at(5).alias("chrom"), at(6).try_cast("long").alias("start"), at(7).try_cast("long").alias("end"), F.concat_ws("|", at(10), at(11), at(12)).alias("name"), at(1).try_cast("long").alias("score"), at(9).alias("strand"), at(11).alias("class"), at(12).alias("family"), at(10).alias("repeat"))
+    return out if chrom is None else out.filter(F.col("chrom") == chrom)
+
+
+def read_manifest(spark: SparkSession, path: str, columns: tuple[str, ...] = ("name", "symbols", "grammar")) -> DataFrame:
+    """The named columns of manifest files: comma or, where the header has none, semicolon; comments, empty lines, quotes
+    and a byte order mark are tolerated, and column names in any case. Each file is one row until its lines are cut.
+    """
+    text = F.regexp_replace(F.decode(F.col("content"), "utf-8"), "^\ufeff", "")
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
+    files = read_binary(spark, path).select("path", lines.alias("lines")).filter(F.size("lines") > 1)
+    plain_cell = lambda x: F.btrim(x, F.lit('" \t'))
+    head = F.col("lines")[0]
+    files = files.withColumn("by", F.when(~F.contains(head, F.lit(",")) & F.contains(head, F.lit(";")), ";").otherwise(","))
+    files = files.withColumn("names", F.transform(F.split(head, F.col("by")), lambda x: F.lower(plain_cell(x))))
+    rows = files.select("path", "names", F.posexplode(F.slice("lines", F.lit(2), F.size("lines") - 1)).alias("row", "line"), "by").withColumn("c", F.split("line", F.col("by")))
+    cells = [F.coalesce(plain_cell(F.get("c", F.array_position("names", F.lit(n)).cast("int") - 1)), F.lit("")).alias(n) for n in columns]
+    out = rows.select("path", F.col("row").cast("long").alias("row"), *cells)
+    return out.filter(F.concat(*columns) != "")
+
+
+PROFILE = "name string, domain string, intent string, mode string, targets array<string>, order array<string>, max_steps int"
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """path, the fields of a profile, and error: what is wrong with it, null if nothing is."""
+    p = spark.read.schema(PROFILE).option("multiLine", True).json(path).withColumn("path", F.input_file_name())
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    n, m = F.coalesce(F.size("targets"), F.lit(0)), F.coalesce(F.size("order"), F.lit(0))
+    error = (
+        F.when(empty("name") | empty("domain") | empty("intent") | empty("mode"), "profile requires name/domain/intent/mode")
+        .when(~F.col("mode").isin("workflow", "command"), "profile mode must be workflow or command")
+        .when(~n.between(1, 8) | (m > 8), "profile target/order count out of range")
+        .when(~F.coalesce(F.col("max_steps").between(1, 32), F.lit(False)), "profile max_steps must be 1..32")
+        .when(F.exists("targets", lambda x: F.coalesce(x, F.lit("")) == ""), "empty target in profile")
+    )
+    return p.withColumn("error", error)

@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions.field import variant_id, with_field
-from seqloom.functions.u64 import FNV_OFFSET, FNV_PRIME, MIX_1, MIX_2, add64, fnv1a, hash64, mul64, signed, splitmix, unsigned_order
+from seqloom.functions.u64 import FNV_OFFSET, FNV_PRIME, GAMMA, MIX_1, MIX_2, add64, fnv1a, hash64, mul64, signed, splitmix, unsigned_order
 from seqloom.operators.motifs import components, hamming, hamming_pairs, low_complexity
 from seqloom.operators.sequence import islands, sessions
-from seqloom.operators.simulate import SERIES, Draws, field_arrays, genesis, series
+from seqloom.operators.simulate import SERIES, field_arrays, genesis, series
 from seqloom.sources.streams import bytes_stream, conllu_tokens, fasta_chunks, kmers
 
 M = (1 << 64) - 1
@@ -33,8 +33,10 @@ def test_64_bit_arithmetic(spark):
 
 
 def test_generator_is_random_access(spark):
-    d = Draws(99)
-    want = [signed(d.bits()) for _ in range(20)]
+    want, state = [], 99
+    for _ in range(20):
+        state = (state + GAMMA) & M
+        want.append(signed(mix(state)))
     assert [r[0] for r in spark.range(1, 21).select(splitmix(99, F.col("id"))).orderBy("id").collect()] == want
 
 
@@ -55,12 +57,13 @@ def test_unsigned_order(spark):
     assert got == [0, 5, 7, signed(1 << 63), -1]
 
 
-EDGES = [-1000.0, -60.0, -3.0, -1.0, -0.0, 0.0, 1e-14, 0.25, 0.75, 1.0, 3.0, 60.0, 1000.0]
+#: Both signs of magnitudes from tiny to huge, zero, and seeded draws between.
+POINTS = [0.0, *(sign * 10.0**e for e in (-9, -4, -1, 2) for sign in (1, -1)), *random.Random(17).choices([k / 37 for k in range(-190, 191)], k=25)]
 
 
 def test_field_identities(spark):
-    rows = with_field(spark.createDataFrame([(x,) for x in EDGES], "x double")).collect()
-    arrays = field_arrays(np.array(EDGES))
+    rows = with_field(spark.createDataFrame([(x,) for x in POINTS], "x double")).collect()
+    arrays = field_arrays(np.array(POINTS))
     for j, r in enumerate(rows):
         k = [r[f"k{i}"] for i in range(1, 6)]
         assert r["ek"] == pytest.approx(sum(v * v for v in k) ** 0.5, rel=1e-12)
@@ -76,10 +79,27 @@ def test_variant_id(spark):
     assert ids[0] == ids[1] != ids[2]
 
 
-def test_kmers_golden(spark):
-    df = spark.createDataFrame([(1, "ACGTAC"), (2, "ACNGT"), (3, "")], "id int, seq string")
-    got = kmers(df, ["id"], "seq", 3).orderBy("id", "pos").collect()
-    assert [(r["id"], r["symbol"]) for r in got] == [(1, 6), (1, 27), (1, 44), (1, 49)]
+def test_kmers_by_definition(spark):
+    r = random.Random(5)
+    rows = [(k, "".join(r.choice("ACGTN" if k % 3 else "ACGTé") for _ in range(r.choice((0, 2, 3, 40, 300))))) for k in range(12)]
+    for chunk in (7, 64, 1 << 16):
+        got = {(x["id"], x["pos"], x["kmer"], x["symbol"]) for x in kmers(spark.createDataFrame(rows, "id int, seq string"), ["id"], "seq", 3, chunk).collect()}
+        want = {(k, p, s[p : p + 3], sum("ACGT".index(c) * 4 ** (2 - i) for i, c in enumerate(s[p : p + 3]))) for k, s in rows for p in range(len(s) - 2) if set(s[p : p + 3]) <= set("ACGT")}
+        assert got == want
+
+
+def test_kmers_take_linear_time(spark):
+    """A sequence sixteen times as long must not take much more than sixteen times as long."""
+    import time
+
+    def seconds(n: int) -> float:
+        df = spark.range(1).select("id", F.repeat(F.lit("ACGTTGCA"), n // 8).alias("seq"))
+        began = time.time()
+        assert kmers(df, ["id"], "seq", 12).count() == n - 11
+        return time.time() - began
+
+    seconds(40_000)
+    assert seconds(640_000) < 16 * max(seconds(40_000), 0.5)
 
 
 def test_bytes_golden(spark):
@@ -127,7 +147,9 @@ def test_string_measures(spark):
 def test_series_repeat_and_stay_in_range(spark):
     runs = spark.createDataFrame([(k, s) for k in SERIES for s in (1, 2)], "kind string, seed long")
     a, b = (sorted(map(tuple, series(runs, 50).collect())) for _ in range(2))
-    assert a == b and all(-1.2 <= r[3] <= 1.2 for r in a)
+    assert a == b and len(a) == 50 * 2 * len(SERIES) and all(-1.2 <= r[3] <= 1.2 for r in a)
+    for kind in SERIES:
+        assert len({r[3] for r in a if r[0] == kind}) > 30
 
 
 def test_genesis_one_step(spark):
