@@ -30,8 +30,8 @@ END = ""
 PATTERN = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = re.compile(rb"[!-;=-~]+")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-#: Distinct chunks whose ids a worker remembers before it starts again.
-MEMO = 200_000
+#: Distinct chunks whose ids a worker remembers before it starts again; pieces and seams that it remembers beside them.
+MEMO, SEEN = 200_000, 1 << 16
 
 
 class PrefixBpe:
@@ -62,8 +62,8 @@ class PrefixBpe:
                 self.match.add_word(s, (i, len(s)))
         self.match.make_automaton()
         self.plain = PATTERN in json.dumps(spec["pre_tokenizer"]) and "Lowercase" in json.dumps(spec["normalizer"])
-        self.piece = lru_cache(MEMO)(self.encode_piece)
-        self.fits = lru_cache(1 << 17)(lambda a, b: self._clash(a, b) is None)
+        self.piece = lru_cache(SEEN)(self.encode_piece)
+        self.fits = lru_cache(SEEN)(lambda a, b: self._clash(a, b) is None)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that stand at one edge of a token while it is being built, each with the rank that absorbs it."""
@@ -175,7 +175,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(path)
         names = memo.model.names()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             rows = [np.fromiter(chain.from_iterable(map(memo.__getitem__, t.split())), np.int32) for t in as_bytes(batch.column("text"))]
             ids = _lists(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("key"), ids, *([_joined(ids, names)] * decoded)], ["key", "ids", *["decoded"] * decoded])
