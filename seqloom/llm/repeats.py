@@ -160,7 +160,7 @@ class Windows:
                 self.cores += 1
                 for (left, right), own in sides.items():
                     for x in range(len(left) + 1):
-                        self.starts[len(self.symbols) + x] = [(rows[r][0], s0 + x) for r, s0, _ in own if s0 + x <= own[0][2]]
+                        self.starts[len(self.symbols) + x] = [(rows[r][0], s0 + x) for r, s0, s1 in own if s0 + x <= s1]
                     self.symbols += [*(c + 1 for c in left), self.cores, *(c + 1 for c in right), 0]
 
     def repeated(self) -> list[tuple[int, int, int]]:

@@ -527,3 +527,45 @@ def test_repeats_over_pieces(spark, monkeypatch):
         sp = x["spans"] or []
         got[x["doc_id"]] = (x["n_bytes"], sum(s["end"] - s["start"] for s in sp), len(sp), x["sha256"] if x["kept"] is None else hashlib.sha256(x["kept"]).hexdigest())
     assert got == brute.repeats(docs, 400)
+
+
+def local_spans(docs: list[bytes], width: int) -> list[list[tuple[int, int]]]:
+    """What the tasks of op5 find, in one process: runs of repeated window starts of each text."""
+    from seqloom.llm.anchors import anchors
+
+    found: dict[int, dict[tuple, list]] = {}
+    for d, text in enumerate(docs):
+        h, _, pos, lo, hi = anchors(np.frombuffer(text, np.uint8), np.array([0]), np.array([len(text)]), width)
+        for one in zip(h.view(np.int64).tolist(), pos.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            for k, _, a, w, ctx, at in repeats.cut_out(text, [(*one, 1)], width, 10):
+                found.setdefault(k, {}).setdefault((a, w, ctx), []).append((d, at))
+    out: list[list[tuple[int, int]]] = [[] for _ in docs]
+    for own in found.values():
+        windows = repeats.Windows(width)
+        windows.add([(r, a, w, ctx, len(places)) for r, ((a, w, ctx), places) in enumerate(own.items())])
+        places = list(own.values())
+        for r, s0, s1 in windows.repeated():
+            for d, at in places[r]:
+                out[d].append((at + s0, at + s1))
+    return [repeats.merged(x, 1) for x in out]
+
+
+def test_repeats_of_pieces_cut_anywhere():
+    """Texts that start or end at any place of a few strings, so that contexts of one anchor are cut off on either side."""
+    width = 100
+    for seed in range(400):
+        r = random.Random(seed)
+        base = [bytes(r.choice(b"abcdefgh") for _ in range(170)) for _ in range(2)]
+        docs = []
+        for _ in range(16):
+            x = r.choice(base)
+            x = bytearray(x[r.randrange(45) :] if seed % 2 else x[: r.randint(125, 170)])
+            if r.random() < 0.6:
+                x[r.randrange(45) if seed % 2 else -1 - r.randrange(45)] = 90
+            docs.append(bytes(x))
+        count: dict[bytes, int] = {}
+        for x in docs:
+            for i in range(len(x) - width + 1):
+                count[x[i : i + width]] = count.get(x[i : i + width], 0) + 1
+        want = [repeats.merged([(i, i) for i in range(len(x) - width + 1) if count[x[i : i + width]] > 1], 1) for x in docs]
+        assert local_spans(docs, width) == want, seed
