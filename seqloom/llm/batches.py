@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,3 +27,14 @@ def slices(batches: Iterable[pa.RecordBatch], of: str, most: int = 8 << 20, rows
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A string or binary column as bytes; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def release() -> None:
+    """Give memory that a task freed back to the machine: a worker is kept for later tasks, with all that it once held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass

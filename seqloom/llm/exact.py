@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import release
 from .common import WS, WS_CLASS, cut, marked, n_parts, prefiltered
 
 #: Rows that a memtable holds before it is flushed.
@@ -133,6 +134,7 @@ def digest_rows(docs: DataFrame, key: str, text: str, digest: Callable[[bytes],
                     yield flush()
         if held:
             yield flush()
+        release()
 
     return _texts(docs, key, text).mapInArrow(run, "key long, t long, digest binary, length long, run string")
 

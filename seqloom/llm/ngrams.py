@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import as_bytes, slices
+from .batches import as_bytes, release, slices
 from .common import cut, n_parts, prefiltered
 from .components import components
 from .shingles import WordHash, shingles
@@ -69,6 +69,7 @@ def sketch(rows: DataFrame, k: int) -> np.ndarray:
                 if len(h):
                     np.add.at(total, (h >> np.uint64(64 - SKETCH)).astype(np.int64), 1)
         words.clear()
+        release()
         parts = [p.tobytes() for p in total.reshape(-1, 1 << PART)]
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
@@ -114,6 +115,7 @@ def set_rows(rows: DataFrame, k: int, percent: int, classes: np.ndarray) -> Data
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix)))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists, pa.array(bins, pa.binary()), pa.array(fine, pa.binary())], ["key", "n", "sig", "prefix", "bins", "fine"])
         words.clear()  # a worker that waits for its next task holds no words
+        release()
 
     return rows.mapInArrow(run, "key long, n long, sig binary, prefix array<long>, bins binary, fine binary")
 
@@ -385,6 +387,7 @@ def near_links(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text:
             s = [ordered_set(t, k, words, classes).tobytes() for t in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("at"), pa.array(s, pa.binary())], ["key", "at", "set"])
         words.clear()
+        release()
 
     placed = whole.select("key", "at", "text").mapInArrow(give, "key long, at array<long>, set binary").select("key", F.explode("at").alias("meeting"), "set")
     placed = placed.repartition(n_parts(spark), "meeting").sortWithinPartitions("meeting", F.octet_length("set"))
@@ -395,6 +398,7 @@ def near_links(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text:
             for _, own in frame.groupby("meeting", sort=False):
                 out += tree_links(own["key"].tolist(), [np.frombuffer(x, np.uint64) for x in own["set"]], percent)
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        release()
 
     return sets, placed.mapInPandas(join, "a long, b long")
 

@@ -14,12 +14,16 @@ the one with the smallest hash; texts are read whole; repeated rows and further
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .batches import release
+
 #: Bytes between filter positions, filter positions in a block, blocks in a chunk, blocks between chunks.
 STEP, BLOCK, CHUNK, MOVE = 4, 16, 4, 3
 #: Size of a byte's vector, filters, hidden units.
@@ -158,17 +162,21 @@ def score(docs: DataFrame, net: ConvNet | None, key: str = "doc_id", text: str =
     if name in docs.columns:
         raise ValueError(f"docs has a column named {name}; give another name")
 
-    def run(column: pd.Series) -> pd.Series:
+    def scored(column: pd.Series) -> pd.Series:
         out = np.full(len(column), 0.5)
-        texts = [(t or "").encode() for t in column] if net else []
         at = 0
-        while at < len(texts):  # about 1 MB at a time
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= 1 << 20):
-                size += len(texts[to])
-                to += 1
-            out[at:to] = net.scores(texts[at:to])
-            at = to
+        while net and at < len(column):  # about 1 MB at a time
+            texts, size = [], 0
+            while at + len(texts) < len(column) and (not texts or size < 1 << 20):
+                texts.append((column.iloc[at + len(texts)] or "").encode())
+                size += len(texts[-1])
+            out[at : at + len(texts)] = net.scores(texts)
+            at += len(texts)
         return pd.Series(out)
 
-    return docs.withColumn(name, F.pandas_udf(run, "double")(F.col(text).cast("string")))
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in columns:
+            yield scored(column)
+        release()
+
+    return docs.withColumn(name, F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.col(text).cast("string")))
