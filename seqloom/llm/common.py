@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,14 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the folders of tables from cut() that no later step reads."""
+    """Delete the folders of tables from cut() that no later step reads, and let Spark drop the shuffles that nothing refers to."""
     for t in tables:
         jvm = t.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(t._written_to)
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    for t in tables[:1]:
+        t.sparkSession._jvm.System.gc()  # Spark's cleaner follows the driver's collector
 
 
 def n_parts(spark: SparkSession) -> int:

@@ -3,13 +3,19 @@
 A line is the set of its lower-cased words. A later line goes if an earlier one, by key and line number, has a Jaccard
 similarity of at least the threshold with it, be that one kept or not; lines without words stay.
 
-1. Equal sets are one set; all of its lines but the first go.
-2. Tokens are ordered by rarity: a fixed-size table counts all tokens by hash, and a token's class comes before its hash.
-3. Two sets that reach the threshold share a token among their first n - ceil(t * n) + 1. Pairs that meet at one are
-   filtered by size, by their positions there, and by the bits that their tokens set in 64.
-4. A token of many sets first compares each with one of them. Sets that have found an earlier partner are no later side
-   from then on, so that a group of near copies costs its size and not its square.
-5. What is left is verified on the words themselves.
+1. Lines that are equal after lower-casing, told by a SHA-256 digest, are one set; all of them but the first go.
+2. Tokens are ordered by rarity: a fixed-size table counts the words of all texts by hash, and a token's class comes
+   before its hash.
+3. Two sets that reach the threshold share a token among their first n - ceil(t * n) + 1, and two of one more, their prefix.
+   One shuffle brings these postings together; pairs that meet are filtered by size and by their positions there.
+4. A pair is cut to the places that its own sizes leave, one more than it needs to meet at all. Up to the smaller of the
+   last tokens there both sides hold all tokens of their sets, so a pair shares at least as many of them as its overlap
+   needs beyond the rest of the longer side, mostly two; pairs that met less often leave.
+5. Each set first meets only the earliest set of each of its tokens. Sets that find an earlier partner so are no later side
+   from then on, so that a group of near copies costs its size and not its square. The others then meet all earlier sets of
+   their tokens, those of a token of many sets in blocks, so that no task gets one whole.
+6. What is left is verified on the words themselves. Texts are read again for these lines only, and for those that lose
+   lines.
 
 Defined results: null counts as empty text, which is one empty line; rows with equal key and text are the same lines, and
 stay or go together; null keys count as one largest key; an empty table gives an empty result.
@@ -21,11 +27,14 @@ from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, prefiltered
+from .common import cut, discard, marked, prefiltered
 
-#: Counters of the rarity table, sets of one token beyond which one of them is compared first.
-COUNTERS, CROWD = 1 << 16, 32
+#: Prefix tokens that two near sets share at least, where their sizes allow as many.
+SHARED = 2
+#: Counters of the rarity table; sets of one token beyond which they meet in blocks of so many.
+COUNTERS, CROWD = 1 << 18, 4096
 NO_KEY = (1 << 63) - 1
 
 
@@ -34,14 +43,22 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.xxhash64(t).alias("t"), t.alias("text"))
 
 
-def tokens_of(line: Column) -> Column:
-    """The line's distinct words, lower-cased; words are divided by space and the ASCII controls 9 to 13."""
-    return F.array_distinct(F.filter(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+def _words(text: Column) -> Column:
+    """What stands between single white spaces. Splits at one plain letter are much cheaper than any pattern."""
+    for c in "\t\x0b\x0c\r\n":
+        text = F.array_join(F.split(text, c), " ")
+    return F.array_remove(F.split(text, " "), "")
 
 
-def _rarity(lines: DataFrame) -> bytearray:
-    """A class for each counter, rarer first: eighths of the logarithm of how many tokens of lines fall to it."""
-    got = lines.select(F.explode("words").alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("b")).count().collect()
+def tokens_of(lowered: Column) -> Column:
+    """The distinct words of a lower-cased line; words are divided by space and the ASCII controls 9 to 13."""
+    return F.array_distinct(_words(lowered))
+
+
+def _rarity(texts: DataFrame) -> bytearray:
+    """A class for each counter, rarer first: quarters of the logarithm of how many words of all texts fall to it."""
+    words = texts.select(F.explode(_words(F.lower("text"))).alias("w"))
+    got = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("b")).count().collect()
     out = bytearray(b"\x01" * COUNTERS)
     for b, n in got:
         out[b] = 1 + min(100, int(4 * log2(n)))
@@ -49,104 +66,162 @@ def _rarity(lines: DataFrame) -> bytearray:
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
-    """key, t, no, words, n of every line that has words."""
-    lines = texts.select("key", "t", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return lines.select("key", "t", "no", tokens_of(F.col("line")).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
+    """key, t, no, line (lower-cased) and its digest, for every line that has words."""
+    lines = texts.select("key", "t", F.posexplode(F.split(F.lower("text"), "\n")).alias("no", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return lines.withColumn("sig", F.substring(F.unhex(F.sha2("line", 256)), 1, 16))
 
 
-def _sig() -> Column:
-    """128 bits of a line's set: its words' 64-bit hashes in order, hashed from either end."""
-    h = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
-    return F.concat(F.hex(F.xxhash64(h)), F.lit("-"), F.hex(F.xxhash64(F.reverse(h))))
+def _prefix(n: Column, percent: int) -> Column:
+    return F.least(n, n - F.ceil(n * percent / 100) + SHARED).cast("int")
 
 
-def _bit(x: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+def sets_of(lines: DataFrame, classes: bytearray, percent: int) -> DataFrame:
+    """sig, first (key, t, no: the earliest line, by which the set is known), many (lines), n and prefix of each distinct line.
 
+    Words are told apart by 64-bit hashes here; each step uses the column that the step before it made, so that Catalyst
+    keeps them apart and no line is split or hashed twice.
+    """
 
-def sets_of(lines: DataFrame, classes: bytearray, percent: int) -> DataFrame:
-    """id, sig, first (key, t, no), n, prefix, bits of each distinct set of words."""
-
-    def token(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.ascii(F.substring(F.lit(classes), (F.pmod(h, F.lit(COUNTERS)) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.call_function("shiftleft", rank.cast("long"), F.lit(48)).bitwiseOR(F.shiftrightunsigned(h, 16))
-
-    rows = lines.select(_sig().alias("sig"), F.struct("key", "t", "no").alias("first"), "n", F.array_sort(F.transform("words", token)).alias("ids"))
-    keep = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    bits = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(_bit(x)))
-    rows = rows.select("sig", "first", "n", F.slice("ids", F.lit(1), keep).alias("prefix"), bits.alias("bits"))
-    best = rows.groupBy("sig").agg(F.min("first").alias("first"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits"))
-    return best.withColumn("id", F.monotonically_increasing_id())  # written at once, so that the numbers hold
-
-
-def _needed(a: str, b: str, percent: int) -> Column:
-    return F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent))
-
-
-def _can_match(percent: int) -> Column:
-    """May sets a and b that meet at their prefixes' places pa and pb (from 0) reach the threshold?"""
-    need = _needed("na", "nb", percent)
-    over = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    miss_a = F.col("na") - F.bit_count(F.col("ba").bitwiseAND(F.bitwise_not("bb")))
-    miss_b = F.col("nb") - F.bit_count(F.col("bb").bitwiseAND(F.bitwise_not("ba")))
-    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return sizes & (over >= need) & (miss_a >= need) & (miss_b >= need)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, percent: int, tag: str) -> DataFrame:
-    """x, y of the pairs (x, y) whose words reach the threshold and where y's first line is the earlier."""
-    pairs = cut(pairs.distinct(), f"{tag}-pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(sets.select("id", "first", "n"), "id").select("id", "n", "first", "first.*")
-    found = wanted.join(prefiltered(texts, wanted).distinct(), ["key", "t"])
-    words = found.select("id", "n", "first", tokens_of(F.element_at(F.split("text", "\n"), F.col("no") + 1)).alias("words"))
-    words = cut(words, f"{tag}-words")
-    x = words.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("first").alias("fx"), F.col("words").alias("wx"))
-    y = words.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("first").alias("fy"), F.col("words").alias("wy"))
-    both = pairs.join(x, "x").join(y, "y").filter(F.size(F.array_intersect("wx", "wy")) >= _needed("nx", "ny", percent))
-    later = F.col("fx") > F.col("fy")
-    return both.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("x")).distinct()
-
-
-def later_matches(texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The table of sets, and the ids (x) of those whose first line has an earlier line near to it."""
-    classes = _rarity(lines_of(texts))
-    sets = cut(sets_of(lines_of(texts), classes, percent), "line-sets")
-    posts = sets.select("id", F.explode("prefix").alias("token"))
-    tokens = cut(posts.groupBy("token").agg(F.count("*").alias("count"), F.min("id").alias("one")).filter("count > 1"), "line-tokens")
-    place = (F.array_position("prefix", F.col("token")) - 1).cast("int")
-    crowd = tokens.filter(F.col("count") > CROWD).join(sets.select(F.col("id").alias("one"), "n", "bits", "prefix"), "one")
-    crowd = crowd.select("token", F.col("one").alias("y"), F.col("n").alias("nb"), F.col("bits").alias("bb"), place.alias("pb"))
-    wide = lambda df, *c: df.select("id", "n", "bits", *c, F.posexplode("prefix").alias("pos", "token"))
-    left = wide(sets).select("token", F.col("id").alias("x"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("pos").alias("pa"))
-    first = left.join(crowd, "token").filter("x <> y").filter(_can_match(percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    done = cut(_verified(first, sets, texts, percent, "crowd"), "line-crowds")
-    marked = sets.join(done.select(F.col("x").alias("id"), F.lit(True).alias("settled")), "id", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    met = wide(marked, "settled").join(tokens.select("token"), "token").select("token", "id", "n", "bits", "pos", "settled")
-    a = met.select("token", F.col("id").alias("x"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("pos").alias("pa"), F.col("settled").alias("sa"))
-    b = met.select("token", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("pos").alias("pb"), F.col("settled").alias("sb"))
-    meet = a.join(b, "token").filter(~F.col("sa") & (F.col("x") != F.col("y")) & (F.col("sb") | (F.col("x") < F.col("y"))) & _can_match(percent))
-    more = _verified(meet.select("x", "y"), sets, texts, percent, "lines")
-    return sets, done.unionByName(more).distinct()
+    def token(h: Column) -> Column:
+        rank = F.ascii(F.substring(F.lit(classes), h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.call_function("shiftleft", F.coalesce(rank, F.lit(1)).cast("long"), F.lit(48)).bitwiseOR(F.shiftrightunsigned(h, 16))
+
+    rows = lines.select("sig", F.struct("key", "t", "no").alias("first"), F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("hashes"))
+    rows = rows.select("sig", "first", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", token)).alias("ids"))
+    rows = rows.select("sig", "first", "n", F.slice("ids", F.lit(1), _prefix(F.col("n"), percent)).alias("prefix"))
+    return rows.groupBy("sig").agg(F.min("first").alias("first"), F.count("*").alias("many"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+
+
+def _needed(a: Column, b: Column, percent: int) -> Column:
+    return F.ceil(percent * (a + b) / (100 + percent))
+
+
+AT = ["key", "t", "no"]
+
+
+def _posts(sets: DataFrame, percent: int, *more: str) -> DataFrame:
+    """token, key, t, no and at: the set's size n in its upper 32 bits, below them the size of the largest set that it may meet there.
+
+    A pair that meets at place pos (from 0) of a prefix needs an overlap of at most n - pos + SHARED - 1, and so has a
+    largest size for the other side; n / t is another.
+    """
+    posts = sets.select("first.*", F.col("n").cast("long").alias("n"), *more, F.posexplode("prefix").alias("pos", "token"))
+    n, need = F.col("n"), F.col("n") - F.col("pos") + (SHARED - 1)
+    most = F.least(F.floor(need * (100 + percent) / percent) - n, F.floor(n * 100 / percent), F.lit((1 << 31) - 1))
+    return posts.select("token", *AT, F.call_function("shiftleft", n, F.lit(32)).bitwiseOR(F.greatest(most, F.lit(0))).alias("at"), *more)
+
+
+def _side(posts: DataFrame, name: str, *more: Column | str) -> DataFrame:
+    """Postings as one side of a pair: the columns of its set end in x or y."""
+    return posts.select("token", *(F.col(c).alias(f"{c}{name}") for c in AT), *_sizes(F.col("at"), name), *more)
+
+
+def _sizes(at: Column, name: str) -> list[Column]:
+    return [F.shiftright(at, 32).cast("int").alias(f"n{name}"), at.bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias(f"m{name}")]
+
+
+#: y is the earlier line, and both allow the other's size where they meet.
+FITS = "ny <= mx AND nx <= my AND (keyy < keyx OR (keyy = keyx AND (ty < tx OR (ty = tx AND noy < nox))))"
+PAIR = [f"{c}{s}" for s in "xy" for c in AT]
+
+
+def _often(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that met as often as their sizes make them."""
+    na, nb = F.col("nx").cast("long"), F.col("ny").cast("long")
+    need = _needed(na, nb, percent)
+    la, lb = (F.least(_prefix(n, percent), n - need + SHARED) for n in (na, nb))
+    least = need - F.greatest(na - la, nb - lb)
+    return pairs.groupBy(*PAIR, "nx", "ny").count().filter(F.col("count") >= least).select(*PAIR)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """key, t, no: x of each of the pairs whose words reach the threshold."""
+    x, y = (pairs.select(*(F.col(f"{c}{s}").alias(c) for c in AT)) for s in "xy")
+    wanted = cut(x.unionByName(y).distinct(), "line-wanted")
+    # Only lines move, and of them those that share a hash bucket with a wanted one.
+    lines = texts.select("key", "t", F.posexplode(F.split(F.lower("text"), "\n")).alias("no", "line"))
+    found = cut(wanted.join(prefiltered(lines, wanted, AT).dropDuplicates(AT), AT), "line-words")
+    for s in "xy":
+        pairs = pairs.join(found.select(*(F.col(c).alias(f"{c}{s}") for c in [*AT, "line"])), [f"{c}{s}" for c in AT])
+    wx, wy = tokens_of(F.col("linex")), tokens_of(F.col("liney"))
+    near = F.size(F.array_intersect(wx, wy)) >= _needed(F.size(wx), F.size(wy), percent)
+    out = cut(pairs.filter(near).select(*(F.col(f"{c}x").alias(c) for c in AT)).distinct(), "line-later")
+    discard(wanted, found)
+    return out
+
+
+def _first_matches(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, t, no: the sets near to the earliest set of one of their tokens, from one shuffle of the postings."""
+    posts = _posts(sets, percent).repartition("token")
+    lead = F.first(F.struct(*AT, "at")).over(Window.partitionBy("token").orderBy(*AT))
+    led = posts.select("*", lead.alias("lead"))
+    meet = _side(led, "x", "lead").select("*", *(F.col(f"lead.{c}").alias(f"{c}y") for c in AT), *_sizes(F.col("lead.at"), "y"))
+    pairs = cut(_often(meet.filter(FITS).select(*PAIR, "nx", "ny"), percent), "line-pairs")
+    done = _verified(pairs, texts, percent)
+    discard(pairs)
+    return done
+
+
+def _other_matches(texts: DataFrame, sets: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """key, t, no: of the sets that aren't done, those near to any earlier set."""
+    marks = done.select(F.struct(*AT).alias("first"), F.lit(1).alias("settled"))
+    rest = marked(sets.select("first", "n", "prefix"), marks, ["first"], "maybe")
+    told = rest.filter("maybe").drop("maybe").join(marks, "first", "left").withColumn("settled", F.coalesce("settled", F.lit(0)))
+    rest = told.unionByName(rest.filter("not maybe").drop("maybe").withColumn("settled", F.lit(0)))
+    posts = _posts(rest, percent, "settled")
+    heavy = cut(posts.groupBy("token").count().filter(F.col("count") > CROWD), "line-crowds")
+    # Asked of both sides together, so that both read the same shuffle.
+    unsettled = "(sx = 0 OR ny < 0)"
+    x, y = F.col("settled").alias("sx"), F.col("settled").alias("sy")
+    few = posts if heavy.isEmpty() else posts.join(heavy.select("token"), "token", "left_anti")
+    few = few.repartition("token")
+    meet = _side(few, "x", x).join(_side(few, "y", y), "token").filter(f"{FITS} AND {unsettled}").select(*PAIR, "nx", "ny")
+    if not heavy.isEmpty():
+        many = posts.join(heavy.select("token", F.ceil(F.col("count") / CROWD).alias("blocks")), "token")
+        own = F.pmod(F.xxhash64(*AT), F.col("blocks")).alias("block")
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+        crowd = _side(many.filter("settled = 0"), "x", own).join(_side(many, "y", each), ["token", "block"]).filter(FITS)
+        meet = meet.unionByName(crowd.select(*PAIR, "nx", "ny"))
+    pairs = cut(_often(meet, percent), "line-pairs")
+    more = _verified(pairs, texts, percent)
+    discard(pairs, heavy)
+    return more
+
+
+def later_matches(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, t, no: the sets (by their first line) with an earlier line near to them."""
+    done = _first_matches(texts, sets, percent)
+    return done.unionByName(_other_matches(texts, sets, done, percent)).distinct()
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, t (hash of the text) and removed (line numbers from 0, in order), for texts that lose lines."""
     texts = _texts(docs, key, text)
-    sets, gone = later_matches(texts, percent)
-    # Equal lines of one place are the same line, so only sets with a second place or an earlier match say anything.
-    fate = sets.join(gone.select(F.col("x").alias("id"), F.lit(True).alias("gone")), "id", "left").select("sig", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    lines = lines_of(texts).select("key", "t", "no", _sig().alias("sig"))
+    sets = cut(sets_of(lines_of(texts), _rarity(texts), percent), "line-sets")
+    gone = later_matches(texts, sets, percent)
+    # A set of one line that has no earlier match says nothing about any line.
+    fate = sets.select("sig", "first", "many").join(gone.select(F.struct(*AT).alias("first"), F.lit(True).alias("gone")), "first", "left")
+    fate = cut(fate.filter("many > 1 or gone").select("sig", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-fates")
+    discard(sets)
+    lines = prefiltered(lines_of(texts).select("key", "t", "no", "sig"), fate, ["sig"])
     lost = lines.join(fate, "sig").filter(F.col("gone") | (F.struct("key", "t", "no") > F.col("first")))
     return lost.groupBy("key", "t").agg(F.sort_array(F.collect_set("no")).alias("removed"))
 
 
 def without_lines(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_lines, n_removed and kept (the lines that stay, joined by line ends) for every row of docs."""
-    texts = _texts(docs, key, text)
+    """key, n_lines, n_removed and kept (the lines that stay, joined by line ends) for every row of docs.
+
+    Texts that certainly lose nothing, by their key's hash bucket, are never shuffled.
+    """
     removed = cut(removed_lines(docs, percent, key, text), "removed-lines")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    changed = removed.join(prefiltered(texts, removed).distinct(), ["key", "t"]).select("key", "t", F.size("removed").cast("long").alias("n_removed"), kept.alias("shorter"))
-    out = texts.select("key", "t", "text", F.size(lines).cast("long").alias("n_lines")).join(changed, ["key", "t"], "left")
-    return out.select(F.when(F.col("key") != NO_KEY, F.col("key")).alias(key), "n_lines", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("shorter", "text").alias("kept"))
+    texts = marked(_texts(docs, key, text), removed, ["key", "t"], "maybe")
+    none = F.array().cast("array<int>")
+    at = ["key", "t"]
+    rows = texts.filter("maybe").select(*at, "text").join(removed, at, "left").select("key", "text", F.coalesce("removed", none).alias("removed"))
+    rows = rows.unionByName(texts.filter("not maybe").select("key", "text", none.alias("removed")))
+    rows = rows.select("key", "text", "removed", F.split("text", "\n").alias("lines"))
+    rows = rows.withColumn("n", F.size("lines"))
+    # Runs of lines between the removed ones; each is cut out whole.
+    runs = F.zip_with(F.concat(F.array(F.lit(-1)), "removed"), F.concat("removed", F.array("n")), lambda a, b: F.slice(F.col("lines"), a + 2, b - a - 1))
+    kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    return rows.select(F.when(F.col("key") != NO_KEY, F.col("key")).alias(key), F.col("n").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), kept.alias("kept"))
