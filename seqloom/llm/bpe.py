@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import as_bytes, slices
+from .batches import as_bytes, release, slices
 
 #: Stands for the end of a word inside the automaton (private use, never in a byte-level alphabet).
 END = ""
@@ -31,7 +31,7 @@ PATTERN = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
 PLAIN = re.compile(rb"[!-;=-~]+")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Distinct chunks whose ids a worker remembers before it starts again; pieces and seams that it remembers beside them.
-MEMO, SEEN = 200_000, 1 << 16
+MEMO, PIECES, SEAMS = 200_000, 180_000, 1 << 16
 
 
 class PrefixBpe:
@@ -62,8 +62,8 @@ class PrefixBpe:
                 self.match.add_word(s, (i, len(s)))
         self.match.make_automaton()
         self.plain = PATTERN in json.dumps(spec["pre_tokenizer"]) and "Lowercase" in json.dumps(spec["normalizer"])
-        self.piece = lru_cache(SEEN)(self.encode_piece)
-        self.fits = lru_cache(SEEN)(lambda a, b: self._clash(a, b) is None)
+        self.piece = lru_cache(PIECES)(self.encode_piece)
+        self.fits = lru_cache(SEAMS)(lambda a, b: self._clash(a, b) is None)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that stand at one edge of a token while it is being built, each with the rank that absorbs it."""
@@ -140,24 +140,33 @@ class PrefixBpe:
 
 
 class _Memo(dict):
+    """Ids of the chunks seen lately. Of two halves the older one is dropped when the newer is full, so that common chunks stay."""
+
     def __init__(self, model: PrefixBpe):
-        self.model = model
+        self.model, self.older = model, {}
 
     def forget(self) -> None:
         self.clear()
+        self.older = {}
         self.model.piece.cache_clear()
         self.model.fits.cache_clear()
 
     def __missing__(self, chunk: bytes) -> list[int]:
-        if len(self) >= MEMO:
+        if len(self) >= MEMO // 2:
+            self.older = dict(self)
             self.clear()
-        out = self[chunk] = self.model.encode_chunk(chunk)
+        out = self.older.get(chunk)
+        if out is None:
+            out = self.model.encode_chunk(chunk)
+        self[chunk] = out
         return out
 
 
 @lru_cache(2)
 def _memo(path: str) -> _Memo:
-    return _Memo(PrefixBpe(path))
+    model = PrefixBpe(path)
+    release()  # what reading the file took
+    return _Memo(model)
 
 
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -180,6 +189,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             ids = _lists(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("key"), ids, *([_joined(ids, names)] * decoded)], ["key", "ids", *["decoded"] * decoded])
         memo.forget()  # a worker that waits for its next task holds the model only
+        release()
 
     kind = docs.schema[key].dataType.simpleString()
     out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, ids array<int>" + ", decoded string" * decoded)
