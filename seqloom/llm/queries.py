@@ -97,6 +97,30 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: The rules that op11 applies: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judged
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviations that pass 64 bits are null here; the operator's own column is a decimal."""
+    from .whiten import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), support=100, percent=100, most=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -108,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_language_id": op10_language_id,
+    "op11_url_filter": op11_url_filter,
+    "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
 }
 
 EXACT_SQL = r"""
@@ -142,4 +169,31 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
-SQL: dict[str, str] = {"op1_exact_dedup": EXACT_SQL, "op8_mixing": MIX_SQL}
+URL_SQL = r"""
+WITH r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u AS (SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+m AS (SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+  FROM (SELECT DISTINCT host, path FROM u) JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN m USING (host, path)
+"""
+
+PHRASE_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, w[i : i + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 6) t(m) WHERE len(w) >= m)),
+f AS (SELECT lang, g, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+s AS (SELECT lang, g[i : i + k - 1] AS g, f FROM (SELECT lang, g, f, k, unnest(range(1, len(g) - k + 2)) AS i FROM f, range(2, 5) t(k) WHERE k < len(g))),
+c AS (SELECT f.lang, f.g, f.f AS a FROM f LEFT JOIN (SELECT lang, g, max(f) AS m FROM s GROUP BY ALL) x USING (lang, g) WHERE len(f.g) > 1 AND coalesce(m, 0) < f.f),
+k AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c),
+z AS (SELECT k.lang, k.g, k.a, x.f AS l, y.f AS r, n.n, k.k, (1000 * k.a * n.n) // (x.f * y.f) AS score
+  FROM k JOIN n USING (lang) JOIN f x ON x.lang = k.lang AND x.g = k.g[1 : k.k] JOIN f y ON y.lang = k.lang AND y.g = k.g[k.k + 1 :]),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS best FROM z),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM b WHERE best = 1)
+SELECT lang, rank, array_to_string(g, ' ') AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op11_url_filter": URL_SQL, "op13_collocations": PHRASE_SQL, "op1_exact_dedup": EXACT_SQL, "op8_mixing": MIX_SQL}

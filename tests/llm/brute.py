@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -65,3 +67,44 @@ def line_matches(docs: list[tuple[int, str | None]], percent: int) -> dict[int,
         if not hit:
             out[d].append(i)
     return out
+
+
+def eigen(vectors: list[tuple[int, ...]]) -> tuple[int, list[int], np.ndarray, np.ndarray, float]:
+    """n, sums, eigenvalues falling, components as rows, trace: of whole vectors, each once."""
+    once = sorted(set(vectors))
+    x = np.array(once, float)
+    v = np.cov(x.T, bias=True).reshape(x.shape[1], x.shape[1])
+    e, q = np.linalg.eigh(v)
+    return len(once), [sum(c) for c in zip(*once, strict=True)], e[::-1], q.T[::-1], float(np.trace(v))
+
+
+def url_verdict(url: str | None, rules: list[tuple[str, str, str]], otherwise: str = "allow") -> tuple[str, str, str | None, str]:
+    rest = (url or "").partition("://")[2]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = lower(host)
+    fits = [(len(h + p), len(h), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, max(fits)[3], max(fits)[2]) if fits else (host, path, None, otherwise)
+
+
+def collocations(docs: list[tuple[str | None, str | None]], support: int, percent: int, most: int) -> list[tuple]:
+    """lang, rank, phrase, a, l, r, n, score of (lang, text) rows."""
+    count: dict[tuple[str, tuple[str, ...]], int] = {}
+    total: dict[str, int] = {}
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] = total.get(lang, 0) + len(w)
+            for m in range(1, 6):
+                for i in range(len(w) - m + 1):
+                    count[lang, tuple(w[i : i + m])] = count.get((lang, tuple(w[i : i + m])), 0) + 1
+    often = {k: f for k, f in count.items() if f >= support}
+    out: dict[str, list] = {}
+    for (lang, p), a in often.items():
+        around = [f for (x, q), f in often.items() if x == lang and len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q)))]
+        if len(p) < 2 or any(100 * f >= percent * a for f in around):
+            continue
+        score, k = min((1000 * a * total[lang] // (count[lang, p[:k]] * count[lang, p[k:]]), k) for k in range(1, len(p)))
+        out.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), count[lang, p[:k]], count[lang, p[k:]]))
+    return sorted((lang, i, p.decode(), -a, left, right, total[lang], -s) for lang, own in out.items() for i, (s, a, p, left, right) in enumerate(sorted(own)[:most], 1))
