@@ -38,8 +38,8 @@ LONGEST = 5
 WORD_SLOTS, PAIR_SLOTS = 1 << 22, 1 << 24
 #: Different pointers that one prefix may have in a group.
 CROWD = 50_000
-#: Bytes of text that a task looks at together.
-TEXT = 8 << 20
+#: Bytes of text that a task looks at together; different pointers that it adds up before it passes them on.
+TEXT, HELD = 8 << 20, 1 << 20
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The bytes at which pieces end.
@@ -150,6 +150,11 @@ def pointers(docs: DataFrame, words, pairs) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often_word = np.unpackbits(np.frombuffer(words.value, np.uint8)).view(bool)
         often_pair = np.unpackbits(np.frombuffer(pairs.value, np.uint8)).view(bool)
+        held: list[pa.RecordBatch] = []
+
+        def added_up() -> pa.Table:
+            return pa.Table.from_batches(held).group_by(["lang", "words"]).aggregate([("n", "sum")]).rename_columns(["lang", "words", "n"])
+
         for lang, ids, names in by_lang(batches):
             h = _hashes(names, lang)
             may = often_word[(h % np.uint64(WORD_SLOTS)).astype(np.int64)]
@@ -175,7 +180,15 @@ def pointers(docs: DataFrame, words, pairs) -> DataFrame:
             for at in range(0, len(window), 1 << 16):
                 own = window[at : at + (1 << 16)]
                 said = [b" ".join([names[i] for i in row if i]) for row in own.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(said, pa.binary()).cast(pa.string()), pa.array(n[at : at + (1 << 16)])], ["lang", "words", "n"])
+                held.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(said, pa.binary()).cast(pa.string()), pa.array(n[at : at + (1 << 16)])], ["lang", "words", "n"]))
+            if sum(b.num_rows for b in held) > HELD:
+                whole = added_up()
+                held = whole.combine_chunks().to_batches()
+                if whole.num_rows > HELD // 2:
+                    yield from whole.to_batches(max_chunksize=1 << 16)
+                    held = []
+        if held:
+            yield from added_up().to_batches(max_chunksize=1 << 16)
         release()
 
     return docs.mapInArrow(run, "lang string, words string, n long")
