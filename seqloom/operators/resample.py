@@ -4,34 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.u64 import GAMMA, add64, hash64, lit64, mul64
+from ..session import checkpointed
+from .permute import permuted
+from .ranks import numbered_within
 
 
-def shuffled(df: DataFrame, within: list[str], order: list[str], value: str, replicates: int, seed: int = 1, dealt: bool = False) -> DataFrame:
+def shuffled(df: DataFrame, within: list[str], order: list[str], value: str, replicates: int, seed: int = 1, part: Column | None = None) -> DataFrame:
     """df once for each replicate, with `value` permuted within its groups.
 
-    The row that is k-th of its group by one hash of replicate and order gets the value of the row that is k-th by
-    another: two ranks and one join, in parallel over replicates and groups. Where groups are few and large, `dealt`
-    ranks rows within the 256 parts that their hashes' first letters make, and adds what the parts before hold; parts
-    are counted first, so no group is one task.
+    Rows are numbered within their group once, for all replicates; a row's value then goes to the place that a keyed
+    permutation of that number gives, so nothing is sorted for a replicate. Places are found again by one hash join with
+    the numbered table, or by none where group and number are all there is to a place. Where groups are few and large,
+    `part` cuts each into pieces that follow its order (see numbered_within).
     """
-    group = ["replicate", *within]
-    reps = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-
-    def ranked(name: str, cols: list[str]) -> DataFrame:
-        own = reps.withColumn("_h", F.md5(F.concat_ws("|", F.lit(name), F.lit(seed), "replicate", *order))).select(*cols, *[c for c in group if c not in cols], "_h")
-        if not dealt:
-            return own.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("_h"))).drop("_h")
-        own = own.withColumn("_p", F.left("_h", F.lit(2)))
-        parts = own.groupBy(*group, "_p").agg(F.count("*").alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        own = own.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_p").orderBy("_h")))
-        return own.join(parts.select(*group, "_p", before.alias("_b")), [*group, "_p"]).withColumn("_r", F.col("_r") + F.col("_b")).drop("_b", "_p", "_h")
-
-    left = ranked("place", [c for c in reps.columns if c != value])
-    return left.join(ranked("value", [value]), [*group, "_r"]).drop("_r")
+    rows = checkpointed(numbered_within(df, within, part if part is not None else F.lit(0), [F.col(c) for c in order], "_i", "_n"))
+    moved = rows.select(*within, "_i", "_n", value).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    moved = permuted(moved, "_i", "_n", F.concat_ws("|", F.lit(seed), "replicate", *within), "_to").select("replicate", *within, F.col("_to").alias("_i"), value)
+    if set(df.columns) == {*within, value, *order} and order == [*within, order[-1]]:
+        first = rows.groupBy(*within).agg(F.min(order[-1]).alias("_first"), F.max(order[-1]).alias("_last"), F.any_value("_n").alias("_n"))
+        if first.filter((F.col("_first") != 0) | (F.col("_last") != F.col("_n") - 1)).isEmpty():
+            return moved.withColumnRenamed("_i", order[-1])  # numbers from 0 without gaps are the places themselves
+    return moved.join(rows.drop(value, "_n").hint("shuffle_hash"), [*within, "_i"]).drop("_i")
 
 
 def seeded_position(seed: Column, draw: Column, n: Column) -> Column:

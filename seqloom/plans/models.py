@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import governance as G
 from ..operators.grammar import split_point
+from ..operators.permute import permuted_sql
 from ..operators.resample import auto_draws, gates, pair_samples, shuffled
 from ..operators.simulate import SERIES, genesis, lattice, planted, series, uniform_series
 from ..operators.stats import null_scores
@@ -37,12 +38,12 @@ def _determinism(tr: DataFrame) -> DataFrame:
     return both.unpivot("replicate", ["weighted_top1", "mean_entropy"], "metric", "value")
 
 
-def state_scores(w: DataFrame, within: list[str], metrics: Callable[[DataFrame], DataFrame] = _accuracy, low: tuple[str, ...] = (), dealt: bool = False, replicates: int = REPLICATES) -> DataFrame:
+def state_scores(w: DataFrame, within: list[str], metrics: Callable[[DataFrame], DataFrame] = _accuracy, low: tuple[str, ...] = (), part: Column | None = None, replicates: int = REPLICATES) -> DataFrame:
     """Scores of the metrics of w(stream, pos, symbol) against symbols shuffled within groups."""
     from ..operators.sequence import pairs
 
     observed = metrics(pairs(w.withColumn("replicate", F.lit(0)), ["stream"], ["pos"], "symbol"))
-    null = shuffled(w, within, ["stream", "pos"], "symbol", replicates, dealt=dealt)
+    null = shuffled(w.select("stream", "pos", "symbol", *[c for c in within if c != "stream"]), within, ["stream", "pos"], "symbol", replicates, part=part)
     return null_scores(metrics(pairs(null, ["replicate", "stream"], ["pos"], "symbol")), observed, low=low)
 
 
@@ -53,19 +54,23 @@ def states(spark: SparkSession, d: str) -> DataFrame:
 SCORED = ["observed", "null_mean", "null_sd", "z", "p"]
 
 
-def null_test(spark: SparkSession, d: str, within: list[str], dealt: bool = False, replicates: int = REPLICATES) -> DataFrame:
-    return state_scores(states(spark, d), within, dealt=dealt, replicates=replicates).withColumns({c: F.round(c, 6) for c in SCORED})
+#: Streams of one piece of a large group.
+PIECE = 64
+
+
+def null_test(spark: SparkSession, d: str, within: list[str], replicates: int = REPLICATES) -> DataFrame:
+    part = None if within == ["stream"] else F.floor(F.col("stream") / PIECE)
+    return state_scores(states(spark, d), within, part=part, replicates=replicates).withColumns({c: F.round(c, 6) for c in SCORED})
 
 
 def null_sql(within: str, replicates: int = REPLICATES) -> str:
-    """The same draws: row k of a group by one md5 gets the value of row k by another."""
-    rank = lambda name: f"row_number() OVER (PARTITION BY replicate, {within} ORDER BY md5('{name}|1|' || replicate || '|' || stream || '|' || pos)) AS r"
+    """The same draws: a value goes to the place that the same permutation of its number within the group gives."""
     acc = lambda t, name: f"""{name}p AS (SELECT replicate, symbol AS f, lead(symbol) OVER (PARTITION BY replicate, stream ORDER BY pos) AS t FROM {t}),
 {name}c AS (SELECT replicate, f, t, count(*) AS n FROM {name}p WHERE t IS NOT NULL GROUP BY ALL), {name}g AS (SELECT replicate, f, max(n) AS top, sum(n) AS n FROM {name}c GROUP BY ALL),
 {name} AS (SELECT replicate, sum(top) / sum(n) AS value FROM {name}g GROUP BY 1)"""
     return f"""WITH {WALK}, w AS (SELECT stream, pos, symbol, floor(sec / 86400)::BIGINT AS win, floor((sec % 86400) / 6171.5::DOUBLE)::BIGINT AS slot, floor((sec % 86400) / 3600)::BIGINT AS family FROM walk),
-reps AS (SELECT w.*, replicate FROM w, range({replicates}) x(replicate)), ra AS (SELECT *, {rank('place')} FROM reps), rb AS (SELECT replicate, {within}, symbol, {rank('value')} FROM reps),
-nl AS (SELECT ra.replicate, ra.stream, ra.pos, rb.symbol FROM ra JOIN rb USING (replicate, {within}, r)), ob AS (SELECT 0 AS replicate, stream, pos, symbol FROM w),
+ix AS (SELECT *, row_number() OVER (PARTITION BY {within} ORDER BY stream, pos) - 1 AS i, count(*) OVER (PARTITION BY {within}) AS n FROM w), reps AS (SELECT ix.{within}, i, n, symbol, replicate FROM ix, range({replicates}) x(replicate)),
+mv AS ({permuted_sql('reps', 'i', 'n', f"'1|' || replicate || '|' || {within}", 'place')}), nl AS (SELECT mv.replicate, ix.stream, ix.pos, mv.symbol FROM mv JOIN ix ON ix.{within} = mv.{within} AND ix.i = mv.place), ob AS (SELECT 0 AS replicate, stream, pos, symbol FROM w),
 {acc('nl', 'nv')}, {acc('ob', 'ov')},
 s AS (SELECT o.value AS observed, avg(n.value) AS m, stddev_pop(n.value) AS sd, sum((n.value >= o.value)::INT) AS ge, count(*) AS iterations FROM nv n, ov o GROUP BY o.value)
 SELECT 'weighted_top1' AS metric, round(observed, 6) AS observed, round(m, 6) AS null_mean, round(sd, 6) AS null_sd, round((observed - m) / sd, 6) AS z, round((ge + 1) / (iterations + 1), 6) AS p, iterations FROM s"""
@@ -79,12 +84,12 @@ def n2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("n3_window_shuffle", null_sql("win"))
 def n3(spark: SparkSession, d: str) -> DataFrame:
-    return null_test(spark, d, ["win"], dealt=True)
+    return null_test(spark, d, ["win"])
 
 
 @query("n4_slot_shuffle", null_sql("slot"))
 def n4(spark: SparkSession, d: str) -> DataFrame:
-    return null_test(spark, d, ["slot"], dealt=True)
+    return null_test(spark, d, ["slot"])
 
 
 @query("a32_n8_gates")

@@ -209,7 +209,7 @@ def t9(spark: SparkSession, d: str) -> DataFrame:
 @query("n5_family_shuffle", null_sql("family", 20))
 def n5(spark: SparkSession, d: str) -> DataFrame:
     """States permuted among those of one hour of the day: the condition is kept, the order isn't."""
-    return null_test(spark, d, ["family"], dealt=True, replicates=20)
+    return null_test(spark, d, ["family"], replicates=20)
 
 
 _U = "('0x' || substr(md5(item_id || '|' || rep || '|' || place || '|{0}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
