@@ -1,4 +1,4 @@
-"""Half-open intervals: overlap joins by bins."""
+"""Half-open intervals: overlap joins by bins of several levels."""
 
 from __future__ import annotations
 
@@ -10,18 +10,57 @@ def overlap_length(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0), F.least(a1, b1) - F.greatest(a0, b0))
 
 
+#: Bins of one level that one bin of the next takes.
+FAN = 8
+
+
+def _cover(first: Column, last: Column, levels: int) -> Column:
+    """(level, bin) of the fewest bins of any level that are the bins first..last of level 0: at most 2 (FAN - 1) a level.
+
+    At level k the whole bins inside are lo..hi; those that make up whole bins of level k + 1 are left to it.
+    """
+    lo = [F.ceil(first / float(FAN**k)).cast("long") for k in range(levels + 2)]
+    hi = [F.floor((last + 1) / float(FAN**k)).cast("long") - 1 for k in range(levels + 2)]
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    out = []
+    for k in range(levels + 1):
+        up = lo[k + 1] <= hi[k + 1] if k < levels else F.lit(False)
+        own = F.when(up, F.concat(span(lo[k], lo[k + 1] * FAN - 1), span((hi[k + 1] + 1) * FAN, hi[k]))).otherwise(span(lo[k], hi[k]))
+        out.append(F.transform(own, lambda x: F.struct(F.lit(k).alias("level"), x.alias("bin"))))  # noqa: B023  called at once
+    return F.flatten(F.array(*out))
+
+
+def _chain(at: Column, levels: int) -> Column:
+    """(level, bin) of the bin of each level that holds bin `at` of level 0."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.floor(at / float(FAN**k)).cast("long").alias("bin")) for k in range(levels + 1)])
+
+
 def overlaps(left: DataFrame, right: DataFrame, group: list[str], width: int) -> DataFrame:
     """Pairs of left(group, start, end, *) and right(group, r_start, r_end, *) that overlap, with `overlap`, each pair once.
 
-    Both sides go to every bin of `width` that they touch and meet by bin; of the bins that a pair shares, only the one
-    where the later of the two starts counts. Bins of about the usual interval's length keep both the copies and the
-    meetings few; a crowded bin splits like any skewed equi-join.
+    Of two intervals that overlap the later start lies in the other interval. So starts of one side meet covers of the
+    other, and the other way round with starts that are later. A cover is made of bins of several levels, the lowest
+    `width` wide and each FAN times as wide as the one below, so an interval has at most 2 (FAN - 1) bins a level, however
+    long it is, and a start has one a level; a start lies in just one bin of a cover, which makes each pair once. Levels
+    go as far as the longest interval asks, one row of two counts. A crowded bin splits like any skewed equi-join.
     """
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width)))
-    a = left.filter(F.col("end") > F.col("start")).withColumn("bin", bins("start", "end"))
-    b = right.filter(F.col("r_end") > F.col("r_start")).withColumn("bin", bins("r_start", "r_end"))
-    pairs = a.join(b, [*group, "bin"]).filter((F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")))
-    pairs = pairs.filter(F.col("bin") == F.floor(F.greatest("start", "r_start") / width)).drop("bin")
+    a, b = left.filter(F.col("end") > F.col("start")), right.filter(F.col("r_end") > F.col("r_start"))
+    long_ = lambda df, x, y: df.agg(F.max(F.col(y) - F.col(x)).alias("n"))
+    most = long_(a, "start", "end").unionByName(long_(b, "r_start", "r_end")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    levels = 0
+    while width * FAN ** (levels + 1) <= most:
+        levels += 1
+    at = lambda c: F.floor(F.col(c) / width).cast("long")
+    last = lambda c: F.floor((F.col(c) - 1) / width).cast("long")
+    flat = lambda df: df.select("*", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin")).drop("_b")
+    key = [*group, "_level", "_bin"]
+    cover_a = flat(a.withColumn("_b", F.explode(_cover(at("start"), last("end"), levels))))
+    cover_b = flat(b.withColumn("_b", F.explode(_cover(at("r_start"), last("r_end"), levels))))
+    start_a, start_b = flat(a.withColumn("_b", F.explode(_chain(at("start"), levels)))), flat(b.withColumn("_b", F.explode(_chain(at("r_start"), levels))))
+    within = lambda x, lo, hi, after: (F.col(x) > F.col(lo) if after else F.col(x) >= F.col(lo)) & (F.col(x) < F.col(hi))
+    one = cover_a.join(start_b, key).filter(within("r_start", "start", "end", False))
+    two = start_a.join(cover_b, key).filter(within("start", "r_start", "r_end", True))
+    pairs = one.unionByName(two).drop("_level", "_bin")
     return pairs.withColumn("overlap", overlap_length(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")))
 
 

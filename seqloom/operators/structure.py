@@ -25,11 +25,13 @@ def clusters(hits: DataFrame, stream: str, at: str, gap: float, ties: list[str],
 def templates(cl: DataFrame) -> DataFrame:
     """template, count, n_hits, n_motifs, strand_set, sha12, template_rank by frequency; equal ones in text order.
 
-    The rank's window sees one row for each template.
+    Templates are ranked by range partitions, however many there are.
     """
+    from .ranks import ranked
+
     g = cl.groupBy("template").agg(F.count("*").alias("count"), F.max("n_hits").alias("n_hits"), F.max("n_motifs").alias("n_motifs"), F.max("strand_set").alias("strand_set"))
-    rank = F.row_number().over(Window.orderBy(F.col("count").desc(), "template"))
-    return g.select("*", F.left(F.sha2("template", 256), F.lit(12)).alias("sha12"), rank.alias("template_rank"))
+    out = ranked(g.withColumn("sha12", F.left(F.sha2("template", 256), F.lit(12))), [F.col("count").desc(), F.col("template")], "template_rank")
+    return out.withColumn("template_rank", F.col("template_rank").cast("int"))
 
 
 def nearest_family(delta: Column, centers: list[int], tolerance: int) -> Column:

@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from ..functions.field import EFFECTS, coarse_variant, effect_code, operator_number, project
 from ..operators import governance as G
+from ..operators.motifs import longest_common, longest_tandem
 from ..operators.resample import auto_draws
 from ..sources.sinks import scratch
-from ..sources.streams import bed, conllu_tokens, read_manifest, read_profiles, repeat_annotations, treebank_symbols
+from ..sources.streams import bed, chunked, conllu_tokens, read_manifest, read_profiles, repeat_annotations, treebank_symbols
 from .catalog import query, t
 from .fields import FIELD, field, grid
 from .motifs import KM, SEQ, K, km, seqs
@@ -240,33 +241,26 @@ def x3b(spark: SparkSession, d: str) -> DataFrame:
 SELECT item_id, start AS interval_start, pos, substr(seq, (pos + 3)::INT, 6) AS spacer FROM p WHERE substr(seq, (pos + 1)::INT, 2) = 'AC' AND substr(seq, (pos + 9)::INT, 2) = 'GT'""")
 def x4c(spark: SparkSession, d: str) -> DataFrame:
     """A…B at a fixed distance inside overlapping intervals, once for each interval that holds it whole."""
-    v = seqs(spark, d).filter("length(seq) > 0").select("item_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(40))).alias("start"))
-    r = v.select("item_id", F.col("start").cast("long").alias("interval_start"), F.substring(F.col("seq"), F.col("start") + 1, F.lit(60)).alias("region")).filter("length(region) >= 10")
+    pieces = chunked(seqs(spark, d), ["item_id"], "seq", 40 * 1024, 60)
+    n = F.octet_length("piece")
+    r = pieces.select("item_id", "start", "piece", F.explode(F.sequence(F.lit(0), F.least(n, F.lit(40 * 1024)) - 1, F.lit(40))).alias("at"))
+    r = r.select("item_id", (F.col("start") + F.col("at")).alias("interval_start"), F.substring(F.col("piece"), F.col("at") + 1, F.lit(60)).cast("string").alias("region")).filter("length(region) >= 10")
     at = lambda p, n: F.substring(F.col("region"), p, F.lit(n))
     starts = F.filter(F.sequence(F.lit(1), F.length("region") - 9), lambda p: (at(p, 2) == "AC") & (at(p + 8, 2) == "GT"))
     out = r.select("*", F.explode(starts).alias("p"))
     return out.select("item_id", "interval_start", (F.col("interval_start") + F.col("p") - 1).alias("pos"), F.substring(F.col("region"), F.col("p") + 2, F.lit(6)).alias("spacer"))
 
 
-@query("u5b_longest_common", f"""WITH {SEQ}, n AS (SELECT count(*) AS n, min(length(seq)) AS m FROM seqs), p AS (SELECT item_id, seq, unnest(range(1, length(seq) + 1)) AS s FROM seqs),
+_LONGEST = f"""WITH {SEQ}, n AS (SELECT count(*) AS n, min(length(seq)) AS m FROM seqs), p AS (SELECT item_id, seq, unnest(range(1, length(seq) + 1)) AS s FROM seqs),
 x AS (SELECT item_id, substr(seq, s, l.l) AS sub FROM p, range(1, (SELECT m FROM n) + 1) l(l) WHERE s + l.l <= length(seq) + 1), c AS (SELECT sub FROM x GROUP BY sub HAVING count(DISTINCT item_id) = (SELECT n FROM n))
-SELECT sub AS substring, length(sub)::INT AS length FROM c WHERE length(sub) = (SELECT max(length(sub)) FROM c)""")
-def u5b(spark: SparkSession, d: str) -> DataFrame:
-    """The longest substrings that all sequences share. If one of some length is shared so is one of any less, so the length is bisected."""
-    s = seqs(spark, d)
-    n, high = s.agg(F.count("*"), F.min(F.length("seq"))).first()
+SELECT sub AS substring, length(sub)::INT AS length FROM c WHERE length(sub) = (SELECT max(length(sub)) FROM c)"""
 
-    def common(length: int) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.length("seq") - (length - 1))
-        subs = s.select("item_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("seq"), i, F.lit(length))))).alias("substring"))
-        return subs.groupBy("substring").agg(F.count("*").alias("in")).filter(F.col("in") == n).select("substring")
 
-    low = 0
-    while low < (high or 0):
-        middle = (low + high + 1) // 2
-        low, high = (low, middle - 1) if common(middle).isEmpty() else (middle, high)
-    out = common(low) if low else s.select(F.col("seq").alias("substring")).limit(0)
-    return out.withColumn("length", F.length("substring"))
+@query("u5_common_substrings", _LONGEST)
+@query("u5b_longest_common", _LONGEST)
+def u5b(spark: SparkSession, d: str) -> DataFrame:
+    """The longest substrings that all sequences share."""
+    return longest_common(seqs(spark, d), "item_id", "seq")
 
 
 @query("w5b_tandems", f"""WITH {SEQ}, u AS (SELECT item_id, unnest(range(0, length(seq) // 2)) AS k, seq FROM seqs WHERE length(seq) >= 4), d AS (SELECT item_id, k, substr(seq, 2 * k + 1, 2) AS u FROM u),
@@ -274,14 +268,8 @@ b AS (SELECT *, CASE WHEN u = lag(u) OVER w AND NOT contains(u, 'N') THEN 0 ELSE
 SELECT s.item_id, coalesce(max(2 * n), 0)::INT AS longest FROM seqs s LEFT JOIN r ON r.item_id = s.item_id GROUP BY 1""")
 def w5b(spark: SparkSession, d: str) -> DataFrame:
     """The longest repetition of one pair of bases, in bases, at even places; 0 for sequences under four bases."""
-    units = F.transform(F.sequence(F.lit(0), F.floor(F.length("seq") / 2).cast("int") - 1), lambda k: F.substring(F.col("seq"), k * 2 + 1, F.lit(2)))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-
-    def one(acc: Column, u: Column) -> Column:
-        run = F.when((u == acc["last"]) & ~F.contains(u, F.lit("N")), acc["run"] + 1).otherwise(1)
-        return F.struct(u.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
-
-    return seqs(spark, d).select("item_id", F.when(F.length("seq") >= 4, F.aggregate(units, start, one)["most"] * 2).otherwise(0).alias("longest"))
+    t_ = longest_tandem(seqs(spark, d), ["item_id"], "seq")
+    return seqs(spark, d).select("item_id").join(t_, "item_id", "left").select("item_id", F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
 # --- matrices, draws, repair, filters.

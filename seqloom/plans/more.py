@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.field import project, variant_id
-from ..operators.sequence import along, pairs, rank_within
+from ..operators.ranks import numbered_within
+from ..operators.sequence import pairs, rank_within
+from ..sources.streams import CHUNK, chunked
 from .catalog import query, t
 from .fields import FIELD, GRID, field, grid
 from .models import null_sql, null_test
@@ -101,17 +103,16 @@ def x6(spark: SparkSession, d: str) -> DataFrame:
     return motifs8(spark, d).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(one, "superstring string, length long")
 
 
-@query("x4_skeleton_scan", f"""WITH {SEQ} SELECT item_id, len(regexp_extract_all(seq, 'AC[ACGT]{{4,8}}GT'))::BIGINT AS hits FROM seqs""")
-def x4(spark: SparkSession, d: str) -> DataFrame:
-    return seqs(spark, d).select("item_id", F.regexp_count("seq", F.lit("AC[ACGT]{4,8}GT")).cast("long").alias("hits"))
+SKELETON = "(?=AC[ACGT]{4,8}GT)"  # looks ahead, so that each start counts, in an earlier match too
 
 
-SKELETON = "(?=AC[ACGT]{4,8}GT)"  # looks ahead, so that each start counts, in an earlier match too
+_STARTS = f"""WITH {SEQ} SELECT item_id, len([i FOR i IN range(1, length(seq) + 1) IF regexp_matches(substr(seq, i, 12), '^AC[ACGT]{{4,8}}GT')])::BIGINT AS hits FROM seqs"""
 
 
-@query("x4b_skeleton_starts", f"""WITH {SEQ} SELECT item_id, len([i FOR i IN range(1, length(seq) + 1) IF regexp_matches(substr(seq, i, 12), '^AC[ACGT]{{4,8}}GT')])::BIGINT AS hits FROM seqs""")
+@query("x4_skeleton_scan", _STARTS)
+@query("x4b_skeleton_starts", _STARTS)
 def x4b(spark: SparkSession, d: str) -> DataFrame:
-    """Every place where a skeleton starts; x4 goes on behind each match."""
+    """Every place where a skeleton starts, in an earlier one too."""
     return seqs(spark, d).select("item_id", F.regexp_count("seq", F.lit(SKELETON)).cast("long").alias("hits"))
 
 
@@ -183,14 +184,17 @@ def u4(spark: SparkSession, d: str) -> DataFrame:
 @query("a10_window_composition", f"""WITH {SEQ}, w AS (SELECT item_id, unnest(range((length(seq) + 49) // 50)) AS win, seq FROM seqs), s AS (SELECT item_id, win, substr(seq, win * 50 + 1, 50) AS s FROM w)
 SELECT item_id, win, length(s)::BIGINT AS n, round((length(s) - length(replace(replace(s, 'G', ''), 'C', ''))) / length(s), 9) AS gc FROM s""")
 def a10(spark: SparkSession, d: str) -> DataFrame:
-    w = seqs(spark, d).filter("length(seq) > 0").select("item_id", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("seq") - 1) / 50))).alias("win"))
-    s = w.select("item_id", "win", F.substring(F.col("seq"), (F.col("win") * 50 + 1).cast("int"), F.lit(50)).alias("s"))
+    """Windows of pieces of binary: each is copied out at once, so the time is in proportion to the sequence."""
+    pieces = chunked(seqs(spark, d), ["item_id"], "seq", 50 * 1024)
+    w = pieces.select("item_id", "start", "piece", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - 1, F.lit(50))).alias("at"))
+    s = w.select("item_id", ((F.col("start") + F.col("at")) / 50).cast("long").alias("win"), F.substring(F.col("piece"), F.col("at") + 1, F.lit(50)).cast("string").alias("s"))
     return s.select("item_id", "win", F.length("s").cast("long").alias("n"), F.round((F.length("s") - F.length(F.translate("s", "GC", ""))) / F.length("s"), 9).alias("gc"))
 
 
 @query("w18_coordinate_map", f"WITH {KM} SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY pos) - 1 AS symbol_index FROM km")
 def w18(spark: SparkSession, d: str) -> DataFrame:
-    return km(spark, d).select("item_id", "pos", (F.row_number().over(along(["item_id"], ["pos"])) - 1).cast("long").alias("symbol_index"))
+    """Chunks of a sequence are numbered apart and their counts added, so a long sequence is many tasks' work."""
+    return numbered_within(km(spark, d).select("item_id", "pos"), ["item_id"], F.floor(F.col("pos") / CHUNK), [F.col("pos")], "symbol_index")
 
 
 @query("t6_window_ranking", f"WITH {WALK}, c AS (SELECT floor(sec / 86400)::BIGINT AS win, count(*) AS n, count(DISTINCT symbol) AS kinds FROM walk GROUP BY 1) SELECT win, n, kinds FROM c ORDER BY n DESC, kinds DESC, win LIMIT 10")

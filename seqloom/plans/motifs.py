@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.intervals import as_of, overlaps
-from ..operators.motifs import components, consensus, hamming, hamming_pairs, kmer_stats, low_complexity, reverse_complement, string_entropy
+from ..operators.motifs import components, consensus, hamming, hamming_pairs, kmer_stats, longest_common, low_complexity, motif_hits, period_counts, reverse_complement, string_entropy
 from ..sources.streams import kmers
 from .catalog import query, t
 
@@ -67,15 +67,12 @@ def p11(spark: SparkSession, d: str) -> DataFrame:
     return km(spark, d).select("kmer").distinct().withColumn("low", low_complexity(F.col("kmer")))
 
 
-@query("p10_hamming", f"WITH {SEQ}, h AS (SELECT item_id, substr(seq, 1, 12) AS s FROM seqs WHERE length(seq) >= 12) SELECT a.item_id AS a, b.item_id AS b, list_sum([(substr(a.s, i, 1) <> substr(b.s, i, 1))::INT FOR i IN range(1, 13)])::INT AS distance FROM h a JOIN h b ON b.item_id = a.item_id + 1")
-def p10(spark: SparkSession, d: str) -> DataFrame:
-    h = seqs(spark, d).filter(F.length("seq") >= 12).select("item_id", F.substring("seq", 1, 12).alias("s"))
-    b = h.select((F.col("item_id") - 1).alias("item_id"), F.col("s").alias("s2"))
-    return h.join(b, "item_id").select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"), hamming(F.col("s"), F.col("s2")).alias("distance"))
+_WHOLE = f"""WITH {SEQ} SELECT a.item_id AS a, b.item_id AS b, CASE WHEN length(a.seq) <> length(b.seq) THEN greatest(length(a.seq), length(b.seq))
+  ELSE coalesce(list_sum([(substr(a.seq, i, 1) <> substr(b.seq, i, 1))::INT FOR i IN range(1, length(a.seq) + 1)]), 0) END::INT AS distance FROM seqs a JOIN seqs b ON b.item_id = a.item_id + 1"""
 
 
-@query("p10b_hamming_whole", f"""WITH {SEQ} SELECT a.item_id AS a, b.item_id AS b, CASE WHEN length(a.seq) <> length(b.seq) THEN greatest(length(a.seq), length(b.seq))
-  ELSE coalesce(list_sum([(substr(a.seq, i, 1) <> substr(b.seq, i, 1))::INT FOR i IN range(1, length(a.seq) + 1)]), 0) END::INT AS distance FROM seqs a JOIN seqs b ON b.item_id = a.item_id + 1""")
+@query("p10_hamming", _WHOLE)
+@query("p10b_hamming_whole", _WHOLE)
 def p10b(spark: SparkSession, d: str) -> DataFrame:
     """Each whole sequence with the next one: short ones and ones of two lengths too."""
     return neighbour_distances(seqs(spark, d))
@@ -215,10 +212,9 @@ def x2(spark: SparkSession, d: str) -> DataFrame:
 @query("j13_period_scan", f"""WITH {KM}, m AS (SELECT kmer, count(*) AS n FROM km GROUP BY 1 ORDER BY n DESC, kmer LIMIT 8), h AS (SELECT DISTINCT item_id, pos FROM km JOIN m ON m.kmer = km.kmer)
 SELECT (b.pos - a.pos)::INT AS period, count(*) AS pairs FROM h a JOIN h b ON a.item_id = b.item_id AND b.pos - a.pos BETWEEN 1 AND 50 GROUP BY 1""")
 def j13(spark: SparkSession, d: str) -> DataFrame:
-    """Hit positions only: each goes to the places it would meet after 1 to 50 steps."""
+    """Hit positions as bits of words: a period is a shift and a count."""
     h = hits(spark, d).filter("strand = '+'").select("item_id", "pos").distinct()
-    ahead = h.select("item_id", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("period"), F.col("pos")).withColumn("pos", F.col("pos") + F.col("period"))
-    return ahead.join(h, ["item_id", "pos"]).groupBy("period").agg(F.count("*").alias("pairs"))
+    return period_counts(h, ["item_id"], "pos", 50).groupBy("period").agg(F.sum("pairs").alias("pairs"))
 
 
 @query("x5_cross_counts", f"""WITH {KM}, m AS (SELECT kmer, count(*) AS n FROM km GROUP BY 1 ORDER BY n DESC, kmer LIMIT 5) SELECT item_id, kmer, ((length(seq) - length(replace(seq, kmer, ''))) / {K})::BIGINT AS count FROM seqs, m WHERE contains(seq, kmer)""")
@@ -235,14 +231,6 @@ def w5(spark: SparkSession, d: str) -> DataFrame:
     return seqs(spark, d).select("item_id", F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)).alias("longest"))
 
 
-@query("u5_common_substrings", f"WITH {KM}, n AS (SELECT count(DISTINCT item_id) AS n FROM km) SELECT kmer FROM km GROUP BY kmer HAVING count(DISTINCT item_id) * 2 >= (SELECT n FROM n)")
-def u5(spark: SparkSession, d: str) -> DataFrame:
-    """Substrings of at least half of all sequences."""
-    k = km(spark, d).select("item_id", "kmer").distinct()
-    n = k.agg(F.count_distinct("item_id").alias("n"))
-    return k.groupBy("kmer").count().crossJoin(F.broadcast(n)).filter(F.col("count") * 2 >= F.col("n")).select("kmer")
-
-
 _IV = """o AS (SELECT o_custkey AS grp, o_orderkey, (epoch(o_orderdate) / 86400)::BIGINT AS start, (epoch(o_orderdate) / 86400)::BIGINT + 1 + o_orderkey % 40 AS "end" FROM orders),
 r AS (SELECT o_custkey AS grp, o_orderkey AS other, (epoch(o_orderdate) / 86400)::BIGINT + 10 AS r_start, (epoch(o_orderdate) / 86400)::BIGINT + 40 AS r_end FROM orders),
 ov AS (SELECT grp, o_orderkey, other, least("end", r_end) - greatest(start, r_start) AS overlap, "end" - start AS span FROM o JOIN r USING (grp) WHERE start < r_end AND r_start < "end")"""

@@ -102,24 +102,14 @@ _FNV_SQL = f"""list_reduce(list_prepend({1469598103934665603}::HUGEINT, [('0x' |
   lambda a, b: ((xor(a::UBIGINT, b::UBIGINT))::HUGEINT * 1099511628211 % {_M})::HUGEINT)"""
 
 
-@query(
-    "s4b_token_hashes",
-    f"""WITH {TOK}, w AS (SELECT symbol AS w, count(*) AS count FROM tok WHERE octet_length(encode(symbol)) <= 6 GROUP BY 1), h AS (SELECT w, count, {_FNV_SQL} AS h FROM w)
-SELECT w AS token, count, (CASE WHEN h >= {1 << 63}::HUGEINT THEN h - {_M}::HUGEINT ELSE h END)::BIGINT AS symbol FROM h""",
-)
-def s4b(spark: SparkSession, d: str) -> DataFrame:
-    """Each distinct short token with its 64-bit symbol; hashing once per token, not per occurrence."""
-    short = tokens(spark, d).filter(F.octet_length("symbol") <= 6).groupBy(F.col("symbol").alias("token")).count()
-    return short.withColumn("symbol", fnv1a(F.col("token")))
+_SYMBOLS = f"""WITH {TOK}, w AS (SELECT symbol AS w, count(*) AS count FROM tok GROUP BY 1), h AS (SELECT w, count, {_FNV_SQL} AS h FROM w)
+SELECT w AS token, count, (CASE WHEN h >= {1 << 63}::HUGEINT THEN h - {_M}::HUGEINT ELSE h END)::BIGINT AS symbol FROM h"""
 
 
-@query(
-    "s4c_token_symbols",
-    f"""WITH {TOK}, w AS (SELECT symbol AS w, count(*) AS count FROM tok GROUP BY 1), h AS (SELECT w, count, {_FNV_SQL} AS h FROM w)
-SELECT w AS token, count, (CASE WHEN h >= {1 << 63}::HUGEINT THEN h - {_M}::HUGEINT ELSE h END)::BIGINT AS symbol FROM h""",
-)
+@query("s4b_token_hashes", _SYMBOLS)
+@query("s4c_token_symbols", _SYMBOLS)
 def s4c(spark: SparkSession, d: str) -> DataFrame:
-    """Each distinct token of whatever length with its symbol; s4b has the short ones only."""
+    """Each distinct token of whatever length with its symbol."""
     return tokens(spark, d).groupBy(F.col("symbol").alias("token")).count().withColumn("symbol", fnv1a(F.col("token")))
 
 

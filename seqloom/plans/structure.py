@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ranks import ranked, running_total
 from ..operators.sequence import along
 from ..operators.structure import clusters, conditional_rates, determinism, gcd_of, nearest_family, phase_slot, templates, transitions
 from .catalog import query
@@ -88,7 +89,7 @@ def w9(spark: SparkSession, d: str) -> DataFrame:
 @query("w10_state_ids", f"""WITH {HITS}, c AS (SELECT symbol || strand AS state, count(*) AS count FROM hits GROUP BY 1) SELECT state, count, format('S{{:03d}}', row_number() OVER (ORDER BY count DESC, state)) AS state_id FROM c""")
 def w10(spark: SparkSession, d: str) -> DataFrame:
     c = hits(spark, d).groupBy(F.concat("symbol", "strand").alias("state")).count()
-    return c.withColumn("state_id", F.format_string("S%03d", F.row_number().over(Window.orderBy(F.col("count").desc(), "state"))))
+    return ranked(c, [F.col("count").desc(), F.col("state")]).select("state", "count", F.format_string("S%03d", "rank").alias("state_id"))
 
 
 @query("a29_state_table", f"""WITH {HITS}, s AS (SELECT symbol, count(*) AS count, min(sec) AS first_sec, max(sec) AS last_sec FROM hits GROUP BY 1),
@@ -106,8 +107,8 @@ def a29(spark: SparkSession, d: str) -> DataFrame:
 @query("w12_cumulative_coverage", f"""WITH {CLUSTERED}, g AS (SELECT n_hits AS kind, count(*) AS n FROM cl GROUP BY 1) SELECT kind, n, round(sum(n) OVER (ORDER BY n DESC, kind ROWS UNBOUNDED PRECEDING) / sum(n) OVER (), 9) AS coverage FROM g""")
 def w12(spark: SparkSession, d: str) -> DataFrame:
     g = clustered(spark, d).groupBy(F.col("n_hits").alias("kind")).agg(F.count("*").alias("n"))
-    run = F.sum("n").over(Window.orderBy(F.col("n").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0))
-    return g.select("kind", "n", F.round(run / F.sum("n").over(Window.partitionBy(F.lit(1))), 9).alias("coverage"))
+    g = running_total(g, [F.col("n").desc(), F.col("kind")], "n", "upto")
+    return g.select("kind", "n", F.round(F.col("upto") / F.col("upto_of"), 9).alias("coverage"))
 
 
 @query("a20_determinism", f"""WITH {TR}, c AS (SELECT f, family, t, count(*) AS n FROM tr GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY f, family) AS p FROM c),

@@ -35,11 +35,14 @@ def byte_windows(df: DataFrame, keys: list[str], content: str, width: int, strid
 def conllu_tokens(spark: SparkSession, path: str) -> DataFrame:
     """sentence, pos, id, form, lemma, upos, ... of tab-separated treebank files; comments, ranges and empty nodes are left out.
 
-    Sentences are read whole, divided by blank lines, so no order over a file is needed.
+    Sentences are read whole, divided by lines that hold nothing but white space, so no order over a file is needed. Line
+    ends may be either kind: records end at the blank line of the kind that is found first, and are divided again.
     """
     names = ["id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc"]
-    blocks = spark.read.option("lineSep", "\n\n").text(path).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("sentence"), F.split("value", "\n").alias("lines"))
-    rows = blocks.select("path", "sentence", F.posexplode(F.filter("lines", lambda x: ~x.startswith("#") & x.contains("\t"))).alias("pos", "line")).withColumn("c", F.split("line", "\t"))
+    crlf = not spark.read.option("lineSep", "\n").text(path).filter(F.endswith("value", F.lit("\r"))).limit(1).isEmpty()
+    records = spark.read.option("lineSep", "\n\r\n" if crlf else "\n\n").text(path).select(F.input_file_name().alias("path"), F.explode(F.split("value", r"\n[\x20\t\r]*(?:\n|$)")).alias("block"))
+    blocks = records.filter(F.contains("block", F.lit("\t"))).select("path", F.monotonically_increasing_id().alias("sentence"), F.split("block", "\r?\n").alias("lines"))
+    rows = blocks.select("path", "sentence", F.posexplode(F.filter("lines", lambda x: ~x.startswith("#") & x.contains("\t"))).alias("pos", "line")).withColumn("c", F.split(F.regexp_replace("line", "\r$", ""), "\t"))
     return rows.filter((F.size("c") == len(names)) & F.col("c")[0].rlike(r"^\d+$")).select("path", "sentence", "pos", *[F.col("c")[k].alias(n) for k, n in enumerate(names)])
 
 
@@ -135,12 +138,51 @@ def kmer_key(kmer: Column) -> Column:
 
 
 def bed(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, start, end, name of interval files; rows without numbers or with end <= start are dropped."""
-    rows = spark.read.text(path).select(F.split("value", "\t").alias("c")).filter(F.size("c") >= 3)
-    out = rows.select(F.col("c")[0].alias("chrom"), F.expr("try_cast(c[1] AS BIGINT)").alias("start"), F.expr("try_cast(c[2] AS BIGINT)").alias("end"), F.get("c", F.lit(3)).alias("name"))
+    """chrom, start, end, name of interval files, plain or gzipped; name is empty if there is none.
+
+    Cells are divided by any white space and commas. Empty lines, comments and track and browser lines are left out, and so
+    are rows without two whole numbers or with end <= start.
+    """
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    rows = spark.read.text(path).select(line.alias("line")).filter((F.col("line") != "") & ~F.col("line").rlike("^(#|track|browser)"))
+    rows = rows.select(F.filter(F.split("line", r"[\s,]+"), lambda x: x != "").alias("c")).filter(F.size("c") >= 3)
+    number = lambda k: F.when(F.get("c", F.lit(k)).rlike(r"^[+-]?\d+$"), F.get("c", F.lit(k)).try_cast("long"))
+    out = rows.select(F.col("c")[0].alias("chrom"), number(1).alias("start"), number(2).alias("end"), F.coalesce(F.get("c", F.lit(3)), F.lit("")).alias("name"))
     return out.filter(F.col("start").isNotNull() & (F.col("end") > F.col("start")))
 
 
+def duplications(spark: SparkSession, path: str, chrom: str | None = None) -> DataFrame:
+    """chrom, start, end, name, score, strand, other, fraction of dumps of segmental duplications (tab-separated, also gzipped).
+
+    Columns stand at the places that the public table has. Short and commented lines are left out; a row without a name is
+    named by its place; other is the other copy's place, fraction how much of both is equal (null if missing).
+    """
+    c = spark.read.text(path).filter((F.trim("value") != "") & ~F.startswith("value", F.lit("#"))).select(F.split(F.regexp_replace("value", "[\r\n]+$", ""), "\t").alias("c")).filter(F.size("c") >= 10)
+    at = lambda k: F.get("c", F.lit(k))
+    place = F.concat(at(1), F.lit(":"), at(2), F.lit("-"), at(3))
+    out = c.select(at(1).alias("chrom"), at(2).try_cast("long").alias("start"), at(3).try_cast("long").alias("end"), F.when(at(4) == "", place).otherwise(at(4)).alias("name"), at(5).try_cast("long").alias("score"), at(6).alias("strand"), F.concat(at(7), F.lit(":"), at(8), F.lit("-"), at(9)).alias("other"), at(26).try_cast("double").alias("fraction"))
+    return out if chrom is None else out.filter(F.col("chrom") == chrom)
+
+
+def csv_symbols(spark: SparkSession, path: str, column: int, bins: int, delimiter: str = ",", header: bool = True, low: float | None = None, high: float | None = None) -> DataFrame:
+    """path, at, symbol: one numeric column of delimited files as equal-width bins of [low, high], beyond it the outermost.
+
+    Without a given range the column's own is used: one pass that leaves two numbers. Rows without the column or without a
+    finite number there are dropped. Nothing is quoted. `at` rises along each file. A range without width has no symbols.
+    """
+    names = [f"c{k}" for k in range(column + 1)]
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).option("sep", delimiter).option("header", header).option("quote", "").option("enforceSchema", True).csv(path)
+    x = F.trim(names[-1]).try_cast("double")
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
+    if low is None or high is None:
+        found = rows.agg(F.min("x").alias("low"), F.max("x").alias("high")).first()
+        low, high = (found["low"] if low is None else low), (found["high"] if high is None else high)
+    if low is None or high is None or not high > low:
+        return rows.limit(0).select("path", "at", F.lit(0).cast("long").alias("symbol"))
+    b = F.floor((F.col("x") - F.lit(float(low))) * F.lit((bins - 1) / (float(high) - float(low))))
+    return rows.select("path", "at", F.when(F.col("x") <= float(low), 0).when(F.col("x") >= float(high), bins - 1).otherwise(b).cast("long").alias("symbol"))
+
+
 def repeat_annotations(spark: SparkSession, path: str, chrom: str | None = None) -> DataFrame:
     """chrom, start, end, name, score, strand, class, family, repeat of annotation dumps (tab-separated, also gzipped).
 

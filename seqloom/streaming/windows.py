@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..session import shared_dir
 
 
 def late(df: DataFrame, at: str, delay: str) -> DataFrame:
@@ -40,3 +44,81 @@ def online_transitions(df: DataFrame, key: str, at: str, symbol: str) -> DataFra
         yield pd.DataFrame({key: k[0], "from": seq[:-1], "to": seq[1:]})
 
     return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, from string, to string", "last string", "append", "NoTimeout")
+
+
+class OrderedTransitions(StatefulProcessor):
+    """A key's transitions in order of event time: rows wait until the watermark passes them, and the last symbol is kept.
+
+    The state is the rows within the delay and one symbol. A timer at each key's newest row ends its waiting, also when
+    no more rows of the key come.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "symbol string")
+        self.waiting = handle.getListState("waiting", "ms long, tie long, symbol string")
+
+    def _passed(self, key: str, before: int) -> Iterator[pd.DataFrame]:
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        ready = [r for r in rows if r[0] <= before]
+        if not ready:
+            return
+        self.waiting.clear()
+        if len(ready) < len(rows):
+            self.waiting.put(rows[len(ready) :])
+        symbols = ([self.last.get()[0]] if self.last.exists() else []) + [r[2] for r in ready]
+        self.last.update((symbols[-1],))
+        if len(symbols) > 1:
+            yield pd.DataFrame({"key": key, "from": symbols[:-1], "to": symbols[1:]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803  Spark's names
+        came = pd.concat(list(rows))
+        self.waiting.appendList(list(zip(came["ms"].tolist(), came["tie"].tolist(), came["symbol"].tolist(), strict=True)))
+        self.handle.registerTimer(int(came["ms"].max()))
+        yield from self._passed(key[0], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        yield from self._passed(key[0], timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_transitions(stream: DataFrame, key: str, at: str, tie: str, symbol: str, delay: str) -> DataFrame:
+    """key (as text), from, to of a stream by event time, rows up to `delay` late; equal times are in order of `tie`."""
+    rows = stream.withWatermark(at, delay).select(at, F.col(key).cast("string").alias("key"), F.unix_millis(at).alias("ms"), F.col(tie).cast("long").alias("tie"), F.col(symbol).alias("symbol"))
+    return rows.groupBy("key").transformWithStateInPandas(OrderedTransitions(), "key string, from string, to string", "Append", "EventTime")
+
+
+def online_grammar(spark: SparkSession, rows: DataFrame, key: str, at: str, tie: str, symbol: str, parts: int) -> DataFrame:
+    """key, from, to, count of all rows, read as a stream in `parts` pieces, every second of which comes after the one it precedes in time.
+
+    The state store keeps what waits in the shared folder. A last row of no key, later than the delay, lets the watermark pass all others.
+    """
+    base = f"{shared_dir(spark)}/grammar-{uuid.uuid4().hex}"
+    rows = rows.withColumn(at, F.col(at).cast("timestamp"))
+    span = rows.agg(F.min(F.unix_millis(at)).alias("a"), F.max(F.unix_millis(at)).alias("b")).first()
+    kind = rows.schema[key].dataType
+    if span["a"] is None:
+        return rows.select(key, F.col(symbol).alias("from"), F.col(symbol).alias("to")).limit(0).groupBy(key, "from", "to").count()
+    width = (span["b"] - span["a"]) // parts + 1
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor((F.unix_millis(at) - span["a"]) / width)
+    for k in range(parts):
+        swapped = k + 1 if k % 2 == 0 and k + 1 < parts else k - 1 if k % 2 else k
+        rows.filter(part == swapped).repartition(files).write.mode("append").parquet(f"{base}/in")
+    end = rows.limit(1).withColumn(key, F.lit(None).cast(kind)).withColumn(at, F.timestamp_millis(F.lit(span["b"] + 4 * width + 1)))
+    end.write.mode("append").parquet(f"{base}/in")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
+        told = ordered_transitions(stream, key, at, tie, symbol, f"{2 * width} milliseconds")
+        told.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    out = spark.read.schema("key string, from string, to string").parquet(f"{base}/out")
+    return out.groupBy(F.col("key").cast(kind).alias(key), "from", "to").count()
