@@ -15,7 +15,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
@@ -40,14 +40,10 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SECTION = frozenset("article aside body div footer form header main nav section table td ul ol dl figure dialog details".split())
 
-#: Nearest ancestors that describe a block.
-DEPTH = 64
-
-
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    above: tuple[str, ...]
     linked: int
 
 
@@ -94,30 +90,61 @@ def tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
         i = html.find("<", end)
 
 
-def blocks(html: str) -> list[Block]:
-    """The leaf blocks in page order: text without markup, one space for white space, and what it stands in."""
+def blocks(html: str, known: Container[str] | None = None) -> list[Block]:
+    """The leaf blocks in page order: text without markup, one space for white space, and what describes their ancestors.
+
+    All ancestors count, however deep a block lies: each element adds its features to a running count when it opens and
+    takes them back when it closes. Features that aren't `known` are left out, so that pages of any shape take little.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, list[str], list[str]]] = []  # tag, its features, features of the nearest section
     open_: Counter[str] = Counter()
+    held: Counter[str] = Counter()
     parts: list[str] = []
     linked = links = at = 0
+    above: tuple[str, ...] | None = None
+
+    def kept(features: list[str]) -> list[str]:
+        return [f for f in dict.fromkeys(features) if known is None or f in known]
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, above
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(stack[-DEPTH:]), linked))
+                if above is None:
+                    own = kept([f"tag={stack[-1][0] if stack else ''}"])
+                    above = (*held, *(stack[-1][2] if stack else ()), *own)
+                out.append(Block(text, above, linked))
             parts.clear()
         linked = 0
 
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        nonlocal above
+        own = kept([f"a={tag}", *(f"c={w}" for w in names)])
+        near = kept([f"near={tag}", *(f"n={w}" for w in names)]) if tag in SECTION else stack[-1][2] if stack else []
+        stack.append((tag, own, near))
+        open_[tag] += 1
+        held.update(own)
+        above = None
+
+    def pop(k: int) -> None:
+        nonlocal above
+        for tag, own, _ in stack[k:]:
+            open_[tag] -= 1
+            for f in own:
+                held[f] -= 1
+                if not held[f]:
+                    del held[f]
+        del stack[k:]
+        above = None
+
     def close(names: tuple[str, ...], within: frozenset[str] = frozenset()) -> None:
         if not any(open_[x] for x in names):
             return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
-                open_.subtract(x for x, _ in stack[k:])
-                del stack[k:]
+                pop(k)
                 return
             if stack[k][0] in within:
                 return
@@ -145,8 +172,7 @@ def blocks(html: str) -> list[Block]:
             if tag in CLOSES:
                 close(CLOSES[tag], SECTION - {"td"})
             if tag not in VOID:
-                stack.append((tag, _words(attrs) if attrs else ()))
-                open_[tag] += 1
+                push(tag, _words(attrs) if attrs else ())
             if tag in SECTION:
                 links = 0
     parts.append(html[at:])
@@ -155,21 +181,9 @@ def blocks(html: str) -> list[Block]:
 
 
 def features(page: list[Block]) -> list[list[str]]:
-    out, of_path = [], {}
+    out = []
     for k, b in enumerate(page):
-        f = of_path.get(b.path)
-        if f is None:
-            f = ["bias"]
-            near = True
-            for tag, names in reversed(b.path):
-                f.append(f"a={tag}")
-                f += [f"c={w}" for w in names]
-                if near and tag in SECTION:
-                    f.append(f"near={tag}")
-                    f += [f"n={w}" for w in names]
-                    near = False
-            f.append(f"tag={b.path[-1][0] if b.path else ''}")
-            of_path[b.path] = f = list(dict.fromkeys(f))
+        f = ["bias", *b.above]
         n = b.text.count(" ") + 1
         g = [f"len={min(n.bit_length(), 6)}", f"link={min(3, int(4 * b.linked / max(1, len(b.text))))}"]
         if b.text[-1] in ".!?…:;\"”»)":
@@ -353,7 +367,7 @@ def trained(pages: int = 800, rounds: int = 10, seed: int = 5) -> Field:
 
 
 def main_text(html: str, field: Field) -> str:
-    page = blocks(html)
+    page = blocks(html, field.w)
     return "\n".join(b.text for b, keep in zip(page, field.decode(features(page)), strict=True) if keep) if page else ""
 
 
