@@ -28,6 +28,8 @@ from .batches import release
 STEP, BLOCK, CHUNK, MOVE = 4, 16, 4, 3
 #: Size of a byte's vector, filters, hidden units.
 EMBED, FILTERS, HIDDEN = 6, 24, 16
+#: Bytes of a text beyond which it is scored in pieces.
+LONG = 1 << 20
 #: Steps that a fit takes at least, however few rows it has.
 LEAST_STEPS = 400
 
@@ -77,7 +79,35 @@ class ConvNet:
         return {"raw": raw, "x": x, "y": y, "peak": peak, "idx": idx, "starts": starts, "n": n, "pooled": pooled, "h": h, "both": both, "z": z}
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.forward(texts)["z"].astype(float), -30, 30)))
+        z = np.zeros(len(texts))
+        short = [i for i, t in enumerate(texts) if len(t) <= LONG]
+        if short:
+            z[short] = self.forward([texts[i] for i in short])["z"]
+        for i, t in enumerate(texts):
+            if len(t) > LONG:
+                z[i] = self._long(t)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def _long(self, text: bytes) -> float:
+        """forward() of one text, some chunks at a time: their mean and maximum need no more than one piece in memory."""
+        w, size = self.w, STEP * BLOCK
+        blocks = (len(text) + STEP + size - 1) // size
+        n = max(1, -(-(blocks - 1) // MOVE))
+        total, top, piece = np.zeros(HIDDEN), np.full(HIDDEN, -np.inf), max(1, LONG // (size * MOVE))
+        for a in range(0, n, piece):
+            b = min(n, a + piece)
+            low, high = a * MOVE, min(blocks, (b - 1) * MOVE + CHUNK)
+            raw = np.frombuffer(text[low * size : high * size + STEP].ljust((high - low) * size + STEP, b"\0"), np.uint8)
+            x = w["embed"][raw].reshape(-1, STEP * EMBED)
+            y = np.maximum(x[:-1] @ w["near"] + x[1:] @ w["next"] + w["bias"], 0)
+            if high == blocks:
+                y[-1] = 0
+            peak = y.reshape(-1, BLOCK, FILTERS).max(1)
+            idx = np.minimum((np.arange(a, b) - a)[:, None] * MOVE + np.arange(CHUNK), high - low - 1)
+            h = np.maximum(peak[idx].max(1) @ w["hidden"] + w["hidden_bias"], 0)
+            total += h.sum(0)
+            top = np.maximum(top, h.max(0))
+        return float(np.r_[total / n, top] @ w["out"] + w["out_bias"][0])
 
     def gradient(self, texts: list[bytes], labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         w, f = self.w, self.forward(texts)
