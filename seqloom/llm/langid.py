@@ -28,9 +28,17 @@ from .batches import as_bytes, slices
 DIM, GRAMS = 4096, (2, 3)
 UND = "und"
 
+#: Bytes of a text beyond which it is counted in pieces.
+LONG = 1 << 20
+
 
 def counts(texts: list[bytes]) -> np.ndarray:
-    """texts x DIM: how often each bucket's n-grams occur in the lower-cased bytes. No n-gram reaches over a text's end."""
+    """texts x DIM: how often each bucket's n-grams occur in the lower-cased bytes. No n-gram reaches over a text's end.
+
+    Long texts are counted in pieces, each with the start of the next; what lies in that start alone is counted once less.
+    """
+    if any(len(t) > LONG for t in texts):
+        return np.concatenate([counts([t]) if len(t) <= LONG else _long_counts(t) for t in texts])
     n = len(texts)
     gap = b"\0" * (max(GRAMS) - 1)
     buf = np.frombuffer(gap.join([*(t.lower() for t in texts), b""]) + gap, np.uint8)
@@ -49,6 +57,16 @@ def counts(texts: list[bytes]) -> np.ndarray:
     return out.reshape(n, DIM)
 
 
+def _long_counts(text: bytes) -> np.ndarray:
+    out, over = np.zeros((1, DIM), np.int64), max(GRAMS) - 1
+    step = LONG - over
+    for at in range(0, len(text), step):
+        out += counts([text[at : at + step + over]])
+        if at + step < len(text):
+            out -= counts([text[at + step : at + step + over]])
+    return out
+
+
 def weighted(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     v = np.log1p(count).astype(np.float32) * idf
     return v / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
