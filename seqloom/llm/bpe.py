@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+import struct
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,42 @@ END = ""
 PATTERN = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = re.compile(rb"[!-;=-~]+")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-#: Distinct chunks whose ids a worker remembers before it starts again; pieces and seams that it remembers beside them.
-MEMO, PIECES, SEAMS = 200_000, 180_000, 1 << 16
+#: Chunks, pieces, seams and spines that a worker remembers; it keeps them between tasks (about 100 MB).
+MEMO, PIECES, SEAMS, SPINES = 200_000, 200_000, 1 << 17, 20_000
+
+
+class Halves(dict):
+    """What a function made lately. Of two halves the older one is dropped when the newer is full, so that common keys stay."""
+
+    def __init__(self, make: Callable[[Any], bytes], most: int):
+        self.make, self.most, self.older = make, most // 2, {}
+
+    def __missing__(self, key: Any) -> bytes:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
+        return out
+
+
+class Chunks(Halves):
+    """Ids of chunks. A plain word with one sign behind it is made of both, so that only words are remembered."""
+
+    def __init__(self, model: PrefixBpe, most: int):
+        super().__init__(model.encode_chunk, most)
+        self.signs = frozenset(b".,;:!?)" if model.plain else b"")
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if chunk[-1] in self.signs and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self[chunk[-1:]]
+        return super().__missing__(chunk)
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"={len(ids)}i", *ids)
 
 
 class PrefixBpe:
@@ -41,6 +76,7 @@ class PrefixBpe:
         import ahocorasick
         from tokenizers import Tokenizer
 
+        self.spine = lru_cache(SPINES)(self._spine)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -62,8 +98,8 @@ class PrefixBpe:
                 self.match.add_word(s, (i, len(s)))
         self.match.make_automaton()
         self.plain = PATTERN in json.dumps(spec["pre_tokenizer"]) and "Lowercase" in json.dumps(spec["normalizer"])
-        self.piece = lru_cache(PIECES)(self.encode_piece)
-        self.fits = lru_cache(SEAMS)(lambda a, b: self._clash(a, b) is None)
+        self.piece = Halves(self.encode_piece, PIECES).__getitem__
+        self.seams: dict[int, bool] = {}
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that stand at one edge of a token while it is being built, each with the rank that absorbs it."""
@@ -79,7 +115,7 @@ class PrefixBpe:
 
         Both edges are replayed in rank order; at equal ranks the left one goes first, as merging goes from left to right.
         """
-        left, right = self._spine(a, 1), self._spine(b, 0)
+        left, right = self.spine(a, 1), self.spine(b, 0)
         i = j = 0
         while True:
             (x, gone_x), (y, gone_y) = left[i], right[j]
@@ -103,30 +139,46 @@ class PrefixBpe:
     def names(self) -> pa.Array:
         return pa.array([self.token_of.get(i) for i in range(max(self.token_of) + 1)])
 
-    def encode_piece(self, piece: str) -> list[int]:
-        """One piece in the byte-level alphabet."""
-        n, fits = len(piece) + bool(self.suffix), self.fits
-        last: list[tuple[int, int] | None] = [None] * (n + 1)  # of each prefix: token, where it starts
+    def encode_piece(self, piece: str) -> bytes:
+        """One piece in the byte-level alphabet; ids are 32-bit numbers one after another."""
+        n, known = len(piece) + bool(self.suffix), self.seams
+        inner = n - 1 if self.suffix else -1  # a word's end stands after all of its letters
+        last, start = [-1] * (n + 1), [0] * (n + 1)  # of each prefix: its last token, and where that starts
         for end, (token, length) in self.match.iter(piece + END if self.suffix else piece):
             end += 1
-            if last[end] is not None or (self.suffix and end == n - 1):
+            if last[end] >= 0 or end == inner:
                 continue
-            start = end - length
-            if start == 0 or (last[start] is not None and fits(last[start][0], token)):
-                last[end] = token, start
+            at = end - length
+            if at:
+                left = last[at]
+                if left < 0:
+                    continue
+                fits = known.get(left << 32 | token)
+                if fits is None:
+                    fits = self._seam(left, token)
+                if not fits:
+                    continue
+                start[end] = at
+            last[end] = token
         ids, at = [], n
         while at:
-            token, at = last[at]
-            ids.append(token)
-        return ids[::-1]
+            ids.append(last[at])
+            at = start[at]
+        return packed(ids[::-1])
+
+    def _seam(self, a: int, b: int) -> bool:
+        if len(self.seams) >= SEAMS:
+            self.seams.clear()
+        out = self.seams[a << 32 | b] = self._clash(a, b) is None
+        return out
 
-    def encode_chunk(self, chunk: bytes) -> list[int]:
+    def encode_chunk(self, chunk: bytes) -> bytes:
         """A run of bytes without ASCII white space, over which no piece ever reaches."""
-        ids: list[int] = []
+        if self.plain and chunk.isalpha():  # ASCII letters only, as these are bytes
+            return self.piece(chunk.lower().decode("ascii"))
         if self.plain and PLAIN.fullmatch(chunk):
-            for piece in SPLIT.findall(chunk.lower().decode("ascii")):
-                ids += self.piece(piece)
-            return ids
+            return b"".join(map(self.piece, SPLIT.findall(chunk.lower().decode("ascii"))))
+        ids = b""
         text = chunk.decode("utf-8")
         while text:
             at, found = min(((k, s) for s in self.special if (k := text.find(s)) >= 0), default=(len(text), ""))
@@ -134,39 +186,17 @@ class PrefixBpe:
             for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(head) if head else ():
                 ids += self.piece(piece)
             if found:
-                ids.append(self.special[found])
+                ids += packed([self.special[found]])
             text = text[at + len(found) :]
         return ids
 
 
-class _Memo(dict):
-    """Ids of the chunks seen lately. Of two halves the older one is dropped when the newer is full, so that common chunks stay."""
-
-    def __init__(self, model: PrefixBpe):
-        self.model, self.older = model, {}
-
-    def forget(self) -> None:
-        self.clear()
-        self.older = {}
-        self.model.piece.cache_clear()
-        self.model.fits.cache_clear()
-
-    def __missing__(self, chunk: bytes) -> list[int]:
-        if len(self) >= MEMO // 2:
-            self.older = dict(self)
-            self.clear()
-        out = self.older.get(chunk)
-        if out is None:
-            out = self.model.encode_chunk(chunk)
-        self[chunk] = out
-        return out
-
-
-@lru_cache(2)
-def _memo(path: str) -> _Memo:
+@lru_cache(1)
+def _memo(path: str) -> tuple[PrefixBpe, Chunks]:
+    """A worker's model and the chunks that it saw lately; both stay for its later tasks."""
     model = PrefixBpe(path)
     release()  # what reading the file took
-    return _Memo(model)
+    return model, Chunks(model, MEMO)
 
 
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -182,13 +212,12 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(path)
-        names = memo.model.names()
+        model, memo = _memo(path)
+        names = model.names()
         for batch in slices(batches, "text", 2 << 20):
-            rows = [np.fromiter(chain.from_iterable(map(memo.__getitem__, t.split())), np.int32) for t in as_bytes(batch.column("text"))]
+            rows = [np.frombuffer(b"".join(map(memo.__getitem__, t.split())), np.int32) for t in as_bytes(batch.column("text"))]
             ids = _lists(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("key"), ids, *([_joined(ids, names)] * decoded)], ["key", "ids", *["decoded"] * decoded])
-        memo.forget()  # a worker that waits for its next task holds the model only
         release()
 
     kind = docs.schema[key].dataType.simpleString()
@@ -204,7 +233,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     """key, text: the tokens of the ids joined as a file without a decoder joins them, by one space; special tokens stay."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _memo(path).model.names()
+        names = _memo(path)[0].names()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("key"), _joined(batch.column("ids"), names)], ["key", "text"])
 
