@@ -178,3 +178,65 @@ def test_small_tables_in_slots(spark, monkeypatch):
     docs = [("en", " ".join(random.Random(i).choices("abcdefgh", k=60))) for i in range(60)]
     df = spark.createDataFrame(docs, "lang string, text string").repartition(2)
     assert sorted(tuple(x) for x in phrases.collocations(df, 15, 100, 500).collect()) == brute.collocations(docs, 15, 100, 500)
+
+
+@pytest.mark.parametrize("levels", [1, 63, 64, 100, 10_000])
+@pytest.mark.parametrize("tag", ["div", "center"])
+def test_html_ancestors_at_any_depth(levels, tag):
+    """A reader's comment stays one under any number of elements, and an article one."""
+    from seqloom.llm import html
+
+    field = html.trained()
+    words = "This is a long enough sentence of plain words, with a comma, that reads like any other one here."
+    deep = lambda cls: f"<div class={cls}>" + f"<{tag}>" * levels + f"<p>{words} {cls}</p>" * 3 + f"</{tag}>" * levels + "</div>"
+    page = f"<html><body><article><h1>Title of it</h1><p>{words} first</p>{deep('body')}</article>{deep('comments')}</body></html>"
+    got = html.main_text(page, field)
+    assert "first" in got and got.count("here. body") == 3 and "comments" not in got
+
+
+def test_html_viterbi_and_gradient():
+    """Viterbi against all label paths; the forward and backward sums against numeric differences."""
+    from itertools import product
+    from math import exp, log
+
+    from seqloom.llm.html import Field
+
+    r = random.Random(9)
+    for _ in range(40):
+        field = Field()
+        rows = [[f"f{r.randrange(6)}" for _ in range(r.randint(1, 3))] for _ in range(r.randint(1, 8))]
+        field.w = {f"f{k}": r.gauss(0, 0.3) for k in range(6)}
+        field.pair = [[r.gauss(0, 1) for _ in range(2)] for _ in range(2)]
+        value = lambda y, f=field, x=rows: sum(f.w[n] for k, on in enumerate(y) if on for n in x[k]) + sum(f.pair[a][b] for a, b in zip(y, y[1:], strict=False))
+        paths = list(product((0, 1), repeat=len(rows)))
+        assert value(tuple(field.decode(rows))) == pytest.approx(max(map(value, paths)))
+        y = [r.randint(0, 1) for _ in rows]
+        likely = lambda: value(tuple(y)) - log(sum(exp(value(p)) for p in paths))  # noqa: E731, B023
+        rate, e = 1e-6, 1e-5
+        numeric = {}
+        for n in field.w:
+            old = field.w[n]
+            field.w[n] = old + e
+            up = likely()
+            field.w[n] = old - e
+            numeric[n] = (up - likely()) / (2 * e)
+            field.w[n] = old
+        before = dict(field.w)
+        field.step(rows, y, 1.0)
+        used = {n for row in rows for n in row}
+        for n in used:
+            assert field.w[n] - before[n] == pytest.approx(numeric[n], abs=2e-3)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """Scores and counts of texts in pieces are those of whole ones."""
+    from seqloom.llm import langid, quality
+
+    r = random.Random(10)
+    texts = [bytes(r.choice(b"abc def,\xc3\xa9\n") for _ in range(n)) for n in (0, 1, 63, 64, 255, 256, 257, 1000, 4097, 20_000)]
+    net = quality.ConvNet()
+    whole, counted = net.scores(texts), langid.counts(texts)
+    for size in (192, 512, 4096):
+        monkeypatch.setattr(quality, "LONG", size)
+        monkeypatch.setattr(langid, "LONG", size)
+        assert np.allclose(net.scores(texts), whole, atol=1e-6) and (langid.counts(texts) == counted).all()
