@@ -4,12 +4,13 @@ Texts are lower-cased, split into pieces at punctuation and into words. Counts a
 
 1. A first pass counts words by language, and hashes of single words and of pairs of words in tables of a fixed size.
 2. A second pass makes an occurrence pointer of each word: the word and up to four that follow in its piece. A pointer ends
-   before a word or a pair whose table entry is below the support, for no frequent phrase goes on there. Equal pointers are
-   added up in the task and again after the shuffle, so a passage that is repeated everywhere is one row.
-3. Pointers are projected on a frequent prefix, mostly one word, and each prefix is one group: it is grown to the right
-   depth-first, each step keeping the numbers of those pointers that go on with the same word. A prefix with more than CROWD
-   pointers (its hash entry has, which is bounded) is counted by a plain aggregation instead, and its pointers are grouped
-   by longer prefixes, so no group grows with the corpus.
+   before a word or a pair whose table entry is below the support, for no frequent phrase goes on there. Equal pointers of a
+   task are added up.
+3. Pointers are projected on a prefix, mostly one word: a task gives each prefix one row with what follows it there, and
+   the rows of one prefix are one group, which is grown to the right depth-first, each step keeping the numbers of those
+   pointers that go on with the same word. A word whose entry is above CROWD is counted by a plain sum, and its pointers
+   are projected on two words; pointers of a pair that is above it too are counted by sums of all their prefixes. So a
+   group has at most CROWD pointers, and a passage that is repeated everywhere is a few sums.
 4. Counts of a candidate's parts are joined to it; of all cuts the lowest score counts. Candidates inside a longer one that
    is as frequent are dropped.
 
@@ -30,13 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .batches import as_bytes, release, slices
-from .common import BUCKETS, cut, discard, n_parts
+from .common import cut, discard, n_parts
 
 #: Words of the longest phrase.
 LONGEST = 5
 #: Entries of the hash tables of words and of pairs (bytes sent to a task, at a bit each: 1/8 of it).
 WORD_SLOTS, PAIR_SLOTS = 1 << 22, 1 << 24
-#: Different pointers that one prefix may have in a group.
+#: Pointers that one prefix may have in a group, repeats included.
 CROWD = 50_000
 #: Bytes of text that a task looks at together; different pointers that it adds up before it passes them on.
 TEXT, HELD = 8 << 20, 1 << 20
@@ -129,40 +130,67 @@ def slot_counts(docs: DataFrame) -> DataFrame:
 BLOCK = 1 << 16
 
 
-def often(seen: DataFrame, kind: str, size: int, support: int):
-    """A bit for each entry of a table: was it hit `support` times? Packed by blocks; size / 8 bytes go to the driver and out again."""
+def reached(seen: DataFrame, kind: str, size: int, least: int):
+    """A bit for each entry of a table: was it hit `least` times? Packed by blocks; size / 8 bytes go to the driver and out again."""
 
     def packed(block: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(BLOCK, bool)
         bits[block["slot"].to_numpy() % BLOCK] = True
         return pd.DataFrame({"block": [block["slot"].iloc[0] // BLOCK], "bits": [np.packbits(bits).tobytes()]})
 
-    hit = seen.filter((F.col("kind") == kind) & (F.col("n") >= support)).select("slot")
+    hit = seen.filter((F.col("kind") == kind) & (F.col("n") >= least)).select("slot")
     out = bytearray(size // 8)
     for block, bits in hit.groupBy(F.expr(f"slot div {BLOCK}")).applyInPandas(packed, "block long, bits binary").toLocalIterator():
         out[block * BLOCK // 8 : (block + 1) * BLOCK // 8] = bits
     return seen.sparkSession.sparkContext.broadcast(bytes(out))
 
 
-def pointers(docs: DataFrame, words, pairs) -> DataFrame:
-    """lang, words (up to five, joined by spaces), n: what follows each word that may be frequent, as far as a frequent phrase may go."""
+def _bits(table) -> np.ndarray:  # noqa: ANN001  a broadcast
+    return np.unpackbits(np.frombuffer(table.value, np.uint8)).view(bool)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often_word = np.unpackbits(np.frombuffer(words.value, np.uint8)).view(bool)
-        often_pair = np.unpackbits(np.frombuffer(pairs.value, np.uint8)).view(bool)
-        held: list[pa.RecordBatch] = []
 
-        def added_up() -> pa.Table:
-            return pa.Table.from_batches(held).group_by(["lang", "words"]).aggregate([("n", "sum")]).rename_columns(["lang", "words", "n"])
+def projected(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pointers (lang, words, level, n) by their prefix: a row for each prefix that is grown, and sums (depth 0) for the others."""
+    table = pa.Table.from_batches(held).group_by(["lang", "words", "level"]).aggregate([("n", "sum")])
+    grow: dict[tuple[str, str, int], tuple[list[str], list[int]]] = {}
+    sums: dict[tuple[str, str], int] = {}
+    for lang, words, level, n in zip(*(table.column(c).to_pylist() for c in ("lang", "words", "level", "n_sum")), strict=True):
+        cut = words.find(" ")
+        if level > 1:
+            ends = [cut] if level == 2 else [i for i, c in enumerate(words) if c == " "] + [len(words)]
+            for end in ends:
+                k = lang, words[:end]
+                sums[k] = sums.get(k, 0) + n
+            if level == 3:
+                continue
+            cut = words.find(" ", cut + 1)
+        cut = cut if cut >= 0 else len(words)
+        rest, times = grow.setdefault((lang, words[:cut], level), ([], []))
+        rest.append(words[cut + 1 :])
+        times.append(n)
+    rows = [(lang, prefix, level, "\n".join(rest), np.array(times, np.int64).tobytes(), sum(times)) for (lang, prefix, level), (rest, times) in grow.items()]
+    rows += [(lang, phrase, 0, "", b"", n) for (lang, phrase), n in sums.items()]
+    for at in range(0, len(rows), 1 << 14):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + (1 << 14)], strict=True), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "prefix", "depth", "rest", "n", "total"])
+
 
+def pointers(docs: DataFrame, words, pairs, full_words, full_pairs) -> DataFrame:  # noqa: ANN001  broadcasts
+    """lang, prefix, depth, rest, n, total of each task's pointers by prefix: what follows it (one line each), how often, and how often in all."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, often_pair, full, full_pair = map(_bits, (words, pairs, full_words, full_pairs))
+        held: list[pa.RecordBatch] = []
         for lang, ids, names in by_lang(batches):
             h = _hashes(names, lang)
-            may = often_word[(h % np.uint64(WORD_SLOTS)).astype(np.int64)]
+            slot = (h % np.uint64(WORD_SLOTS)).astype(np.int64)
+            may = often[slot]
             may[0] = False
             ids = np.where(may[ids], ids, 0)
-            goes = np.zeros(len(ids), bool)  # does a pointer go on from here to the next word
             both = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
-            goes[both] = often_pair[_pairs(h[ids[both]], h[ids[both + 1]]).astype(np.int64)]
+            pair = np.zeros(len(ids), np.int64)  # the entry of each word's pair with the next
+            pair[both] = _pairs(h[ids[both]], h[ids[both + 1]]).astype(np.int64)
+            goes = np.zeros(len(ids), bool)  # does a pointer go on from here to the next word
+            goes[both] = often_pair[pair[both]]
             starts = np.flatnonzero(ids)
             if not len(starts):
                 continue
@@ -172,114 +200,91 @@ def pointers(docs: DataFrame, words, pairs) -> DataFrame:
             for k in range(1, LONGEST):
                 on = on & goes[np.minimum(starts + k - 1, len(ids) - 1)]
                 window[on, k] = ids[starts[on] + k]
+            level = np.where(~full[slot[window[:, 0]]], 1, np.where((window[:, 1] > 0) & ~full_pair[pair[starts]], 2, 3)).astype(np.int32)
             order = np.lexsort(window.T[::-1])
-            window = window[order]
+            window, level = window[order], level[order]
             first = np.flatnonzero(np.r_[True, (window[1:] != window[:-1]).any(axis=1)])
             n = np.diff(np.r_[first, len(window)])
-            window = window[first]
+            window, level = window[first], level[first]
             for at in range(0, len(window), 1 << 16):
-                own = window[at : at + (1 << 16)]
-                said = [b" ".join([names[i] for i in row if i]) for row in own.tolist()]
-                held.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(said, pa.binary()).cast(pa.string()), pa.array(n[at : at + (1 << 16)])], ["lang", "words", "n"]))
+                to = at + (1 << 16)
+                said = [b" ".join([names[i] for i in row if i]) for row in window[at:to].tolist()]
+                held.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(said)), pa.array(said, pa.binary()).cast(pa.string()), pa.array(level[at:to]), pa.array(n[at:to])], ["lang", "words", "level", "n"]))
             if sum(b.num_rows for b in held) > HELD:
-                whole = added_up()
-                held = whole.combine_chunks().to_batches()
-                if whole.num_rows > HELD // 2:
-                    yield from whole.to_batches(max_chunksize=1 << 16)
-                    held = []
+                yield from projected(held)
+                held = []
         if held:
-            yield from added_up().to_batches(max_chunksize=1 << 16)
+            yield from projected(held)
         release()
 
-    return docs.mapInArrow(run, "lang string, words string, n long")
+    return docs.mapInArrow(run, "lang string, prefix string, depth int, rest string, n binary, total long")
 
 
-def grown(rows: pd.DataFrame, support: int, depth: int) -> list[tuple[str, int]]:
-    """Phrases that begin with the prefix of `depth` words that all rows share, and how often each comes; rows have words and n."""
-    words = [w.split(" ") for w in rows["words"]]
-    n = rows["n"].to_numpy()
+def grown(prefix: str, depth: int, rest: list[str], n: np.ndarray, support: int) -> list[tuple[str, int]]:
+    """Phrases that begin with a prefix of `depth` words, and how often each comes; rest and n: what follows it, and how often."""
+    words = [r.split(" ") if r else [] for r in rest]
     size = np.array([len(w) for w in words])
     number: dict[str, int] = {}
-    table = np.full((len(words), LONGEST), -1)
+    table = np.full((len(words), LONGEST - depth), -1)
     for i, w in enumerate(words):
         table[i, : len(w)] = [number.setdefault(x, len(number)) for x in w]
     names, out = list(number), []
 
-    def extend(phrase: str, at: np.ndarray, depth: int) -> None:
+    def extend(phrase: str, at: np.ndarray, more: int) -> None:
         total = int(n[at].sum())
         if total < support:
             return
         out.append((phrase, total))
-        at = at[size[at] > depth]
-        if depth == LONGEST or not len(at):
+        at = at[size[at] > more]
+        if not len(at):
             return
-        then = table[at, depth]
+        then = table[at, more]
         order = np.argsort(then, kind="stable")
         at, then = at[order], then[order]
         cuts = np.flatnonzero(np.r_[True, then[1:] != then[:-1], True])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            extend(f"{phrase} {names[then[a]]}", at[a:b], depth + 1)
+            extend(f"{phrase} {names[then[a]]}", at[a:b], more + 1)
 
-    extend(" ".join(words[0][:depth]), np.arange(len(words)), depth)
+    extend(prefix, np.arange(len(words)), 0)
     return out
 
 
 def by_prefix(frames: Iterable[pd.DataFrame], support: int) -> Iterator[pd.DataFrame]:
     """Grows each prefix by itself; the rows of one follow each other, in one frame or several."""
 
-    def done(own: pd.DataFrame) -> list[tuple[str, str, int]]:
-        if int(own["n"].sum()) < support:
+    def done(own: list[tuple[str, str, int, str, bytes]]) -> list[tuple[str, str, int]]:
+        n = np.frombuffer(b"".join(r[4] for r in own), np.int64)
+        if int(n.sum()) < support:
             return []
-        return [(own["lang"].iloc[0], *x) for x in grown(own, support, int(own["depth"].iloc[0]))]
+        lang, prefix, depth = own[0][:3]
+        return [(lang, *x) for x in grown(prefix, int(depth), [x for r in own for x in r[3].split("\n")], n, support)]
 
-    held: list[pd.DataFrame] = []
+    held: list[tuple[str, str, int, str, bytes]] = []
     for frame in frames:
-        lang, prefix = frame["lang"].to_numpy(), frame["prefix"].to_numpy()
-        cuts = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (prefix[1:] != prefix[:-1]), True])
         out: list[tuple[str, str, int]] = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and (held[0]["lang"].iloc[0], held[0]["prefix"].iloc[0]) != (lang[a], prefix[a]):
-                out += done(pd.concat(held))
+        for row in frame.itertuples(index=False, name=None):
+            if held and held[0][:2] != row[:2]:
+                out += done(held)
                 held = []
-            held.append(frame.iloc[a:b])
+            held.append(row)
         yield pd.DataFrame(out, columns=["lang", "phrase", "f"]).astype({"f": "int64"})
     if held:
-        yield pd.DataFrame(done(pd.concat(held)), columns=["lang", "phrase", "f"]).astype({"f": "int64"})
-
-
-def _prefix(k: int):
-    return F.substring_index("words", " ", k)
+        yield pd.DataFrame(done(held), columns=["lang", "phrase", "f"]).astype({"f": "int64"})
 
 
 def frequent(docs: DataFrame, support: int, text: str = "text", lang: str = "lang", crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, f for every phrase of at most five words that comes at least `support` times; and lang, n of all words."""
-    spark, docs = docs.sparkSession, _rows(docs, text, lang)
+    docs = _rows(docs, text, lang)
     seen = cut(slot_counts(docs).groupBy("kind", "lang", "slot").agg(F.sum("n").alias("n")), "slots")
-    totals = seen.filter("kind = 'w'").select("lang", "n")
-    found = pointers(docs, often(seen, "w1", WORD_SLOTS, support), often(seen, "w2", PAIR_SLOTS, support))
-    rows = cut(found.groupBy("lang", "words").agg(F.sum("n").alias("n")).withColumn("size", F.size(F.split("words", " "))), "pointers")
-    # How long a prefix has to be: the first one whose entry isn't crowded.
-    entry = [F.pmod(F.xxhash64("lang", _prefix(k)), F.lit(BUCKETS)) for k in range(1, LONGEST)]
-    by_entry = rows.select(F.explode(F.array(*[F.when(F.col("size") >= k, F.struct(F.lit(k).alias("k"), e.alias("slot"))) for k, e in enumerate(entry, 1)])).alias("e")).filter("e IS NOT NULL")
-    crowded = by_entry.groupBy("e.k", "e.slot").count().filter(F.col("count") > crowd).select("k", "slot", F.lit(True).alias("crowded"))
-    crowded = cut(crowded, "crowded")
-    depth = F.lit(LONGEST)
-    routed = rows
-    for k, e in enumerate(entry, 1):
-        full = crowded.filter(F.col("k") == k).select(F.col("slot").alias(f"slot{k}"), F.col("crowded").alias(f"full{k}"))
-        routed = routed.withColumn(f"slot{k}", e).join(F.broadcast(full), f"slot{k}", "left")  # at most BUCKETS rows
-    for k in range(LONGEST - 1, 0, -1):
-        depth = F.when(F.col(f"full{k}").isNull(), k).otherwise(depth)
-    routed = routed.select("lang", "words", "n", "size", depth.alias("depth"))
-
-    prefix = F.expr("substring_index(words, ' ', depth)")
-    own = routed.filter("size >= depth").select("lang", prefix.alias("prefix"), "depth", "words", "n")
-    grew = own.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix").mapInPandas(lambda frames: by_prefix(frames, support), "lang string, phrase string, f long")
-    short = routed.filter("depth > 1").select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.col("depth") - 1, F.col("size"))), lambda k: F.array_join(F.slice(F.split("words", " "), 1, k), " "))).alias("phrase"), "n")
-    short = short.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= support)
+    totals = cut(seen.filter("kind = 'w'").select("lang", "n"), "totals")
+    tables = [reached(seen, kind, size, least) for least in (support, crowd + 1) for kind, size in (("w1", WORD_SLOTS), ("w2", PAIR_SLOTS))]
+    rows = cut(pointers(docs, *tables), "pointers")
+    own = rows.filter("depth > 0").drop("total").repartition("lang", "prefix").sortWithinPartitions("lang", "prefix")
+    grew = own.mapInPandas(lambda frames: by_prefix(frames, support), "lang string, phrase string, f long")
+    sums = rows.filter("depth = 0").select("lang", F.col("prefix").alias("phrase"), F.col("total").alias("n"))
+    short = sums.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= support)
     out = cut(grew.unionByName(short), "phrases")
-    totals = cut(totals, "totals")
-    discard(seen, rows, crowded)
+    discard(seen, rows)
     return out, totals
 
 
