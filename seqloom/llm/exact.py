@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -99,12 +100,14 @@ class Run:
 
 
 def compact(runs: list[Run]) -> Run:
-    """Size-tiered: the two smallest runs are merged until one is left."""
-    runs = sorted(runs, key=lambda r: len(r.digests))
-    while len(runs) > 1:
-        merged = runs[0].merge(runs[1])
-        runs = sorted([merged, *runs[2:]], key=lambda r: len(r.digests))
-    return runs[0]
+    """Size-tiered: the two smallest runs are merged until one is left, so an entry is copied about log2(runs) times."""
+    queue = [(len(r.digests), k, r) for k, r in enumerate(runs)]
+    heapify(queue)
+    while len(queue) > 1:
+        one, two = heappop(queue)[2], heappop(queue)[2]
+        merged = one.merge(two)
+        heappush(queue, (len(merged.digests), len(runs) + len(queue), merged))
+    return queue[0][2]
 
 
 ENTRY = "run string, bucket long, digests binary, row_counts binary, lengths binary, keys binary, filter binary"
