@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 
 def bpe_file() -> str:
@@ -47,7 +47,7 @@ def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .audio import read_audio, store
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    files = store(docs)
+    files = cut(store(docs), "media")  # the media table: written to the shared folder, and read back
     heard = read_audio(files.withColumn("key", F.struct("doc_id", F.octet_length("media").cast("long").alias("bytes"), F.sha2("media", 256).alias("sha"))), key="key")
     tail = F.expr("substring(payload, octet_length(payload) - 15, 16)")
     return heard.select(
@@ -181,7 +181,8 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JO
 
 PHRASE_SQL = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 w AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p),
 n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
 g AS (SELECT lang, w[i : i + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 6) t(m) WHERE len(w) >= m)),
