@@ -240,3 +240,60 @@ def test_long_texts_in_pieces(monkeypatch):
         monkeypatch.setattr(quality, "LONG", size)
         monkeypatch.setattr(langid, "LONG", size)
         assert np.allclose(net.scores(texts), whole, atol=1e-6) and (langid.counts(texts) == counted).all()
+
+
+def test_op4_columns(spark, sf):
+    """Every column of the query from the text alone: the WAV file byte by byte, checksums, and the read-back laws."""
+    import hashlib
+    import struct
+    import zlib
+
+    from seqloom.llm import audio
+    from seqloom.llm.common import table
+
+    def mulaw(b: int) -> int:
+        b = ~b & 255
+        v = (((b & 15) << 3) + 132 << (b >> 4 & 7)) - 132
+        return -v if b & 128 else v
+
+    def alaw(b: int) -> int:
+        b ^= 0x55
+        e, v = b >> 4 & 7, (b & 15) << 4
+        v = v + 8 if e == 0 else v + 264 << e - 1
+        return v if b & 128 else -v
+
+    def told(name: str, x: list[int]) -> str:
+        rms = (sum(v * v for v in x) / len(x)) ** 0.5
+        return f"{name} rms={rms:.2f} peak={max(map(abs, x))} zc={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))}"
+
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in table(spark, sf, "documents").collect()}
+    got = queries.op4_telephony(spark, sf).collect()
+    assert len(got) == len(text)
+    for r in got[:60]:
+        raw = text[r["doc_id"]]
+        pay = raw + b" " * (-len(raw) % 192 if raw else 192)
+        head = b"WAVEfmt " + struct.pack("<IHHIIHHH", 18, 7, 1, 8000, 8000, 1, 8, 0) + b"fact" + struct.pack("<II", 4, len(raw)) + b"data" + struct.pack("<I", len(pay))
+        media = b"RIFF" + struct.pack("<I", len(head) + len(pay)) + head + pay
+        assert (r["media_bytes"], r["media_sha256"], r["tail_crc32"]) == (len(media), hashlib.sha256(media).hexdigest(), zlib.crc32(pay[-16:]))
+        pcm = np.array([mulaw(b) for b in pay], np.int16)
+        slow = audio.resample(pcm, np.array([0]), np.array([len(pcm)]), 8000, 16000)[0]
+        parts = r["feature"].split("; ")
+        assert parts[0] == told("pcm16000", slow.tolist()) and parts[1] == told("other", [alaw(b) for b in pay]) and parts[2].startswith("adpcm ")
+        assert r["pcm_crc32"] == zlib.crc32(slow.astype("<i2").tobytes())
+
+
+def test_op1_many_runs():
+    """8,000 runs of two entries merge to one, with the smallest identifiers and all rows counted."""
+    from seqloom.llm import exact
+
+    runs, want = [], {}
+    for k in range(8000):
+        d = [f"{(3 * k + j) % 5000:032d}".encode() for j in range(2)]
+        for j, x in enumerate(d):
+            n, best = want.get(x, (0, (0, 1 << 60)))
+            want[x] = n + 1, min(best, (-(k % 7), 2 * k + j))
+        runs.append(exact.Run.flush(exact.as_bytes(np.array(d, "V32")), np.array([k % 7, k % 7]), np.array([2 * k, 2 * k + 1])))
+    whole = exact.compact(runs)
+    raw = whole.digests.tobytes()
+    got = {raw[i : i + 32]: (int(n), (-int(length), int(key))) for i, n, length, key in zip(range(0, len(raw), len(raw) // len(whole.rows)), whole.rows, whole.length, whole.key, strict=True)}
+    assert got == want
