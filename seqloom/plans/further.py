@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.field import EFFECTS, coarse_variant, effect_code, operator_number, project
+from ..functions.u64 import MIX_1, MIX_2
 from ..operators import governance as G
 from ..operators.motifs import longest_common, longest_tandem
 from ..operators.resample import auto_draws
 from ..sources.sinks import scratch
 from ..sources.streams import bed, chunked, conllu_tokens, read_manifest, read_profiles, repeat_annotations, treebank_symbols
 from .catalog import query, t
-from .fields import FIELD, field, grid
+from .fields import FIELD, GRID, field, grid
 from .motifs import KM, SEQ, K, km, seqs
 from .streams import _FNV_SQL, _MATRIX, WALK, WORD, coupling_of, pair_counts, walk
 from .structure import CLUSTERED, TR, clustered, moves
@@ -139,7 +140,16 @@ def p4(spark: SparkSession, d: str) -> DataFrame:
     return field(spark, d).select("stream", "i", v.alias("variant_hash"))
 
 
-@query("p2b_project_hash")
+_LOW = 1 << 32
+_MUL = lambda z, c: f"({z} % {_LOW} * {c}::HUGEINT + ({z} // {_LOW} * {c & (_LOW - 1)}::HUGEINT % {_LOW}) * {_LOW}) % {_M}::HUGEINT"
+
+
+@query(
+    "p2b_project_hash",
+    f"""WITH {GRID}, s AS (SELECT stream, i, i::HUGEINT AS z FROM grid), a AS (SELECT stream, i, xor(z::UBIGINT, z::UBIGINT >> 30)::HUGEINT AS z FROM s), b AS (SELECT stream, i, {_MUL('z', MIX_1)} AS z FROM a),
+c AS (SELECT stream, i, xor(z::UBIGINT, z::UBIGINT >> 27)::HUGEINT AS z FROM b), e AS (SELECT stream, i, {_MUL('z', MIX_2)} AS z FROM c), f AS (SELECT stream, i, xor(z::UBIGINT, z::UBIGINT >> 31) AS z FROM e)
+SELECT stream, i, -2 + (z >> 11)::DOUBLE / {1 << 53}::DOUBLE * 5 AS x FROM f""",
+)
 def p2b(spark: SparkSession, d: str) -> DataFrame:
     """Places of symbols in [-2, 3] by their hash."""
     return grid(spark, d).select("stream", "i", project(F.col("i"), -2.0, 3.0).alias("x"))

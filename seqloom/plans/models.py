@@ -14,6 +14,7 @@ from ..operators.resample import auto_draws, gates, pair_samples, shuffled
 from ..operators.simulate import SERIES, genesis, lattice, planted, series, uniform_series
 from ..operators.stats import null_scores
 from ..operators.words import CAUSAL, has, steps
+from ..session import checkpointed
 from .catalog import query, t
 from .fields import rule_table
 from .streams import _MATRIX, WALK, coupling_of, documents, pair_counts, walk
@@ -104,20 +105,37 @@ def evidence_gates(w: DataFrame) -> DataFrame:
 
 @query("n1_pair_null")
 def n1(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy of each cell of j2's matrix on pairs sampled from the row's test symbols, by sampling mode."""
-    known = pair_counts(spark, d).filter("tr > 0").select(F.col("stream").alias("col"), "from", "to").withColumn("hit", F.lit(1))
+    """Accuracy of each cell of j2's matrix on pairs sampled from the row's test symbols, by sampling mode.
+
+    A row's pairs are drawn once for each mode and read by every column's grammar. Its symbols are arrays of BLOCK places,
+    so a draw meets one row of them for either side and only counts of drawn pairs go on.
+    """
+    known = pair_counts(spark, d).filter("tr > 0").select(F.col("stream").alias("col"), "from", "to")
     symbols, sizes = test_symbols(spark, d)
     draws = sizes.agg(auto_draws(F.min("edges")).alias("draws"))
     rows = sizes.crossJoin(F.broadcast(draws))  # one row
+    alone = spark.range(1).select(F.lit("every").alias("stream"))
     out = None
     for mode in ("symbol_shuffle", "rotation", "block_boundary"):
-        one = pair_samples(rows, known.select(F.col("col").alias("stream")).distinct(), mode, 7).select(F.lit(mode).alias("mode"), "row", "col", "pos_a", "pos_b")
+        one = pair_samples(rows, alone, mode, 7).select(F.lit(mode).alias("mode"), "row", "pos_a", "pos_b")
         out = one if out is None else out.unionByName(one)
-    a = symbols.select(F.col("stream").alias("row"), F.col("at").alias("pos_a"), F.col("symbol").alias("from"))
-    b = symbols.select(F.col("stream").alias("row"), F.col("at").alias("pos_b"), F.col("symbol").alias("to"))
-    drawn = out.join(a, ["row", "pos_a"]).drop("pos_a").join(b, ["row", "pos_b"]).groupBy("mode", "row", "col", "from", "to").agg(F.count("*").alias("c"))
-    got = drawn.join(known, ["col", "from", "to"], "left").groupBy("row", "col", "mode").agg(F.sum(F.when(F.col("hit") == 1, F.col("c")).otherwise(0)).alias("hits"), F.sum("c").alias("samples"))
-    return got.select("row", "col", (F.col("hits") / F.col("samples")).alias("null_accuracy"), "samples", "mode")
+    held = symbols.groupBy(F.col("stream").alias("row"), F.floor(F.col("at") / BLOCK).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "symbol"))), lambda x: x["symbol"]).alias("w"))
+    held = checkpointed(held)
+
+    def looked_up(df: DataFrame, pos: str, name: str) -> DataFrame:
+        """A block starts with its first place, so a place is its element."""
+        return df.withColumn("block", F.floor(F.col(pos) / BLOCK)).join(held, ["row", "block"]).withColumn(name, F.get("w", (F.col(pos) % BLOCK).cast("int"))).drop("w", "block", pos)
+
+    drawn = checkpointed(looked_up(looked_up(out, "pos_a", "from"), "pos_b", "to").groupBy("mode", "row", "from", "to").agg(F.count("*").alias("c")))
+    samples = drawn.groupBy("mode", "row").agg(F.sum("c").alias("samples"))
+    hits = drawn.join(known, ["from", "to"]).groupBy("row", "col", "mode").agg(F.sum("c").alias("hits"))
+    cells = samples.crossJoin(F.broadcast(known.select("col").distinct()))  # as many as streams
+    got = cells.join(hits, ["row", "col", "mode"], "left")
+    return got.select("row", "col", (F.coalesce("hits", F.lit(0)) / F.col("samples")).alias("null_accuracy"), "samples", "mode")
+
+
+#: Places of a stream's test symbols that are one row.
+BLOCK = 1024
 
 
 def test_symbols(spark: SparkSession, d: str, width: int = 1000) -> tuple[DataFrame, DataFrame]:
