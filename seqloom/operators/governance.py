@@ -150,9 +150,15 @@ def envelope_text(domain: Column, task: Column, state: Column, actions: Column,
     return F.concat(F.lit(f"---\nschema: {ENVELOPE}\nresponse_contract: {RESPONSE}\ndomain: "), domain, F.lit("\n---\n\n## Task\n\n"), task, F.lit("\n\n"), fenced("Current State", state), fenced("Allowed Actions", actions), fenced("Validation Rules", rules))
 
 
-def document_state(df: DataFrame, text: str, **named: Column) -> Column:
-    """A document as state JSON."""
-    return F.to_json(F.struct(*[c.alias(n) for n, c in named.items()], F.col(text).alias("document")))
+def document_state(path: Column, text: Column, name: Column | None = None, kind: Column | None = None, app: str = "seqloom") -> Column:
+    """A document as state JSON: named by the last part of its path unless a name is given, of type text unless another is."""
+    given = lambda x, other: F.coalesce(F.nullif(x, F.lit("")), other) if x is not None else other
+    base = F.regexp_extract(path, r"([^/\\]*)$", 1)
+    # The state's field names, its adapter and its encoding.
+    return F.when(path.isNotNull() & text.isNotNull(), F.to_json(F.struct(
+        F.lit(app).alias("app"), F.lit("document").alias("input_adapter"), given(name, base).alias("document_name"), path.alias("document_path"), given(kind, F.lit("text")).alias("document_type"),
+        F.lit("utf-8-or-binary-preserved-text").alias("document_encoding"), text.alias("authoritative_document"),
+    )))
 
 
 def synthesized(result: Column) -> Column:

@@ -46,11 +46,11 @@ def null_scores(replicates: DataFrame, observed: DataFrame, key: str = "metric",
     """key, observed, null_mean, null_sd (population), z, p of replicates(key, value) against observed(key, value).
 
     p counts the replicates that reach the observation, each side with one more; keys in low reach it from above, by a
-    value as low. z is 0 without spread and difference.
+    value as low. Without spread z is infinite above the null's one value, else 0.
     """
     extreme = F.when(F.col(key).isin(*low), F.col("value") <= F.col("observed")).otherwise(F.col("value") >= F.col("observed"))
     both = replicates.join(observed.select(key, F.col("value").alias("observed")), key)
     out = both.groupBy(key, "observed").agg(F.avg("value").alias("null_mean"), F.stddev_pop("value").alias("null_sd"), F.sum(extreme.cast("int")).alias("_ge"), F.count("*").alias("iterations"))
     d = F.col("observed") - F.col("null_mean")
-    z = F.when(F.col("null_sd") > 0, d / F.col("null_sd")).when(d == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
+    z = F.when(F.col("null_sd") > 0, d / F.col("null_sd")).when(d <= 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
     return out.select(key, "observed", "null_mean", "null_sd", z.alias("z"), ((F.col("_ge") + 1) / (F.col("iterations") + 1)).alias("p"), "iterations")

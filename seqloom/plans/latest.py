@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sql as own_sql
+from ..operators.governance import document_state
 from ..operators.intervals import overlaps
 from ..operators.motifs import kmer_stats, motif_hits, skeleton_blocks
 from ..operators.ranks import ring_neighbours
@@ -14,7 +15,7 @@ from ..operators.stats import entropy, top_mass
 from ..session import checkpointed
 from ..sources.artifacts import artifacts
 from ..sources.sinks import scratch
-from ..sources.streams import csv_symbols, duplications
+from ..sources.streams import csv_symbols, duplications, log_motifs, log_windows
 from ..streaming.windows import online_grammar
 from .catalog import query, t
 from .fields import FIELD, field
@@ -310,3 +311,35 @@ def a8c(spark: SparkSession, d: str) -> DataFrame:
         best = rank_within(p, [own], [F.col("count").desc(), F.col(other)], 1).select(F.col(own).alias("variant"), F.col(other).alias(name), F.col("count").alias(f"{name}_count"))
         g = g.join(best, "variant", "left")
     return g
+
+
+# --- logs and documents.
+
+
+@query(
+    "s14b_log_records",
+    f"""WITH {KM}, m AS (SELECT kmer, count(*) AS n FROM km GROUP BY 1), w AS (SELECT item_id, length(seq) AS len FROM seqs)
+SELECT 'motif' AS what, kmer AS label, n AS weight, round(n / 64.0::DOUBLE, 6) AS measure FROM m UNION ALL SELECT 'window', 'w' || item_id, len, round(len / 128.0::DOUBLE, 6) FROM w""",
+)
+def s14b(spark: SparkSession, d: str) -> DataFrame:
+    """Motif tables and scan lines among other lines of log files; a motif's second row doesn't count."""
+    path = scratch(spark, "logs")
+    text = lambda x: x.cast("string")
+    m = km(spark, d).groupBy("kmer").count()
+    row = lambda weight: F.concat(F.lit("| 1 | 0 | "), "kmer", F.lit(" | "), text(weight), F.lit(" | "), text(F.col("count") / 64.0), F.lit(" | 1.0 |"))
+    both = F.concat(row(F.col("count")), F.lit("\nnothing here\n| a | b |\n"), row(F.col("count") + 1))
+    w = seqs(spark, d).select("item_id", F.length("seq").alias("n"))
+    line = F.concat(F.lit("12:00 some_signature_scan v1: w"), text(F.col("item_id")), F.lit(" base=[0,"), text(F.col("n")), F.lit("] len="), text(F.col("n")), F.lit(" hits=1 rc=2 density="), text(F.col("n") / 128.0), F.lit(" rc_balance=0.5 period=3 rate=1e-3"))
+    m.select(both.alias("value")).write.mode("append").text(path)
+    w.select(line.alias("value")).write.mode("append").text(path)
+    a = log_motifs(spark, path).select(F.lit("motif").alias("what"), F.col("motif").alias("label"), "weight", F.round("rc_balance", 6).alias("measure"))
+    return a.unionByName(log_windows(spark, path).select(F.lit("window").alias("what"), "label", F.col("length").alias("weight"), F.round("density", 6).alias("measure")))
+
+
+@query("g1b_document_state", """SELECT doc_id, 'd' || doc_id || '.txt' AS document_name, CASE WHEN source IS NULL OR source = '' THEN 'text' ELSE source END AS document_type, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL""")
+def g1b(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents as state JSON, read back from it."""
+    docs = t(spark, d, "documents").filter("text IS NOT NULL")
+    state = docs.select("doc_id", document_state(F.concat(F.lit("store/"), F.col("doc_id").cast("string").alias("x"), F.lit("x/d"), F.col("doc_id").cast("string"), F.lit(".txt")), F.col("text"), kind=F.col("source")).alias("state"))
+    s = F.from_json("state", "document_name string, document_type string, authoritative_document string")
+    return state.select("doc_id", s.alias("s")).select("doc_id", "s.document_name", "s.document_type", F.sha2("s.authoritative_document", 256).alias("sha256"))

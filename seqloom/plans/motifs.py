@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators.intervals import as_of, overlaps
 from ..operators.motifs import components, consensus, hamming, hamming_pairs, kmer_stats, longest_common, low_complexity, motif_hits, period_counts, reverse_complement, string_entropy
-from ..sources.streams import kmers
+from ..sources.streams import chunked, kmers
 from .catalog import query, t
 
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
@@ -84,10 +84,14 @@ def neighbour_distances(s: DataFrame) -> DataFrame:
     return s.join(b, "item_id").select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"), hamming(F.col("seq"), F.col("seq2")).alias("distance"))
 
 
-@query("p14_block_slices", f"WITH {SEQ} SELECT item_id, substr(seq, 1, 18) AS a_sequence, substr(seq, 19, 16) AS spacer, substr(seq, 35, 13) AS b_sequence, CASE WHEN length(seq) < 47 THEN 'short' WHEN contains(substr(seq, 1, 47), 'N') THEN 'has_n' ELSE 'ok' END AS validation FROM seqs")
+@query("p14_block_slices", f"WITH {SEQ}, b AS (SELECT item_id, o // 47 AS block, substr(seq, (o + 1)::INT, 47) AS s FROM (SELECT item_id, seq, unnest(range(0, length(seq), 47)) AS o FROM seqs)) SELECT item_id, block, substr(s, 1, 18) AS a_sequence, substr(s, 19, 16) AS spacer, substr(s, 35, 13) AS b_sequence, CASE WHEN length(s) < 47 THEN 'short' WHEN contains(s, 'N') THEN 'has_n' ELSE 'ok' END AS validation FROM b")
 def p14(spark: SparkSession, d: str) -> DataFrame:
-    v = F.when(F.length("seq") < 47, "short").when(F.contains(F.substring("seq", 1, 47), F.lit("N")), "has_n").otherwise("ok")
-    return seqs(spark, d).select("item_id", F.substring("seq", 1, 18).alias("a_sequence"), F.substring("seq", 19, 16).alias("spacer"), F.substring("seq", 35, 13).alias("b_sequence"), v.alias("validation"))
+    """Every block of 47 letters in its three parts."""
+    pieces = chunked(seqs(spark, d), ["item_id"], "seq", 47 * 1024)
+    b = pieces.select("item_id", "start", "piece", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - 1, F.lit(47))).alias("at"))
+    b = b.select("item_id", ((F.col("start") + F.col("at")) / 47).cast("long").alias("block"), F.substring(F.col("piece"), F.col("at") + 1, F.lit(47)).cast("string").alias("s"))
+    v = F.when(F.length("s") < 47, "short").when(F.contains("s", F.lit("N")), "has_n").otherwise("ok")
+    return b.select("item_id", "block", F.substring("s", 1, 18).alias("a_sequence"), F.substring("s", 19, 16).alias("spacer"), F.substring("s", 35, 13).alias("b_sequence"), v.alias("validation"))
 
 
 @query("p23_normalised_digest", f"WITH {SEQ} SELECT item_id, substr(sha256(seq), 1, 12) AS sha12 FROM seqs")

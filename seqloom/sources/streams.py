@@ -227,3 +227,27 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
         .when(F.exists("targets", lambda x: F.coalesce(x, F.lit("")) == ""), "empty target in profile")
     )
     return p.withColumn("error", error)
+
+
+#: A row of a motif table: rank, family, motif, weight, balance, support.
+MOTIF_ROW = r"^\|\s*(\d+)\s*\|\s*(\d+)\s*\|\s*([ACGT]{6,40})\s*\|\s*([0-9]+)\s*\|\s*([0-9.Ee+-]+)\s*\|\s*([0-9.Ee+-]+)\s*\|"
+#: A line about a scanned window.
+WINDOW_ROW = r"signature_scan [^:\s]+:\s+(\S+)\s+base=\[(\d+),(\d+)\]\s+len=(\d+)\s+hits=(\d+)\s+rc=(\d+)\s+density=([0-9.Ee+-]+)\s+rc_balance=([0-9.Ee+-]+)\s+period=(\d+)\s+rate=([0-9.Ee+-]+)"
+
+
+def _scraped(spark: SparkSession, path: str, pattern: str, columns: list[tuple[str, str]]) -> DataFrame:
+    lines = spark.read.text(path).filter(F.col("value").rlike(pattern)).select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("path"))
+    return lines.select("path", "at", *[F.regexp_extract("value", pattern, k).try_cast(kind).alias(name) for k, (name, kind) in enumerate(columns, 1)])
+
+
+def log_motifs(spark: SparkSession, path: str) -> DataFrame:
+    """path, rank, family, motif, weight, rc_balance, support of the motif tables in log files; the first row of each motif in a file counts."""
+    rows = _scraped(spark, path, MOTIF_ROW, [("rank", "long"), ("family", "long"), ("motif", "string"), ("weight", "long"), ("rc_balance", "double"), ("support", "double")])
+    rest = ["rank", "family", "weight", "rc_balance", "support"]
+    return rows.groupBy("path", "motif").agg(F.min_by(F.struct(*rest), "at").alias("r")).select("path", "motif", "r.*")
+
+
+def log_windows(spark: SparkSession, path: str) -> DataFrame:
+    """path, label, base_start, base_end, length, hits, rc, density, rc_balance, period, rate of the scan lines in log files."""
+    names = [("label", "string"), *((n, "long") for n in ("base_start", "base_end", "length", "hits", "rc")), ("density", "double"), ("rc_balance", "double"), ("period", "long"), ("rate", "double")]
+    return _scraped(spark, path, WINDOW_ROW, names).drop("at")
