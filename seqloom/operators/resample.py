@@ -76,3 +76,12 @@ def gates(metrics: DataFrame, rules: list[tuple[str, float, float, str]]) -> Dat
     both = r.join(metrics.select("metric", "z", "p"), "metric", "left")
     ok = F.when(F.col("side") == "high", F.col("z") >= F.col("need_z")).otherwise(F.col("z") <= F.col("need_z")) & (F.col("p") <= F.col("need_p"))
     return both.select("metric", "z", "p", F.when(F.col("z").isNull(), "missing").when(ok, "pass").otherwise("fail").alias("status"))
+
+
+def released(controls: DataFrame, final: str = "final") -> DataFrame:
+    """controls(control, status) and a last row: final_scoped_claim_released if every control passes, strong_but_degraded if some
+    only degraded ones (degraded_pass) stand in the way, else not_released. A table without controls releases nothing.
+    """
+    g = controls.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "pass").alias("whole"), F.count_if(F.col("status").isin("pass", "degraded_pass")).alias("weak"))
+    status = F.when((F.col("n") > 0) & (F.col("whole") == F.col("n")), "final_scoped_claim_released").when((F.col("n") > 0) & (F.col("weak") == F.col("n")), "strong_but_degraded").otherwise("not_released")
+    return controls.select("control", "status").unionByName(g.select(F.lit(final).alias("control"), status.alias("status")))

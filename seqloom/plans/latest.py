@@ -10,6 +10,7 @@ from ..operators.governance import document_state
 from ..operators.intervals import overlaps
 from ..operators.motifs import kmer_stats, motif_hits, skeleton_blocks
 from ..operators.ranks import ring_neighbours
+from ..operators.resample import released
 from ..operators.sequence import pairs, rank_within
 from ..operators.stats import entropy, top_mass
 from ..session import checkpointed
@@ -19,8 +20,10 @@ from ..sources.streams import csv_symbols, duplications, log_motifs, log_windows
 from ..streaming.windows import online_grammar
 from .catalog import query, t
 from .fields import FIELD, field
-from .motifs import FAMILIES, K, KM, SEQ, _HAM, components, hamming_pairs, km, seqs, top
-from .streams import _MATRIX, SPLIT, WALK, coupling_of, pair_counts, walk
+from .models import null_sql, null_test
+from .motifs import FAMILIES, K, KM, SEQ, _IV, components, hamming_pairs, km, ov, seqs, top
+from .streams import _MATRIX, WALK, coupling_of, pair_counts, walk
+from .structure import TR, moves
 
 # --- motifs of 3 to 40 letters.
 
@@ -343,3 +346,34 @@ def g1b(spark: SparkSession, d: str) -> DataFrame:
     state = docs.select("doc_id", document_state(F.concat(F.lit("store/"), F.col("doc_id").cast("string").alias("x"), F.lit("x/d"), F.col("doc_id").cast("string"), F.lit(".txt")), F.col("text"), kind=F.col("source")).alias("state"))
     s = F.from_json("state", "document_name string, document_type string, authoritative_document string")
     return state.select("doc_id", s.alias("s")).select("doc_id", "s.document_name", "s.document_type", F.sha2("s.authoritative_document", 256).alias("sha256"))
+
+
+# --- a list of controls with its verdict.
+
+_Z, _P, _SHARE = 5.0, 0.05, 0.5
+_SHUFFLES = {"state_shuffle": "stream", "window_stratified_shuffle": "win", "slot_shuffle": "slot"}
+
+
+@query(
+    "n8b_control_list",
+    f"""WITH zz AS ({' UNION ALL '.join(f"SELECT '{n}' AS control, z, p FROM ({null_sql(w)})" for n, w in _SHUFFLES.items())}),
+{_IV}, fo AS (SELECT count(DISTINCT o_orderkey) AS n FROM ov WHERE o_orderkey <> other), tt AS (SELECT count(*) AS n FROM orders),
+{TR[5 if TR.startswith('WITH ') else 0:]}, ct AS (SELECT f AS s, family, t AS x, count(*) AS n FROM tr GROUP BY ALL), rt AS (SELECT n / sum(n) OVER (PARTITION BY s, family) AS rate FROM ct),
+g AS (SELECT control, CASE WHEN z IS NULL THEN 'missing' WHEN z >= {_Z} AND p <= {_P} THEN 'pass' ELSE 'natural_model_not_broken' END AS status FROM zz
+UNION ALL SELECT 'bounded_rates', CASE WHEN bool_and(rate BETWEEN 0 AND 1) THEN 'pass' ELSE 'fail' END FROM rt
+UNION ALL SELECT 'interval_overlap', CASE WHEN fo.n / tt.n <= {_SHARE} THEN 'pass' ELSE 'degraded_pass' END FROM fo, tt)
+SELECT control, status FROM g UNION ALL SELECT 'final', CASE WHEN bool_and(status = 'pass') THEN 'final_scoped_claim_released' WHEN bool_and(status IN ('pass', 'degraded_pass')) THEN 'strong_but_degraded' ELSE 'not_released' END FROM g""",
+)
+def n8b(spark: SparkSession, d: str) -> DataFrame:
+    """Three shuffles, bounded rates and the share of intervals that others overlap, each with its status, and whether all together release the claim."""
+    from ..operators.structure import conditional_rates
+
+    shuffles = None
+    for name, within in _SHUFFLES.items():
+        one = null_test(spark, d, [within]).select(F.lit(name).alias("control"), F.when(F.col("z").isNull(), "missing").when((F.col("z") >= _Z) & (F.col("p") <= _P), "pass").otherwise("natural_model_not_broken").alias("status"))
+        shuffles = one if shuffles is None else shuffles.unionByName(one)
+    rate = F.col("rate_from_family")
+    rates = conditional_rates(moves(spark, d)).agg(F.bool_and((rate >= 0) & (rate <= 1)).alias("ok")).select(F.lit("bounded_rates").alias("control"), F.when(F.col("ok"), "pass").otherwise("fail").alias("status"))
+    held = ov(spark, d).filter("o_orderkey <> other").select("o_orderkey").distinct().agg(F.count("*").alias("n"))
+    share = held.crossJoin(F.broadcast(t(spark, d, "orders").agg(F.count("*").alias("all")))).select(F.lit("interval_overlap").alias("control"), F.when(F.col("n") / F.col("all") <= _SHARE, "pass").otherwise("degraded_pass").alias("status"))
+    return released(checkpointed(shuffles.unionByName(rates).unionByName(share)))
