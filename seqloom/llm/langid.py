@@ -103,7 +103,7 @@ def clustered(v: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.nd
     return points, (v @ points.T).argmax(1)
 
 
-def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 300, in_all: int = 20_000, clusters: int = 4, tail: float = 0.01) -> Centroids | None:
+def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 300, in_all: int = 4_000, clusters: int = 4, tail: float = 0.01) -> Centroids | None:
     """Centroids from at most per_lang rows a language, of those where learn holds."""
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key, text).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     totals = rows.groupBy("lang").count().withColumn("cut", F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(1.5 * per_lang) / F.col("count") + F.lit(0.0)) * F.lit(2.0**64))

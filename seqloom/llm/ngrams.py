@@ -14,6 +14,8 @@
    whatever the full join would, not all pairs.
 5. The links' components give each document its class.
 
+Shingles are told apart by 60 bits of their hashes; two different ones of the same class that share these bits count as one.
+
 Defined results: null and empty texts have an empty set and are linked with nothing; a text of fewer words than a shingle
 has one shingle, its whole sequence; rows that share a key share a class; null keys count as one largest key; texts are
 read whole; an empty table gives an empty result.

@@ -113,7 +113,8 @@ def slot_counts(docs: DataFrame) -> DataFrame:
             h = _hashes(names, lang)
             real = ids != 0
             total[lang] = total.get(lang, 0) + int(real.sum())
-            words += np.bincount((h % np.uint64(WORD_SLOTS)).astype(np.int64), np.bincount(ids, minlength=len(h)) * (np.arange(len(h)) > 0), WORD_SLOTS).astype(np.int32)
+            times = np.bincount(ids, minlength=len(h)).astype(np.int32)
+            np.add.at(words, (h[1:] % np.uint64(WORD_SLOTS)).astype(np.int64), times[1:])
             both = np.flatnonzero(real[:-1] & real[1:])
             pair, n = np.unique(_pairs(h[ids[both]], h[ids[both + 1]]), return_counts=True)
             pairs[pair.astype(np.int64)] += n.astype(np.int32)
