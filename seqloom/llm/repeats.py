@@ -4,7 +4,8 @@
    in equal windows. Only anchors that occur twice can have repeated windows.
 2. Around these the texts are cut into contexts. A context goes once from each task to the task of its anchor, with the
    number of its places; the places themselves stay apart and are joined with what is found, by a digest of the context.
-   An anchor of very many places is dealt out by what all windows of a block have in common.
+   An anchor of very many places is dealt out by what all windows of half a block have in common, eight bytes beside the
+   core among it, so that texts which share a passage but go on differently are many tasks' work.
 3. There a suffix array, made by linear grouping, puts equal windows side by side. Windows are taken in blocks of 16
    neighbouring starts. All windows of a block share a core, which is one symbol of the array; the bytes around it are
    symbols of their own. Contexts that are equal over a block are one entry there, and repeat all of it.
@@ -38,8 +39,8 @@ from .ngrams import in_groups
 from .suffixes import suffix_array
 
 WIDTH = 400
-#: Window starts in a block.
-BLOCK = 16
+#: Window starts in a block, and in each half of one.
+BLOCK, HALF = 16, 8
 #: Places of an anchor beyond which its windows are dealt out by their blocks' cores.
 HOT = 2000
 #: Symbols that one suffix array gets, beyond the group that brings it there.
@@ -89,7 +90,11 @@ def cut_out(text: bytes, found: Iterable[tuple[int, int, int, int, int]], width:
             yield h, 0, a, w, ctx, lo
             continue
         for b, s0, s1, at in block_parts(ctx, a, w, width):
-            yield h, xxhash.xxh64_intdigest(ctx[at : at + core], b) >> 1 | 1, a - s0, s1 - s0, ctx[s0 : s1 + width], lo + s0
+            # Windows that start HALF bytes before the core or earlier hold these bytes, the others as many behind it.
+            for first, last, fixed in ((s0, min(s1, at - HALF), ctx[at - HALF : at + core]), (max(s0, at - HALF + 1), s1, ctx[at : at + core + HALF])):
+                if first <= last:
+                    side = int(first > at - HALF)
+                    yield h, xxhash.xxh64_intdigest(fixed, 2 * b + side) >> 1 | 1, a - first, last - first, ctx[first : last + width], lo + first
 
 
 def digest(h: int, part: int, a: int, w: int, ctx: bytes) -> bytes:
