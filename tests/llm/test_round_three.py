@@ -297,3 +297,26 @@ def test_op1_many_runs():
     raw = whole.digests.tobytes()
     got = {raw[i : i + 32]: (int(n), (-int(length), int(key))) for i, n, length, key in zip(range(0, len(raw), len(raw) // len(whole.rows)), whole.rows, whole.length, whole.key, strict=True)}
     assert got == want
+
+
+def test_op5_hot_passages_spread(spark):
+    """A passage in every text with other bytes around it is not one task's work, and what repeats is still found."""
+    from collections import Counter
+
+    from seqloom.llm import repeats
+    from seqloom.llm.anchors import anchors
+
+    r = np.random.default_rng(11)
+    passage = r.integers(97, 123, 402, dtype=np.uint8).tobytes()
+    texts = [r.integers(97, 123, 300, dtype=np.uint8).tobytes() + passage + r.integers(97, 123, 300, dtype=np.uint8).tobytes() for _ in range(200)]
+    groups: Counter = Counter()
+    for t in texts:
+        h, _, pos, lo, hi = anchors(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]), 400)
+        for a in repeats.cut_out(t, [(int(x), int(p), int(m), int(n), 10_000) for x, p, m, n in zip(h.view(np.int64), pos, lo, hi, strict=True)], 400, 2000):
+            groups[a[:2]] += 1
+    shared = [n for n in groups.values() if n > 1]
+    assert len(groups) > 50 * len(texts) and len(shared) <= 4 and max(shared) <= len(texts)
+    docs = [(i, t.decode()) for i, t in enumerate(texts[:40])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: sum(s["end"] - s["start"] for s in x["spans"] or []) for x in repeats.without_repeats(df, 400, hot=3).collect()}
+    assert got == {d: n for d, (_, n, _, _) in brute.repeats(docs, 400).items()}
