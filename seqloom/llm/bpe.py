@@ -31,8 +31,8 @@ END = ""
 PATTERN = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = re.compile(rb"[!-;=-~]+")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-#: Chunks, pieces, seams and spines that a worker remembers; it keeps them between tasks (about 100 MB).
-MEMO, PIECES, SEAMS, SPINES = 200_000, 200_000, 1 << 17, 20_000
+#: Chunks, pieces, seams and spines that a worker remembers within a task.
+MEMO, PIECES, SEAMS, SPINES = 120_000, 100_000, 1 << 16, 8_000
 
 
 class Halves(dict):
@@ -51,6 +51,10 @@ class Halves(dict):
         self[key] = out
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class Chunks(Halves):
     """Ids of chunks. A plain word with one sign behind it is made of both, so that only words are remembered."""
@@ -98,7 +102,8 @@ class PrefixBpe:
                 self.match.add_word(s, (i, len(s)))
         self.match.make_automaton()
         self.plain = PATTERN in json.dumps(spec["pre_tokenizer"]) and "Lowercase" in json.dumps(spec["normalizer"])
-        self.piece = Halves(self.encode_piece, PIECES).__getitem__
+        self.pieces = Halves(self.encode_piece, PIECES)
+        self.piece = self.pieces.__getitem__
         self.seams: dict[int, bool] = {}
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -193,7 +198,7 @@ class PrefixBpe:
 
 @lru_cache(1)
 def _memo(path: str) -> tuple[PrefixBpe, Chunks]:
-    """A worker's model and the chunks that it saw lately; both stay for its later tasks."""
+    """A worker's model, which stays for its later tasks, and the chunks that it saw lately."""
     model = PrefixBpe(path)
     release()  # what reading the file took
     return model, Chunks(model, MEMO)
@@ -218,6 +223,9 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             rows = [np.frombuffer(b"".join(map(memo.__getitem__, t.split())), np.int32) for t in as_bytes(batch.column("text"))]
             ids = _lists(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("key"), ids, *([_joined(ids, names)] * decoded)], ["key", "ids", *["decoded"] * decoded])
+        memo.forget()  # most words of the next task are others; a worker that waits holds the model only
+        model.pieces.forget()
+        model.seams.clear()
         release()
 
     kind = docs.schema[key].dataType.simpleString()
