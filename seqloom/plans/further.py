@@ -289,7 +289,7 @@ def w5b(spark: SparkSession, d: str) -> DataFrame:
     "a17_null_summary",
     f"""WITH {_MATRIX}, o AS (SELECT "row", col, hits / test_transitions AS a FROM m), e AS (SELECT stream AS col, count(*) AS e FROM tr GROUP BY 1), v AS (SELECT stream AS "row", count(DISTINCT symbol) AS s, count(DISTINCT nxt) AS x, sum(c) AS n FROM te GROUP BY 1),
 f AS (SELECT 'uniform' AS mode, o."row", o.col, a, least(1, e / (s::DOUBLE * x)) AS null_accuracy FROM o JOIN e USING (col) JOIN v ON v."row" = o."row" UNION ALL SELECT 'swapped', o."row", o.col, o.a, q.a FROM o JOIN o q ON q."row" = o.col AND q.col = o."row")
-SELECT mode, count(*) AS cells, round(avg(a), 9) AS avg_observed_accuracy, round(avg(null_accuracy), 9) AS avg_null_accuracy, round(avg(a - null_accuracy), 9) AS avg_delta_accuracy, round(max(null_accuracy), 9) AS max_null_accuracy, round(min(a - null_accuracy), 9) AS min_delta_accuracy FROM f GROUP BY 1""",
+SELECT mode, count(*) AS cells, round(avg(a), 9) AS avg_observed_accuracy, round(avg(null_accuracy), 9) AS avg_null_accuracy, round(avg(a - null_accuracy), 9) + 0.0 AS avg_delta_accuracy, round(max(null_accuracy), 9) AS max_null_accuracy, round(min(a - null_accuracy), 9) + 0.0 AS min_delta_accuracy FROM f GROUP BY 1""",
 )
 def a17(spark: SparkSession, d: str) -> DataFrame:
     """Observed and null accuracy of a matrix's cells by mode: pairs drawn evenly, and each cell's own opposite."""
@@ -304,7 +304,7 @@ def a17(spark: SparkSession, d: str) -> DataFrame:
 
 def null_summary(cells: DataFrame) -> DataFrame:
     """By mode, of cells(mode, a observed, b null)."""
-    r = lambda c: F.round(c, 9)
+    r = lambda c: F.round(c, 9) + F.lit(0.0)
     delta = F.col("a") - F.col("b")
     return cells.groupBy("mode").agg(F.count("*").alias("cells"), r(F.avg("a")).alias("avg_observed_accuracy"), r(F.avg("b")).alias("avg_null_accuracy"), r(F.avg(delta)).alias("avg_delta_accuracy"), r(F.max("b")).alias("max_null_accuracy"), r(F.min(delta)).alias("min_delta_accuracy"))
 
