@@ -40,7 +40,7 @@ WORD_SLOTS, PAIR_SLOTS = 1 << 22, 1 << 24
 #: Pointers that one prefix may have in a group, repeats included.
 CROWD = 50_000
 #: Bytes of text that a task looks at together; different pointers that it adds up before it passes them on.
-TEXT, HELD = 8 << 20, 1 << 20
+TEXT, HELD = 4 << 20, 1 << 18
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The bytes at which pieces end.
@@ -146,8 +146,14 @@ def reached(seen: DataFrame, kind: str, size: int, least: int):
     return seen.sparkSession.sparkContext.broadcast(bytes(out))
 
 
-def _bits(table) -> np.ndarray:  # noqa: ANN001  a broadcast
-    return np.unpackbits(np.frombuffer(table.value, np.uint8)).view(bool)
+class Bits:
+    """The bits of a table from reached(), read where they lie."""
+
+    def __init__(self, table) -> None:  # noqa: ANN001  a broadcast
+        self.packed = np.frombuffer(table.value, np.uint8)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return (self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def projected(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +185,7 @@ def pointers(docs: DataFrame, words, pairs, full_words, full_pairs) -> DataFrame
     """lang, prefix, depth, rest, n, total of each task's pointers by prefix: what follows it (one line each), how often, and how often in all."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, often_pair, full, full_pair = map(_bits, (words, pairs, full_words, full_pairs))
+        often, often_pair, full, full_pair = map(Bits, (words, pairs, full_words, full_pairs))
         held: list[pa.RecordBatch] = []
         for lang, ids, names in by_lang(batches):
             h = _hashes(names, lang)
