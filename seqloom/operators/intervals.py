@@ -42,7 +42,8 @@ def overlaps(left: DataFrame, right: DataFrame, group: list[str], width: int) ->
     other, and the other way round with starts that are later. A cover is made of bins of several levels, the lowest
     `width` wide and each FAN times as wide as the one below, so an interval has at most 2 (FAN - 1) bins a level, however
     long it is, and a start has one a level; a start lies in just one bin of a cover, which makes each pair once. Levels
-    go as far as the longest interval asks, one row of two counts. A crowded bin splits like any skewed equi-join.
+    go as far as the longest interval asks, one row of two counts. A crowded bin splits like any skewed equi-join. Both
+    sides are shuffled: Spark sizes a table of bins like the intervals they came from, and would broadcast many times that.
     """
     a, b = left.filter(F.col("end") > F.col("start")), right.filter(F.col("r_end") > F.col("r_start"))
     long_ = lambda df, x, y: df.agg(F.max(F.col(y) - F.col(x)).alias("n"))
@@ -58,8 +59,8 @@ def overlaps(left: DataFrame, right: DataFrame, group: list[str], width: int) ->
     cover_b = flat(b.withColumn("_b", F.explode(_cover(at("r_start"), last("r_end"), levels))))
     start_a, start_b = flat(a.withColumn("_b", F.explode(_chain(at("start"), levels)))), flat(b.withColumn("_b", F.explode(_chain(at("r_start"), levels))))
     within = lambda x, lo, hi, after: (F.col(x) > F.col(lo) if after else F.col(x) >= F.col(lo)) & (F.col(x) < F.col(hi))
-    one = cover_a.join(start_b, key).filter(within("r_start", "start", "end", False))
-    two = start_a.join(cover_b, key).filter(within("start", "r_start", "r_end", True))
+    one = cover_a.join(start_b.hint("merge"), key).filter(within("r_start", "start", "end", False))
+    two = start_a.join(cover_b.hint("merge"), key).filter(within("start", "r_start", "r_end", True))
     pairs = one.unionByName(two).drop("_level", "_bin")
     return pairs.withColumn("overlap", overlap_length(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")))
 
