@@ -122,18 +122,27 @@ def n1(spark: SparkSession, d: str) -> DataFrame:
     held = symbols.groupBy(F.col("stream").alias("row"), F.floor(F.col("at") / BLOCK).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "symbol"))), lambda x: x["symbol"]).alias("w"))
     held = checkpointed(held)
 
-    def looked_up(df: DataFrame, pos: str, name: str) -> DataFrame:
-        """A block starts with its first place, so a place is its element."""
-        return df.withColumn("block", F.floor(F.col(pos) / BLOCK)).join(held, ["row", "block"]).withColumn(name, F.get("w", (F.col(pos) % BLOCK).cast("int"))).drop("w", "block", pos)
-
-    drawn = checkpointed(looked_up(looked_up(out, "pos_a", "from"), "pos_b", "to").groupBy("mode", "row", "from", "to").agg(F.count("*").alias("c")))
+    drawn = checkpointed(drawn_pairs(out, held))
     samples = drawn.groupBy("mode", "row").agg(F.sum("c").alias("samples"))
-    hits = drawn.join(known, ["from", "to"]).groupBy("row", "col", "mode").agg(F.sum("c").alias("hits"))
+    hits = drawn.join(known.hint("merge"), ["from", "to"]).groupBy("row", "col", "mode").agg(F.sum("c").alias("hits"))
     cells = samples.crossJoin(F.broadcast(known.select("col").distinct()))  # as many as streams
     got = cells.join(hits, ["row", "col", "mode"], "left")
     return got.select("row", "col", (F.coalesce("hits", F.lit(0)) / F.col("samples")).alias("null_accuracy"), "samples", "mode")
 
 
+def drawn_pairs(draws: DataFrame, held: DataFrame) -> DataFrame:
+    """mode, row, from, to, c of draws(mode, row, pos_a, pos_b), whose symbols are in held(row, block, w).
+
+    Both sides are shuffled: draws are made from a few rows, by whose size Spark would take them for a table to broadcast.
+    """
+
+    def looked_up(df: DataFrame, pos: str, name: str) -> DataFrame:
+        """A block starts with its first place, so a place is its element."""
+        return df.withColumn("block", F.floor(F.col(pos) / BLOCK)).join(held.hint("merge"), ["row", "block"]).withColumn(name, F.get("w", (F.col(pos) % BLOCK).cast("int"))).drop("w", "block", pos)
+
+    return looked_up(looked_up(draws, "pos_a", "from"), "pos_b", "to").groupBy("mode", "row", "from", "to").agg(F.count("*").alias("c"))
+
+
 #: Places of a stream's test symbols that are one row.
 BLOCK = 1024
 

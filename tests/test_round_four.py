@@ -17,3 +17,22 @@ def test_bins_of_intervals_are_not_broadcast(spark):
     assert "Broadcast" not in plan_of(got)
     want = sum(i % 3 == j % 3 and 7 * i < 9 * j + 10 and 9 * j < 7 * i + 1_000_000 for i in range(50) for j in range(50))
     assert got.count() == want
+
+
+def test_draws_are_not_broadcast(spark):
+    """Draws made from a few rows are many, which the rows' size doesn't tell; neither they nor the symbols go through the driver."""
+    from pyspark.sql import functions as F
+
+    from seqloom.operators.resample import pair_samples
+    from seqloom.plans.models import BLOCK, drawn_pairs
+
+    rows = spark.createDataFrame([("x", 5000, 3000)], "stream string, n long, draws long")
+    draws = pair_samples(rows, spark.createDataFrame([("every",)], "stream string"), "symbol_shuffle", 7).withColumn("mode", F.lit("m"))
+    held = spark.range(5000).select(F.floor(F.col("id") / BLOCK).alias("block"), F.struct("id", F.col("id").cast("string").alias("s")).alias("p")).groupBy("block").agg(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["s"]).alias("w")).withColumn("row", F.lit("x"))
+    got = drawn_pairs(draws.select("mode", "row", "pos_a", "pos_b"), held)
+    pairs = got.collect()
+    assert "BroadcastHashJoin" not in plan_of(got)
+    want = {}
+    for r in draws.collect():
+        want[str(r.pos_a), str(r.pos_b)] = want.get((str(r.pos_a), str(r.pos_b)), 0) + 1
+    assert {(r["from"], r.to): r.c for r in pairs} == want
