@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +33,31 @@ def _places(x: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.nd
     return x
 
 
+def group_places(x: np.ndarray, g: np.ndarray, n: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """_places of x, where row i is of group g[i]; n and the four parts of a key are by group, so that the groups' own numbers are made once."""
+    of = (lambda v: v[0]) if len(n) == 1 else (lambda v: v[g])
+    a, b, c, d = parts
+    size, own, add = of(n), of(c), of(d)
+    for r in range(ROUNDS):
+        y = of((((a * (2 * r + 1) + b) * (c + r)) >> 3) % n) - x
+        y += size * (y < 0)
+        t = np.maximum(x, y)
+        m = (t & LOW31) + (add + STEP * r)
+        m *= m
+        m >>= 16
+        m &= LOW31
+        m += (t >> 31) + own
+        m *= m
+        x = np.where(m >> 21 & 1 == 1, y, x)
+    return x
+
+
+def text_parts(keys: list[str]) -> np.ndarray:
+    """key_parts of texts: four rows of numbers."""
+    h = [md5(x.encode()).digest() for x in keys]
+    return np.frombuffer(b"".join(h), dtype=">u4").reshape(-1, 4).T.astype(np.int64) & (1 << BITS) - 1
+
+
 @F.pandas_udf(LongType())
 def _place(x: pd.Series, n: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series(_places(*(s.to_numpy() for s in (x, n, a, b, c, d))))

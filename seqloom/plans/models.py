@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import governance as G
 from ..operators.grammar import split_point
 from ..operators.permute import permuted_sql
-from ..operators.resample import auto_draws, gates, pair_samples, shuffled
+from ..operators.resample import auto_draws, gates, pair_samples, shuffled_pairs
 from ..operators.simulate import SERIES, genesis, lattice, planted, series, uniform_series
 from ..operators.stats import null_scores
 from ..operators.words import CAUSAL, has, steps
@@ -22,17 +22,16 @@ from .streams import _MATRIX, WALK, coupling_of, documents, pair_counts, walk
 REPLICATES = 40
 
 
-def _accuracy(tr: DataFrame) -> DataFrame:
-    """replicate, metric, value: weighted top-1 share of the next state given the state."""
-    c = tr.groupBy("replicate", "from", "to").count().groupBy("replicate", "from").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
+def _accuracy(counts: DataFrame) -> DataFrame:
+    """replicate, metric, value of counts(replicate, from, to, count): weighted top-1 share of the next state given the state."""
+    c = counts.groupBy("replicate", "from").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
     return c.groupBy("replicate").agg((F.sum("top") / F.sum("n")).alias("value")).withColumn("metric", F.lit("weighted_top1"))
 
 
-def _determinism(tr: DataFrame) -> DataFrame:
+def _determinism(c: DataFrame) -> DataFrame:
     """replicate, metric, value: _accuracy and the mean entropy (bits) of the next state over the states."""
     from pyspark.sql.window import Window
 
-    c = tr.groupBy("replicate", "from", "to").count()
     p = F.col("count") / F.sum("count").over(Window.partitionBy("replicate", "from"))
     g = c.withColumn("_h", -p * F.log2(p)).groupBy("replicate", "from").agg(F.max("count").alias("top"), F.sum("count").alias("n"), F.sum("_h").alias("h"))
     both = g.groupBy("replicate").agg((F.sum("top") / F.sum("n")).alias("weighted_top1"), F.avg("h").alias("mean_entropy"))
@@ -43,9 +42,9 @@ def state_scores(w: DataFrame, within: list[str], metrics: Callable[[DataFrame],
     """Scores of the metrics of w(stream, pos, symbol) against symbols shuffled within groups."""
     from ..operators.sequence import pairs
 
-    observed = metrics(pairs(w.withColumn("replicate", F.lit(0)), ["stream"], ["pos"], "symbol"))
-    null = shuffled(w.select("stream", "pos", "symbol", *[c for c in within if c != "stream"]), within, ["stream", "pos"], "symbol", replicates, part=part)
-    return null_scores(metrics(pairs(null, ["replicate", "stream"], ["pos"], "symbol")), observed, low=low)
+    observed = metrics(pairs(w.withColumn("replicate", F.lit(0)), ["stream"], ["pos"], "symbol").groupBy("replicate", "from", "to").count())
+    null = shuffled_pairs(w.select("stream", "pos", "symbol", *[c for c in within if c != "stream"]), within, "symbol", replicates, part=part)
+    return null_scores(metrics(checkpointed(null)), observed, low=low)
 
 
 def states(spark: SparkSession, d: str) -> DataFrame:

@@ -36,3 +36,32 @@ def test_draws_are_not_broadcast(spark):
     for r in draws.collect():
         want[str(r.pos_a), str(r.pos_b)] = want.get((str(r.pos_a), str(r.pos_b)), 0) + 1
     assert {(r["from"], r.to): r.c for r in pairs} == want
+
+
+def test_packed_shuffles_are_the_shuffles(spark, monkeypatch):
+    """Counts of neighbours by replicate, over many blocks of places, against shuffled() row by row; null symbols follow nothing."""
+    from pyspark.sql import functions as F
+
+    from seqloom.operators import resample
+    from seqloom.operators.sequence import pairs
+
+    monkeypatch.setattr(resample, "SEATS", 16)
+    monkeypatch.setattr(resample, "PACKED", 100)
+    df = spark.range(400).selectExpr("id % 7 AS stream", "id div 7 AS pos", "id % 3 AS grp", "CASE WHEN id % 50 <> 0 THEN CAST(pmod(xxhash64(id), 5) AS string) END AS symbol")
+    for cells in (resample.CELLS, 0):
+        monkeypatch.setattr(resample, "CELLS", cells)
+        for within, part in ((["stream"], None), (["grp"], F.floor(F.col("stream") / 2))):
+            plain = resample.shuffled(df.select("stream", "pos", "symbol", *[c for c in within if c != "stream"]), within, ["stream", "pos"], "symbol", 3, part=part)
+            want = pairs(plain, ["replicate", "stream"], ["pos"], "symbol").groupBy("replicate", "from", "to").count().collect()
+            got = resample.shuffled_pairs(df, within, "symbol", 3, part=part).collect()
+            assert {(r.replicate, r["from"], r.to): r["count"] for r in got} == {(r.replicate, r["from"], r.to): r["count"] for r in want}
+            assert any(r["from"] is None for r in got) and all(r.to is not None for r in got)
+
+
+def test_a_null_test_makes_no_row_for_a_replicate(spark, sf):
+    """A value's places in all replicates move together: no explode, and no window by replicate and stream."""
+    from seqloom.operators.resample import shuffled_pairs
+    from seqloom.plans.models import states
+
+    plan = plan_of(shuffled_pairs(states(spark, sf).select("stream", "pos", "symbol", "win"), ["win"], "symbol", 5))
+    assert "Generate" not in plan and "FlatMapCoGroupsInPandas" in plan
