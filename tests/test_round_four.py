@@ -65,3 +65,34 @@ def test_a_null_test_makes_no_row_for_a_replicate(spark, sf):
 
     plan = plan_of(shuffled_pairs(states(spark, sf).select("stream", "pos", "symbol", "win"), ["win"], "symbol", 5))
     assert "Generate" not in plan and "FlatMapCoGroupsInPandas" in plan
+
+
+def test_pairs_of_many_buffers_and_buckets(spark, monkeypatch):
+    """Sums of small buffers against a plain count; null streams, null texts and short ones; the streams that train a pair."""
+    import random
+    from collections import Counter
+
+    from seqloom.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "HELD", 50)
+    r = random.Random(5)
+    docs = [(r.choice(["a", "b", None]), None if r.random() < 0.1 else [r.choice("xyzé") * r.choice((1, 2)) for _ in range(r.choice((0, 1, 5, 6, 7, 30, 200)))]) for _ in range(80)]
+    want = [Counter(), Counter()]
+    for stream, w in docs:
+        n = len(w or [])
+        cut = min(max(int(n * 0.7), 4), n - 2)
+        for i in range(n - 1 if n >= 6 else 0):
+            if i + 1 < cut or i >= cut:
+                want[i >= cut][stream, w[i], w[i + 1]] += 1
+    df = spark.createDataFrame(docs, "stream string, w array<string>").repartition(3)
+    out = neighbours.split_pairs(df, 1000, 0.7)
+    got = out.collect()
+    assert "FlatMapGroupsInArrow" in plan_of(out) and "Generate" not in plan_of(out)
+    assert len(got) == len({(x.stream, x["from"], x.to) for x in got})
+    for side, name in enumerate(("tr", "count")):
+        assert {(x.stream, x["from"], x.to): x[name] for x in got if x[name]} == want[side]
+    trained = {}
+    for stream, f, t in want[0]:
+        trained.setdefault((f, t), set()).add(stream)
+    assert all(set(x.known) == trained.get((x["from"], x.to), set()) and len(x.known) == len(set(x.known)) for x in got if x["count"])
+    assert neighbours.split_pairs(df.limit(0), 0, 0.7).collect() == []
