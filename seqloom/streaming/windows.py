@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -46,48 +50,84 @@ def online_transitions(df: DataFrame, key: str, at: str, symbol: str) -> DataFra
     return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, from string, to string", "last string", "append", "NoTimeout")
 
 
+#: Columns of the rows that wait: key, microseconds, tie, symbol.
+ROW = pa.schema([("key", pa.string()), ("us", pa.int64()), ("tie", pa.int64()), ("symbol", pa.string())])
+
+
+def _to_bytes(rows: pd.DataFrame, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_table(pa.Table.from_pandas(rows, schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _from_bytes(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
+
+
 class OrderedTransitions(StatefulProcessor):
-    """A key's transitions in order of event time: rows wait until the watermark passes them, and the last symbol is kept.
+    """Transitions of a bucket's keys in order of event time: rows wait until the watermark passes them, and last symbols are kept.
 
-    The state is the rows within the delay and one symbol. A timer at each key's newest row ends its waiting, also when
-    no more rows of the key come.
+    The state is the rows within the delay, packed by micro-batch, and one symbol a key, so a call to the state store
+    serves all keys of a bucket. A timer behind the newest row ends its waiting, also when no more rows of the bucket come.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "symbol string")
-        self.waiting = handle.getListState("waiting", "ms long, tie long, symbol string")
+        self.last = handle.getValueState("last", "rows binary")
+        self.waiting = handle.getListState("waiting", "least long, rows binary")
 
-    def _passed(self, key: str, before: int) -> Iterator[pd.DataFrame]:
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ready = [r for r in rows if r[0] <= before]
-        if not ready:
+    def _passed(self, before: int) -> Iterator[pd.DataFrame]:
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        if not held or min(x[0] for x in held) > before:
             return
+        rows = pd.concat([_from_bytes(x[1]) for x in held])
+        ready, rest = rows[rows["us"] <= before], rows[rows["us"] > before]
         self.waiting.clear()
-        if len(ready) < len(rows):
-            self.waiting.put(rows[len(ready) :])
-        symbols = ([self.last.get()[0]] if self.last.exists() else []) + [r[2] for r in ready]
-        self.last.update((symbols[-1],))
-        if len(symbols) > 1:
-            yield pd.DataFrame({"key": key, "from": symbols[:-1], "to": symbols[1:]})
+        if len(rest):
+            self.waiting.put([(int(rest["us"].min()), _to_bytes(rest, ROW))])
+        ready = ready.sort_values(["us", "tie"])
+        if self.last.exists():
+            ready = pd.concat([_from_bytes(self.last.get()[0]), ready])
+        code = pd.factorize(ready["key"], use_na_sentinel=False)[0]
+        order = np.argsort(code, kind="stable")  # by key, each key's last symbol and its rows in order
+        ready, code = ready.iloc[order], code[order]
+        more = code[1:] == code[:-1]
+        self.last.update((_to_bytes(ready[np.r_[~more, True]], ROW),))
+        if more.any():
+            names = ready["symbol"].to_numpy()
+            yield pd.DataFrame({"key": ready["key"].to_numpy()[1:][more], "from": names[:-1][more], "to": names[1:][more]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803  Spark's names
-        came = pd.concat(list(rows))
-        self.waiting.appendList(list(zip(came["ms"].tolist(), came["tie"].tolist(), came["symbol"].tolist(), strict=True)))
-        self.handle.registerTimer(int(came["ms"].max()))
-        yield from self._passed(key[0], timerValues.getCurrentWatermarkInMs())
+        came = pd.concat(list(rows))[ROW.names]
+        self.waiting.appendValue((int(came["us"].min()), _to_bytes(came, ROW)))
+        self.handle.registerTimer(int(came["us"].max()) // 1000 + 1)
+        yield from self._passed(timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        yield from self._passed(key[0], timerValues.getCurrentWatermarkInMs())
+        yield from self._passed(timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
 
 
-def ordered_transitions(stream: DataFrame, key: str, at: str, tie: str, symbol: str, delay: str) -> DataFrame:
-    """key (as text), from, to of a stream by event time, rows up to `delay` late; equal times are in order of `tie`."""
-    rows = stream.withWatermark(at, delay).select(at, F.col(key).cast("string").alias("key"), F.unix_millis(at).alias("ms"), F.col(tie).cast("long").alias("tie"), F.col(symbol).alias("symbol"))
-    return rows.groupBy("key").transformWithStateInPandas(OrderedTransitions(), "key string, from string, to string", "Append", "EventTime")
+#: The process in which a streaming query reads its processor doesn't have what ship() sends, so this module goes with it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def ordered_transitions(stream: DataFrame, key: str, at: str, tie: str, symbol: str, delay: str, buckets: int) -> DataFrame:
+    """key (as text), from, to of a stream by event time, rows up to `delay` late; equal times are in order of `tie`, nulls last.
+
+    Keys are dealt to so many buckets; the rows of one that are within the delay are in memory at once.
+    """
+    own = F.col(key).cast("string")
+    order = F.coalesce(F.col(tie).cast("long"), F.lit((1 << 63) - 1))
+    rows = stream.withWatermark(at, delay).select(at, F.pmod(F.xxhash64(own), F.lit(buckets)).alias("bucket"), own.alias("key"), F.unix_micros(at).alias("us"), order.alias("tie"), F.col(symbol).alias("symbol"))
+    return rows.groupBy("bucket").transformWithStateInPandas(OrderedTransitions(), "key string, from string, to string", "Append", "EventTime")
+
+
+#: Rows of a bucket of keys, on average, over the whole stream.
+BUCKET_ROWS = 50_000
 
 
 def online_grammar(spark: SparkSession, rows: DataFrame, key: str, at: str, tie: str, symbol: str, parts: int) -> DataFrame:
@@ -97,7 +137,7 @@ def online_grammar(spark: SparkSession, rows: DataFrame, key: str, at: str, tie:
     """
     base = f"{shared_dir(spark)}/grammar-{uuid.uuid4().hex}"
     rows = rows.withColumn(at, F.col(at).cast("timestamp"))
-    span = rows.agg(F.min(F.unix_millis(at)).alias("a"), F.max(F.unix_millis(at)).alias("b")).first()
+    span = rows.agg(F.min(F.unix_millis(at)).alias("a"), F.max(F.unix_millis(at)).alias("b"), F.count("*").alias("n")).first()
     kind = rows.schema[key].dataType
     if span["a"] is None:
         return rows.select(key, F.col(symbol).alias("from"), F.col(symbol).alias("to")).limit(0).groupBy(key, "from", "to").count()
@@ -113,7 +153,7 @@ def online_grammar(spark: SparkSession, rows: DataFrame, key: str, at: str, tie:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
-        told = ordered_transitions(stream, key, at, tie, symbol, f"{2 * width} milliseconds")
+        told = ordered_transitions(stream, key, at, tie, symbol, f"{2 * width} milliseconds", max(2 * files, span["n"] // BUCKET_ROWS))
         told.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         if before is None:
