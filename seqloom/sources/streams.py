@@ -32,18 +32,27 @@ def byte_windows(df: DataFrame, keys: list[str], content: str, width: int, strid
     return out.select(*keys, "pos", fnv1a(F.col("_w")).alias("symbol"))
 
 
-def conllu_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """sentence, pos, id, form, lemma, upos, ... of tab-separated treebank files; comments, ranges and empty nodes are left out.
+CELLS = ["id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc"]
+
+
+def conllu_sentences(spark: SparkSession, path: str) -> DataFrame:
+    """path, sentence, tokens (pos and the ten cells of each) of tab-separated treebank files; comments, ranges and empty nodes are left out.
 
     Sentences are read whole, divided by lines that hold nothing but white space, so no order over a file is needed. Line
     ends may be either kind: records end at the blank line of the kind that is found first, and are divided again.
     """
-    names = ["id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc"]
     crlf = not spark.read.option("lineSep", "\n").text(path).filter(F.endswith("value", F.lit("\r"))).limit(1).isEmpty()
     records = spark.read.option("lineSep", "\n\r\n" if crlf else "\n\n").text(path).select(F.input_file_name().alias("path"), F.explode(F.split("value", r"\n[\x20\t\r]*(?:\n|$)")).alias("block"))
-    blocks = records.filter(F.contains("block", F.lit("\t"))).select("path", F.monotonically_increasing_id().alias("sentence"), F.split("block", "\r?\n").alias("lines"))
-    rows = blocks.select("path", "sentence", F.posexplode(F.filter("lines", lambda x: ~x.startswith("#") & x.contains("\t"))).alias("pos", "line")).withColumn("c", F.split(F.regexp_replace("line", "\r$", ""), "\t"))
-    return rows.filter((F.size("c") == len(names)) & F.col("c")[0].rlike(r"^\d+$")).select("path", "sentence", "pos", *[F.col("c")[k].alias(n) for k, n in enumerate(names)])
+    blocks = records.filter(F.contains("block", F.lit("\t"))).select("path", F.monotonically_increasing_id().alias("sentence"), F.split("block", "\n").alias("lines"))
+    lines = F.filter("lines", lambda x: ~F.startswith(x, F.lit("#")) & F.contains(x, F.lit("\t")))
+    cells = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.split(F.when(F.endswith(x, F.lit("\r")), F.left(x, F.length(x) - 1)).otherwise(x), "\t").alias("c")))
+    return blocks.select("path", "sentence", F.filter(cells, lambda t: (F.size(t["c"]) == len(CELLS)) & t["c"][0].rlike(r"^\d+$")).alias("tokens"))
+
+
+def conllu_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """path, sentence, pos, id, form, lemma, upos, ... of conllu_sentences(), a row a token."""
+    rows = conllu_sentences(spark, path).select("path", "sentence", F.inline("tokens"))
+    return rows.select("path", "sentence", "pos", *[F.col("c")[k].alias(n) for k, n in enumerate(CELLS)])
 
 
 FIELDS = {
@@ -58,6 +67,12 @@ def fold32(x: Column) -> Column:
     return F.when(y == 0, F.lit(1).cast("long")).otherwise(y)
 
 
+def _window_hash(symbols: Column) -> Column:
+    """The hash of the bytes of each symbol, the lowest first."""
+    text = F.array_join(F.transform(symbols, lambda v: F.concat(*[F.substring(F.lpad(F.hex(v), 16, "0"), 15 - 2 * k, 2) for k in range(8)])), "")
+    return fnv1a(F.unhex(text))
+
+
 def treebank_symbols(tokens: DataFrame, field: str = "upos", window: int = 1, stride: int = 1, boundary: bool = False, bits: int = 32) -> DataFrame:
     """path, sentence, pos, symbol of conllu_tokens: hashes of a key of each token, or of `window` of them in a row.
 
@@ -76,15 +91,31 @@ def treebank_symbols(tokens: DataFrame, field: str = "upos", window: int = 1, st
     if window == 1:
         out = out.select("path", "sentence", F.col("pos").cast("long").alias("pos"), F.get("s", F.col("at") - 1).alias("symbol"))
     else:
-        # The bytes of each symbol, the lowest first.
-        text = F.array_join(F.transform(F.slice("s", F.col("at"), F.lit(window)), lambda v: F.concat(*[F.substring(F.lpad(F.hex(v), 16, "0"), 15 - 2 * k, 2) for k in range(8)])), "")
-        out = out.select("path", "sentence", F.col("pos").cast("long").alias("pos"), canonical(fnv1a(F.unhex(text))).alias("symbol"))
+        out = out.select("path", "sentence", F.col("pos").cast("long").alias("pos"), canonical(_window_hash(F.slice("s", F.col("at"), F.lit(window)))).alias("symbol"))
     if boundary:
         ends = tokens.select("path", "sentence").distinct().select("path", "sentence", F.lit(None).cast("long").alias("pos"), F.lit(-1).cast("long").alias("symbol"))
         out = out.unionByName(ends)
     return out
 
 
+def treebank_counts(sentences: DataFrame, field: str = "upos", window: int = 1, stride: int = 1, boundary: bool = False, bits: int = 32) -> DataFrame:
+    """symbol, count of what treebank_symbols() makes of the tokens of conllu_sentences().
+
+    Windows are made within a sentence's row and counted by their keys, so that only different ones move and are hashed.
+    """
+    key = lambda t: F.concat_ws("|", *[F.lower(t["c"][CELLS.index(c)]) if low else t["c"][CELLS.index(c)] for c, low in FIELDS[field]])
+    keys = F.filter(F.transform("tokens", key), lambda k: (k != "") & (k != "_"))
+    rows = sentences.filter(F.size("tokens") > 0).select(keys.alias("keys"))
+    starts = F.when(F.size("keys") >= window, F.sequence(F.lit(0), F.size("keys") - window, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    at = rows.select("keys", F.explode(F.concat(starts, F.array(F.lit(-1))) if boundary else starts).alias("at"))
+    # No cell has a tab; a boundary is null.
+    said = F.when(F.col("at") >= 0, F.concat_ws("\t", *[F.get("keys", F.col("at") + k) for k in range(window)]))
+    counted = at.select(said.alias("said")).groupBy("said").count().withColumn("own", F.split("said", "\t"))
+    canonical = (lambda h: fold32(h)) if bits == 32 else (lambda h: F.when(h == 0, F.lit(1).cast("long")).otherwise(h))
+    symbol = canonical(_window_hash(F.transform("own", lambda k: canonical(fnv1a(k)))) if window > 1 else fnv1a(F.col("said")))
+    return counted.select(F.when(F.col("said").isNull(), F.lit(-1).cast("long")).otherwise(symbol).alias("symbol"), "count").groupBy("symbol").agg(F.sum("count").alias("count"))
+
+
 #: Bases of a chunk of a long sequence.
 CHUNK = 1 << 16
 

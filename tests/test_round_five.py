@@ -63,3 +63,20 @@ def test_grammar_state_calls_follow_buckets():
     got += list(p.handleExpiredTimer((0,), Timers(26), None))
     assert sorted(map(tuple, pd.concat(got).to_numpy().tolist())) == sorted((str(u), a, b) for u in range(n) for a, b in ("xy", "yz"))
     assert Store.calls < 50
+
+
+def test_treebank_counts_without_sentences_moving(spark, tmp_path):
+    """Counts equal those of the rows; what moves is windows already counted."""
+    from seqloom.sources.streams import conllu_sentences, conllu_tokens, treebank_counts, treebank_symbols
+
+    row = lambda i, form, upos: "\t".join([str(i), form, form.lower(), upos, "_", "_", "0", "x", "_", "_"])
+    sentence = lambda k: "\n".join(row(i, f"W{i * k % 5}", ("NOUN", "_", "VERB", "", "ADJ")[(i * k + k) % 5]) for i in range(1, 4 + k % 7))
+    text = "\n\n".join(["# only a comment\twith a tab", *map(sentence, range(40)), row("1-2", "range", "X"), row(1, "a", "_")]) + "\n"
+    (tmp_path / "t.conllu").write_text(text)
+    tokens, sentences = conllu_tokens(spark, str(tmp_path / "t.conllu")), conllu_sentences(spark, str(tmp_path / "t.conllu"))
+    for o in ({}, {"boundary": True}, {"window": 2, "stride": 2, "bits": 64}, {"field": "lemma_upos", "window": 3, "boundary": True}, {"field": "form", "window": 30}):
+        want = {r["symbol"]: r["count"] for r in treebank_symbols(tokens, **o).groupBy("symbol").count().collect()}
+        out = treebank_counts(sentences, **o)
+        assert {r["symbol"]: r["count"] for r in out.collect()} == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "collect_list" not in plan
