@@ -9,8 +9,9 @@ Texts are lower-cased, split into pieces at punctuation and into words. Counts a
 3. Pointers are projected on a prefix, mostly one word: a task gives each prefix one row with what follows it there, and
    the rows of one prefix are one group, which is grown to the right depth-first, each step keeping the numbers of those
    pointers that go on with the same word. A word whose entry is above CROWD is counted by a plain sum, and its pointers
-   are projected on two words; pointers of a pair that is above it too are counted by sums of all their prefixes. So a
-   group has at most CROWD pointers, and a passage that is repeated everywhere is a few sums.
+   are dealt to buckets by their second word, so many that one has about CROWD of them; a pair is whole in its bucket, which
+   is grown as a group of its own. Pointers of a pair that is above CROWD too are counted by sums of all their prefixes. So
+   groups stay small, a task gives a word a row for each bucket at most, and a passage repeated everywhere is a few sums.
 4. Counts of a candidate's parts are joined to it; of all cuts the lowest score counts. Candidates inside a longer one that
    is as frequent are dropped.
 
@@ -39,6 +40,8 @@ LONGEST = 5
 WORD_SLOTS, PAIR_SLOTS = 1 << 22, 1 << 24
 #: Pointers that one prefix may have in a group, repeats included.
 CROWD = 50_000
+#: A word above CROWD * DEAL ** k has DEAL ** (k + 1) buckets, for k below DEALS.
+DEAL, DEALS = 16, 4
 #: Bytes of text that a task looks at together; different pointers that it adds up before it passes them on.
 TEXT, HELD = 4 << 20, 1 << 18
 
@@ -146,6 +149,10 @@ def reached(seen: DataFrame, kind: str, size: int, least: int):
     return seen.sparkSession.sparkContext.broadcast(bytes(out))
 
 
+#: Buckets that aren't one: pointers of the whole prefix, and those that are sums of all their prefixes.
+WHOLE, ALL = 0, -1
+
+
 class Bits:
     """The bits of a table from reached(), read where they lie."""
 
@@ -157,35 +164,35 @@ class Bits:
 
 
 def projected(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pointers (lang, words, level, n) by their prefix: a row for each prefix that is grown, and sums (depth 0) for the others."""
-    table = pa.Table.from_batches(held).group_by(["lang", "words", "level"]).aggregate([("n", "sum")])
+    """Pointers (lang, words, bucket, n) by their prefix and bucket: a row for each that is grown, and sums (bucket ALL) for the others."""
+    table = pa.Table.from_batches(held).group_by(["lang", "words", "bucket"]).aggregate([("n", "sum")])
     grow: dict[tuple[str, str, int], tuple[list[str], list[int]]] = {}
     sums: dict[tuple[str, str], int] = {}
-    for lang, words, level, n in zip(*(table.column(c).to_pylist() for c in ("lang", "words", "level", "n_sum")), strict=True):
+    for lang, words, bucket, n in zip(*(table.column(c).to_pylist() for c in ("lang", "words", "bucket", "n_sum")), strict=True):
         cut = words.find(" ")
-        if level > 1:
-            ends = [cut] if level == 2 else [i for i, c in enumerate(words) if c == " "] + [len(words)]
-            for end in ends:
+        if bucket == ALL:
+            for end in [*(i for i, c in enumerate(words) if c == " "), len(words)]:
                 k = lang, words[:end]
                 sums[k] = sums.get(k, 0) + n
-            if level == 3:
-                continue
-            cut = words.find(" ", cut + 1)
+            continue
         cut = cut if cut >= 0 else len(words)
-        rest, times = grow.setdefault((lang, words[:cut], level), ([], []))
+        if bucket:
+            k = lang, words[:cut]
+            sums[k] = sums.get(k, 0) + n
+        rest, times = grow.setdefault((lang, words[:cut], bucket), ([], []))
         rest.append(words[cut + 1 :])
         times.append(n)
-    rows = [(lang, prefix, level, "\n".join(rest), np.array(times, np.int64).tobytes(), sum(times)) for (lang, prefix, level), (rest, times) in grow.items()]
-    rows += [(lang, phrase, 0, "", b"", n) for (lang, phrase), n in sums.items()]
+    rows = [(lang, prefix, bucket, "\n".join(rest), np.array(times, np.int64).tobytes(), sum(times)) for (lang, prefix, bucket), (rest, times) in grow.items()]
+    rows += [(lang, phrase, ALL, "", b"", n) for (lang, phrase), n in sums.items()]
     for at in range(0, len(rows), 1 << 14):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + (1 << 14)], strict=True), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "prefix", "depth", "rest", "n", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + (1 << 14)], strict=True), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "prefix", "bucket", "rest", "n", "total"])
 
 
-def pointers(docs: DataFrame, words, pairs, full_words, full_pairs) -> DataFrame:  # noqa: ANN001  broadcasts
-    """lang, prefix, depth, rest, n, total of each task's pointers by prefix: what follows it (one line each), how often, and how often in all."""
+def pointers(docs: DataFrame, words, pairs, full_pairs, full_words: list) -> DataFrame:  # noqa: ANN001  broadcasts
+    """lang, prefix, bucket, rest, n, total of each task's pointers by prefix: what follows it (one line each), how often, and how often in all."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, often_pair, full, full_pair = map(Bits, (words, pairs, full_words, full_pairs))
+        often, often_pair, full_pair, *full = map(Bits, (words, pairs, full_pairs, *full_words))
         held: list[pa.RecordBatch] = []
         for lang, ids, names in by_lang(batches):
             h = _hashes(names, lang)
@@ -207,16 +214,19 @@ def pointers(docs: DataFrame, words, pairs, full_words, full_pairs) -> DataFrame
             for k in range(1, LONGEST):
                 on = on & goes[np.minimum(starts + k - 1, len(ids) - 1)]
                 window[on, k] = ids[starts[on] + k]
-            level = np.where(~full[slot[window[:, 0]]], 1, np.where((window[:, 1] > 0) & ~full_pair[pair[starts]], 2, 3)).astype(np.int32)
+            own = sum(f[slot].astype(np.int64) for f in full)  # of each word: how many thresholds it is above
+            crowded, buckets = own > 0, np.uint64(DEAL) ** own.astype(np.uint64)
+            dealt = 1 + (h[window[:, 1]] % buckets[window[:, 0]]).astype(np.int32)
+            bucket = np.where(~crowded[window[:, 0]], WHOLE, np.where((window[:, 1] > 0) & ~full_pair[pair[starts]], dealt, ALL)).astype(np.int32)
             order = np.lexsort(window.T[::-1])
-            window, level = window[order], level[order]
+            window, bucket = window[order], bucket[order]
             first = np.flatnonzero(np.r_[True, (window[1:] != window[:-1]).any(axis=1)])
             n = np.diff(np.r_[first, len(window)])
-            window, level = window[first], level[first]
+            window, bucket = window[first], bucket[first]
             for at in range(0, len(window), 1 << 16):
                 to = at + (1 << 16)
                 said = [b" ".join([names[i] for i in row if i]) for row in window[at:to].tolist()]
-                held.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(said)), pa.array(said, pa.binary()).cast(pa.string()), pa.array(level[at:to]), pa.array(n[at:to])], ["lang", "words", "level", "n"]))
+                held.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(said)), pa.array(said, pa.binary()).cast(pa.string()), pa.array(bucket[at:to]), pa.array(n[at:to])], ["lang", "words", "bucket", "n"]))
             if sum(b.num_rows for b in held) > HELD:
                 yield from projected(held)
                 held = []
@@ -224,15 +234,15 @@ def pointers(docs: DataFrame, words, pairs, full_words, full_pairs) -> DataFrame
             yield from projected(held)
         release()
 
-    return docs.mapInArrow(run, "lang string, prefix string, depth int, rest string, n binary, total long")
+    return docs.mapInArrow(run, "lang string, prefix string, bucket int, rest string, n binary, total long")
 
 
-def grown(prefix: str, depth: int, rest: list[str], n: np.ndarray, support: int) -> list[tuple[str, int]]:
-    """Phrases that begin with a prefix of `depth` words, and how often each comes; rest and n: what follows it, and how often."""
+def grown(prefix: str, rest: list[str], n: np.ndarray, support: int) -> list[tuple[str, int]]:
+    """Phrases that begin with a word, itself first, and how often each comes; rest and n: what follows it, and how often."""
     words = [r.split(" ") if r else [] for r in rest]
     size = np.array([len(w) for w in words])
     number: dict[str, int] = {}
-    table = np.full((len(words), LONGEST - depth), -1)
+    table = np.full((len(words), LONGEST - 1), -1)
     for i, w in enumerate(words):
         table[i, : len(w)] = [number.setdefault(x, len(number)) for x in w]
     names, out = list(number), []
@@ -257,20 +267,21 @@ def grown(prefix: str, depth: int, rest: list[str], n: np.ndarray, support: int)
 
 
 def by_prefix(frames: Iterable[pd.DataFrame], support: int) -> Iterator[pd.DataFrame]:
-    """Grows each prefix by itself; the rows of one follow each other, in one frame or several."""
+    """Grows each prefix, or bucket of one, by itself; the rows of one follow each other, in one frame or several."""
 
     def done(own: list[tuple[str, str, int, str, bytes]]) -> list[tuple[str, str, int]]:
         n = np.frombuffer(b"".join(r[4] for r in own), np.int64)
         if int(n.sum()) < support:
             return []
-        lang, prefix, depth = own[0][:3]
-        return [(lang, *x) for x in grown(prefix, int(depth), [x for r in own for x in r[3].split("\n")], n, support)]
+        lang, prefix, bucket = own[0][:3]
+        out = grown(prefix, [x for r in own for x in r[3].split("\n")], n, support)
+        return [(lang, *x) for x in out[bucket != WHOLE :]]  # a bucket's part of the word itself is in the sums
 
     held: list[tuple[str, str, int, str, bytes]] = []
     for frame in frames:
         out: list[tuple[str, str, int]] = []
         for row in frame.itertuples(index=False, name=None):
-            if held and held[0][:2] != row[:2]:
+            if held and held[0][:3] != row[:3]:
                 out += done(held)
                 held = []
             held.append(row)
@@ -284,11 +295,12 @@ def frequent(docs: DataFrame, support: int, text: str = "text", lang: str = "lan
     docs = _rows(docs, text, lang)
     seen = cut(slot_counts(docs).groupBy("kind", "lang", "slot").agg(F.sum("n").alias("n")), "slots")
     totals = cut(seen.filter("kind = 'w'").select("lang", "n"), "totals")
-    tables = [reached(seen, kind, size, least) for least in (support, crowd + 1) for kind, size in (("w1", WORD_SLOTS), ("w2", PAIR_SLOTS))]
-    rows = cut(pointers(docs, *tables), "pointers")
-    own = rows.filter("depth > 0").drop("total").repartition("lang", "prefix").sortWithinPartitions("lang", "prefix")
+    words, pairs, full_pairs = reached(seen, "w1", WORD_SLOTS, support), reached(seen, "w2", PAIR_SLOTS, support), reached(seen, "w2", PAIR_SLOTS, crowd + 1)
+    full_words = [reached(seen, "w1", WORD_SLOTS, crowd * DEAL**k + 1) for k in range(DEALS)]
+    rows = cut(pointers(docs, words, pairs, full_pairs, full_words), "pointers")
+    own = rows.filter(F.col("bucket") != ALL).drop("total").repartition("lang", "prefix", "bucket").sortWithinPartitions("lang", "prefix", "bucket")
     grew = own.mapInPandas(lambda frames: by_prefix(frames, support), "lang string, phrase string, f long")
-    sums = rows.filter("depth = 0").select("lang", F.col("prefix").alias("phrase"), F.col("total").alias("n"))
+    sums = rows.filter(F.col("bucket") == ALL).select("lang", F.col("prefix").alias("phrase"), F.col("total").alias("n"))
     short = sums.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= support)
     out = cut(grew.unionByName(short), "phrases")
     discard(seen, rows)
