@@ -6,12 +6,13 @@ Texts are lower-cased, split into pieces at punctuation and into words. Counts a
 2. A second pass makes an occurrence pointer of each word: the word and up to four that follow in its piece. A pointer ends
    before a word or a pair whose table entry is below the support, for no frequent phrase goes on there. Equal pointers of a
    task are added up.
-3. Pointers are projected on a prefix, mostly one word: a task gives each prefix one row with what follows it there, and
-   the rows of one prefix are one group, which is grown to the right depth-first, each step keeping the numbers of those
-   pointers that go on with the same word. A word whose entry is above CROWD is counted by a plain sum, and its pointers
-   are dealt to buckets by their second word, so many that one has about CROWD of them; a pair is whole in its bucket, which
-   is grown as a group of its own. Pointers of a pair that is above CROWD too are counted by sums of all their prefixes. So
-   groups stay small, a task gives a word a row for each bucket at most, and a passage repeated everywhere is a few sums.
+3. Pointers are projected on their first word and dealt to slots by its hash: a task gives each slot one row with all
+   pointers that fall there, and the rows of one slot are one group. In it each word is grown to the right depth-first,
+   each step keeping the numbers of those pointers that go on with the same word. A word whose entry is above CROWD is
+   counted by a plain sum, and its pointers are dealt to slots by their second word too, in so many parts that one has
+   about CROWD of them; a pair is whole in its slot. Pointers of a pair that is above CROWD too are counted by sums of all
+   their prefixes. So groups stay small, rows follow the text and not the vocabulary, and a passage that is repeated
+   everywhere is a few sums.
 4. Counts of a candidate's parts are joined to it; of all cuts the lowest score counts. Candidates inside a longer one that
    is as frequent are dropped.
 
@@ -40,10 +41,12 @@ LONGEST = 5
 WORD_SLOTS, PAIR_SLOTS = 1 << 22, 1 << 24
 #: Pointers that one prefix may have in a group, repeats included.
 CROWD = 50_000
-#: A word above CROWD * DEAL ** k has DEAL ** (k + 1) buckets, for k below DEALS.
+#: A word above CROWD * DEAL ** k is dealt in DEAL ** (k + 1) parts, for k below DEALS.
 DEAL, DEALS = 16, 4
-#: Bytes of text that a task looks at together; different pointers that it adds up before it passes them on.
-TEXT, HELD = 4 << 20, 1 << 18
+#: The fewest slots of a language, and the most words of all texts for each.
+SLOTS, SLOT_WORDS = 1 << 10, 1 << 21
+#: Bytes of text that a task looks at together; its pointers are passed on before the next.
+TEXT = 4 << 20
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The bytes at which pieces end.
@@ -149,8 +152,8 @@ def reached(seen: DataFrame, kind: str, size: int, least: int):
     return seen.sparkSession.sparkContext.broadcast(bytes(out))
 
 
-#: Buckets that aren't one: pointers of the whole prefix, and those that are sums of all their prefixes.
-WHOLE, ALL = 0, -1
+#: No slot: a pointer that is sums of all its prefixes.
+ALL = -1
 
 
 class Bits:
@@ -164,37 +167,32 @@ class Bits:
 
 
 def projected(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pointers (lang, words, bucket, n) by their prefix and bucket: a row for each that is grown, and sums (bucket ALL) for the others."""
-    table = pa.Table.from_batches(held).group_by(["lang", "words", "bucket"]).aggregate([("n", "sum")])
-    grow: dict[tuple[str, str, int], tuple[list[str], list[int]]] = {}
+    """Pointers (lang, words, slot, crowded, n) by their slot: a row for each, and sums (slot ALL) of what isn't grown."""
+    table = pa.Table.from_batches(held).group_by(["lang", "words", "slot", "crowded"]).aggregate([("n", "sum")])
+    grow: dict[tuple[str, int, bool], tuple[list[str], list[int]]] = {}
     sums: dict[tuple[str, str], int] = {}
-    for lang, words, bucket, n in zip(*(table.column(c).to_pylist() for c in ("lang", "words", "bucket", "n_sum")), strict=True):
-        cut = words.find(" ")
-        if bucket == ALL:
-            for end in [*(i for i, c in enumerate(words) if c == " "), len(words)]:
+    for lang, words, slot, crowded, n in zip(*(table.column(c).to_pylist() for c in ("lang", "words", "slot", "crowded", "n_sum")), strict=True):
+        if crowded:
+            for end in [*(i for i, c in enumerate(words) if c == " "), len(words)] if slot == ALL else [words.index(" ")]:
                 k = lang, words[:end]
                 sums[k] = sums.get(k, 0) + n
-            continue
-        cut = cut if cut >= 0 else len(words)
-        if bucket:
-            k = lang, words[:cut]
-            sums[k] = sums.get(k, 0) + n
-        rest, times = grow.setdefault((lang, words[:cut], bucket), ([], []))
-        rest.append(words[cut + 1 :])
-        times.append(n)
-    rows = [(lang, prefix, bucket, "\n".join(rest), np.array(times, np.int64).tobytes(), sum(times)) for (lang, prefix, bucket), (rest, times) in grow.items()]
-    rows += [(lang, phrase, ALL, "", b"", n) for (lang, phrase), n in sums.items()]
-    for at in range(0, len(rows), 1 << 14):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + (1 << 14)], strict=True), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "prefix", "bucket", "rest", "n", "total"])
-
-
-def pointers(docs: DataFrame, words, pairs, full_pairs, full_words: list) -> DataFrame:  # noqa: ANN001  broadcasts
-    """lang, prefix, bucket, rest, n, total of each task's pointers by prefix: what follows it (one line each), how often, and how often in all."""
+        if slot != ALL:
+            said, times = grow.setdefault((lang, slot, crowded), ([], []))
+            said.append(words)
+            times.append(n)
+    rows = [(lang, slot, crowded, "\n".join(said), np.array(times, np.int64).tobytes(), sum(times)) for (lang, slot, crowded), (said, times) in grow.items()]
+    rows += [(lang, ALL, True, phrase, b"", n) for (lang, phrase), n in sums.items()]
+    for at in range(0, len(rows), 1 << 12):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + (1 << 12)], strict=True), (pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "slot", "crowded", "words", "n", "total"])
+
+
+def pointers(docs: DataFrame, slots: int, words, pairs, full_pairs, full_words: list) -> DataFrame:  # noqa: ANN001  broadcasts
+    """lang, slot, crowded, words, n, total of each task's pointers by slot: their words (one line each), how often, and how often in all."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, often_pair, full_pair, *full = map(Bits, (words, pairs, full_pairs, *full_words))
-        held: list[pa.RecordBatch] = []
         for lang, ids, names in by_lang(batches):
+            held: list[pa.RecordBatch] = []
             h = _hashes(names, lang)
             slot = (h % np.uint64(WORD_SLOTS)).astype(np.int64)
             may = often[slot]
@@ -214,27 +212,26 @@ def pointers(docs: DataFrame, words, pairs, full_pairs, full_words: list) -> Dat
             for k in range(1, LONGEST):
                 on = on & goes[np.minimum(starts + k - 1, len(ids) - 1)]
                 window[on, k] = ids[starts[on] + k]
-            own = sum(f[slot].astype(np.int64) for f in full)  # of each word: how many thresholds it is above
-            crowded, buckets = own > 0, np.uint64(DEAL) ** own.astype(np.uint64)
-            dealt = 1 + (h[window[:, 1]] % buckets[window[:, 0]]).astype(np.int32)
-            bucket = np.where(~crowded[window[:, 0]], WHOLE, np.where((window[:, 1] > 0) & ~full_pair[pair[starts]], dealt, ALL)).astype(np.int32)
+            above = sum(f[slot].astype(np.int64) for f in full)  # of each word: how many thresholds it is above
+            parts = np.uint64(DEAL) ** above.astype(np.uint64)
+            one, two = window[:, 0], window[:, 1]
+            crowded = above[one] > 0
+            with np.errstate(over="ignore"):
+                to = (h[one] + h[two] % parts[one] * MIX[1]) * MIX[0] >> np.uint64(32)
+            to = np.where(crowded & ((two == 0) | full_pair[pair[starts]]), ALL, (to % np.uint64(slots)).astype(np.int32)).astype(np.int32)
             order = np.lexsort(window.T[::-1])
-            window, bucket = window[order], bucket[order]
+            window, crowded, to = window[order], crowded[order], to[order]
             first = np.flatnonzero(np.r_[True, (window[1:] != window[:-1]).any(axis=1)])
             n = np.diff(np.r_[first, len(window)])
-            window, bucket = window[first], bucket[first]
+            window, crowded, to = window[first], crowded[first], to[first]
             for at in range(0, len(window), 1 << 16):
-                to = at + (1 << 16)
-                said = [b" ".join([names[i] for i in row if i]) for row in window[at:to].tolist()]
-                held.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(said)), pa.array(said, pa.binary()).cast(pa.string()), pa.array(bucket[at:to]), pa.array(n[at:to])], ["lang", "words", "bucket", "n"]))
-            if sum(b.num_rows for b in held) > HELD:
-                yield from projected(held)
-                held = []
-        if held:
+                some = slice(at, at + (1 << 16))
+                said = [b" ".join([names[i] for i in row if i]) for row in window[some].tolist()]
+                held.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(said)), pa.array(said, pa.binary()).cast(pa.string()), pa.array(to[some]), pa.array(crowded[some]), pa.array(n[some])], ["lang", "words", "slot", "crowded", "n"]))
             yield from projected(held)
         release()
 
-    return docs.mapInArrow(run, "lang string, prefix string, bucket int, rest string, n binary, total long")
+    return docs.mapInArrow(run, "lang string, slot int, crowded boolean, words string, n binary, total long")
 
 
 def grown(prefix: str, rest: list[str], n: np.ndarray, support: int) -> list[tuple[str, int]]:
@@ -266,28 +263,36 @@ def grown(prefix: str, rest: list[str], n: np.ndarray, support: int) -> list[tup
     return out
 
 
-def by_prefix(frames: Iterable[pd.DataFrame], support: int) -> Iterator[pd.DataFrame]:
-    """Grows each prefix, or bucket of one, by itself; the rows of one follow each other, in one frame or several."""
+def by_slot(frames: Iterable[pd.DataFrame], support: int) -> Iterator[pd.DataFrame]:
+    """Grows each first word of each slot by itself; the rows of a slot follow each other, in one frame or several."""
 
-    def done(own: list[tuple[str, str, int, str, bytes]]) -> list[tuple[str, str, int]]:
+    def done(own: list[tuple[str, int, bool, str, bytes]]) -> Iterator[tuple[str, str, int]]:
         n = np.frombuffer(b"".join(r[4] for r in own), np.int64)
-        if int(n.sum()) < support:
-            return []
-        lang, prefix, bucket = own[0][:3]
-        out = grown(prefix, [x for r in own for x in r[3].split("\n")], n, support)
-        return [(lang, *x) for x in out[bucket != WHOLE :]]  # a bucket's part of the word itself is in the sums
-
-    held: list[tuple[str, str, int, str, bytes]] = []
-    for frame in frames:
-        out: list[tuple[str, str, int]] = []
-        for row in frame.itertuples(index=False, name=None):
+        by: dict[str, tuple[list[str], list[int]]] = {}
+        for i, words in enumerate(x for r in own for x in r[3].split("\n")):
+            first, _, rest = words.partition(" ")
+            rests, at = by.setdefault(first, ([], []))
+            rests.append(rest)
+            at.append(i)
+        lang, _, crowded = own[0][:3]
+        for first, (rests, at) in by.items():
+            times = n[at]
+            if int(times.sum()) >= support:
+                for found in grown(first, rests, times, support)[int(crowded) :]:  # a crowded word itself is in the sums
+                    yield lang, *found
+
+    def frame(rows: Iterable[tuple[str, str, int]]) -> pd.DataFrame:
+        return pd.DataFrame(list(rows), columns=["lang", "phrase", "f"]).astype({"f": "int64"})
+
+    held: list[tuple[str, int, bool, str, bytes]] = []
+    for some in frames:
+        for row in some.itertuples(index=False, name=None):
             if held and held[0][:3] != row[:3]:
-                out += done(held)
+                yield frame(done(held))
                 held = []
             held.append(row)
-        yield pd.DataFrame(out, columns=["lang", "phrase", "f"]).astype({"f": "int64"})
     if held:
-        yield pd.DataFrame(done(held), columns=["lang", "phrase", "f"]).astype({"f": "int64"})
+        yield frame(done(held))
 
 
 def frequent(docs: DataFrame, support: int, text: str = "text", lang: str = "lang", crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
@@ -297,10 +302,12 @@ def frequent(docs: DataFrame, support: int, text: str = "text", lang: str = "lan
     totals = cut(seen.filter("kind = 'w'").select("lang", "n"), "totals")
     words, pairs, full_pairs = reached(seen, "w1", WORD_SLOTS, support), reached(seen, "w2", PAIR_SLOTS, support), reached(seen, "w2", PAIR_SLOTS, crowd + 1)
     full_words = [reached(seen, "w1", WORD_SLOTS, crowd * DEAL**k + 1) for k in range(DEALS)]
-    rows = cut(pointers(docs, words, pairs, full_pairs, full_words), "pointers")
-    own = rows.filter(F.col("bucket") != ALL).drop("total").repartition("lang", "prefix", "bucket").sortWithinPartitions("lang", "prefix", "bucket")
-    grew = own.mapInPandas(lambda frames: by_prefix(frames, support), "lang string, phrase string, f long")
-    sums = rows.filter(F.col("bucket") == ALL).select("lang", F.col("prefix").alias("phrase"), F.col("total").alias("n"))
+    slots = max(SLOTS, -(-(totals.agg(F.sum("n")).first()[0] or 0) // SLOT_WORDS))
+    rows = cut(pointers(docs, slots, words, pairs, full_pairs, full_words), "pointers")
+    at = ["lang", "slot", "crowded"]
+    own = rows.filter(F.col("slot") != ALL).drop("total").repartition(*at).sortWithinPartitions(*at)
+    grew = own.mapInPandas(lambda frames: by_slot(frames, support), "lang string, phrase string, f long")
+    sums = rows.filter(F.col("slot") == ALL).select("lang", F.col("words").alias("phrase"), F.col("total").alias("n"))
     short = sums.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= support)
     out = cut(grew.unionByName(short), "phrases")
     discard(seen, rows)

@@ -80,3 +80,27 @@ def test_treebank_counts_without_sentences_moving(spark, tmp_path):
         assert {r["symbol"]: r["count"] for r in out.collect()} == want
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "collect_list" not in plan
+
+
+def test_collocation_rows_follow_text_and_not_vocabulary(spark, monkeypatch):
+    """Pointers of many words, and of a crowded word with many second ones, are few rows; the phrases are all there."""
+    from seqloom.llm import phrases
+
+    made, cut = [], phrases.cut
+
+    def counted(df, tag):
+        out = cut(df, tag)
+        if tag == "pointers":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(phrases, "cut", counted)
+    monkeypatch.setattr(phrases, "SLOTS", 8)
+    rows = [(f"the w{k} of{k % 7}. " * 3, "en") for k in range(600)]
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    f = {r["phrase"]: r["f"] for r in phrases.frequent(df, 3, crowd=1000)[0].collect()}
+    want = {"the": 1800, **{f"of{j}": 3 * len(range(j, 600, 7)) for j in range(7)}}
+    for k in range(600):
+        want |= {p: 3 for p in (f"w{k}", f"the w{k}", f"w{k} of{k % 7}", f"the w{k} of{k % 7}")}
+    assert f == want
+    assert made[0] <= 2 * 8 + 1
