@@ -75,6 +75,18 @@ def test_lines(spark, monkeypatch, crowd, percent):
     assert got == {d: "\n".join((t or "").split("\n")[i] for i in keep[d]) for d, t in docs}
 
 
+def test_lines_of_common_words(spark):
+    """Lines that share many words but aren't near: what is shuffled follows the text and not the pairs of lines."""
+    r = random.Random(3)
+    docs = [(i, "\n".join(" ".join(f"w{r.randrange(200)}" for _ in range(40)) for _ in range(20))) for i in range(300)]
+    docs.append((300, docs[7][1].replace(" ", " more ", 1)))
+    summary = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = summary()
+    got = {x["doc_id"]: x["n_removed"] for x in lines.without_lines(table(spark, docs)).collect() if x["n_removed"]}
+    assert got == {300: 20}
+    assert summary() - before < 30 * sum(len(t) for _, t in docs)
+
+
 def test_lines_odd_rows(spark):
     assert lines.without_lines(table(spark, ODD)).count() == len(ODD)
     assert lines.without_lines(table(spark, ODD).limit(0)).count() == 0
