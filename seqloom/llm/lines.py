@@ -24,6 +24,7 @@ stay or go together; null keys count as one largest key; an empty table gives an
 
 from __future__ import annotations
 
+import gc
 from math import log
 
 from pyspark.sql import Column, DataFrame
@@ -137,6 +138,12 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / (100 + percent))
 
 
+def _let_go(df: DataFrame) -> None:
+    """Spark drops the shuffles of tables that were written and that nothing refers to; they would stay beside the next ones."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()  # Spark's cleaner follows the driver's collector
+
+
 def met_sets(sets: DataFrame) -> DataFrame:
     """part, key, x, many, n, low, high and lead, for the sets of every part that two or more sets show; lead is its earliest set."""
     posts = sets.select(F.explode("shown").alias("part"), "key", _in_key()).repartition("part")
@@ -144,6 +151,8 @@ def met_sets(sets: DataFrame) -> DataFrame:
     twice = posts.groupBy("part").agg(F.count("*").alias("many"), *(f(c).alias(f"{n}{c}") for c in ("key", "x") for n, f in (("min", F.min), ("max", F.max))))
     twice = twice.filter("minkey < maxkey OR minx < maxx").select("part", "many")
     met = cut(posts.join(twice.hint("shuffle_hash"), "part"), "line-posts")
+    del posts, twice
+    _let_go(sets)
     told = met.join(sets.filter("own").select("key", _in_key(), "n", "low", "high"), ["key", "x"])
     out = cut(told.repartition("part").select("part", "key", "x", "many", "n", "low", "high", F.first(F.struct("key", "x", "n", "low", "high")).over(Window.partitionBy("part").orderBy("key", "x")).alias("lead")), "line-met")
     discard(met)
@@ -210,6 +219,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, key: str = "doc_id", text:
     """key, t (hash of the text) and removed (line numbers from 0, in order), for texts that lose lines."""
     texts = _texts(docs, key, text)
     sets = cut(sets_of(lines_of(texts), percent), "line-sets")
+    _let_go(sets)
     gone = later_matches(texts, sets, percent)
     # A set of one line that has no earlier match says nothing about any line.
     fate = sets.filter("own").select("sig", *AT, "many").join(gone.withColumn("gone", F.lit(True)), AT, "left").filter("many > 1 or gone")
