@@ -248,6 +248,12 @@ class PrefixBpe:
         left, right, _ = self.born[token]
         return self._whole(left) and self._whole(right) and self._clash(left, right) == (left, right)
 
+    def forget(self) -> None:
+        """Drop what was remembered, not the model."""
+        self.pieces.forget()
+        self.seams.clear()
+        self.spine.cache_clear()
+
     def names(self) -> pa.Array:
         return pa.array([self.token_of.get(i) for i in range(max(self.token_of) + 1)])
 
@@ -389,8 +395,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             ids = _lists(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("key"), ids, *([_joined(ids, names)] * decoded)], ["key", "ids", *["decoded"] * decoded])
         memo.forget()  # most words of the next task are others; a worker that waits holds the model only
-        model.pieces.forget()
-        model.seams.clear()
+        model.forget()
         release()
 
     kind = docs.schema[key].dataType.simpleString()
